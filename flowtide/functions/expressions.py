@@ -164,8 +164,8 @@ def percent_text(value: Column) -> Column:
 
 
 def fixed2(value: Column) -> Column:
-    """Two decimals without digit grouping, rounded from the exact binary value."""
-    return F.format_string("%.2f", value.cast("decimal(38,18)"))
+    """Two decimals without digit grouping, halves to the even neighbour."""
+    return F.bround(value.cast("decimal(38,10)"), 2).cast("string")
 
 
 def priority_label(points: Column) -> Column:

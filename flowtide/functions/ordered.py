@@ -141,9 +141,8 @@ def next_at_or_after(
         .withColumns({"_s": second, "_d": F.floor(second / 86400).cast("bigint")})
     )
     hit = F.when(F.col("_is_point"), F.col("_t"))
-    ahead = _partition(keys + ["_d", "_s"]).orderBy("_t", F.col("_is_point").desc())
-    inside = times.withColumn("_near", F.min(hit).over(ahead.rowsBetween(0, W.unboundedFollowing)))
-    inside = inside.withColumn("_near", F.when(F.col("_is_point"), F.col("_t")).otherwise(F.col("_near")))
+    ahead = _partition(keys + ["_d", "_s"]).orderBy("_t", "_is_point")
+    inside = times.withColumn("_near", F.first(hit, ignorenulls=True).over(ahead.rowsBetween(0, W.unboundedFollowing)))
     later = (1, W.unboundedFollowing)
     per_second = times.groupBy(*[col(k) for k in keys], "_d", "_s").agg(F.min(hit).alias("_m"))
     per_day = per_second.groupBy(*[col(k) for k in keys], "_d").agg(F.min("_m").alias("_m"))
@@ -161,23 +160,35 @@ def next_at_or_after(
     return _join(probes, answers, keys + [probe])
 
 
-def group_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per group without holding a group's values in one task.
+def log_bin(value: Column, per_octave: int) -> Column:
+    """Order-preserving logarithmic bin of a number."""
+    size = F.floor(F.log2(F.abs(value) + 1) * per_octave).cast("int")
+    return F.when(value < 0, -size - 1).otherwise(size)
+
 
-    Values become (value, count) pairs, then a logarithmic bin per pair tells which
-    bins hold the two middle ranks; only those bins are ranked.
+def group_quantiles(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: dict[str, float],
+    per_octave: int = 16,
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per group; no task holds the values of a group.
+
+    Values become (value, count) pairs first.  Counts per logarithmic bin tell which bins
+    hold the ranks in question, and only the pairs of those bins are ranked.
     """
     keys = list(keys)
     key_columns = [col(k) for k in keys]
-    number = col(value).cast("double")
     pairs = (
-        rows.select(*key_columns, number.alias("_v"))
+        rows.select(*key_columns, col(value).cast("double").alias("_v"))
         .filter(F.col("_v").isNotNull())
-        .withColumn("_bin", F.when(F.col("_v") < 0, -magnitude_of("_v") - 1).otherwise(magnitude_of("_v")))
-        .groupBy(*key_columns, "_bin", "_v")
+        .groupBy(*key_columns, log_bin(F.col("_v"), per_octave).alias("_bin"), "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ordered = _partition(keys).orderBy("_bin")
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in quantiles.items()]))
+    rank = (F.col("_all") - 1) * F.col("_w.q")
     bins = (
         pairs.groupBy(*key_columns, "_bin")
         .agg(F.sum("_n").alias("_bn"))
@@ -187,18 +198,27 @@ def group_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) ->
                 "_all": F.sum("_bn").over(_partition(keys)),
             }
         )
-        .withColumns({"_low": F.floor((F.col("_all") + 1) / 2), "_high": F.floor(F.col("_all") / 2) + 1})
-        .filter((F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_bn") >= F.col("_low")))
-        .select(*key_columns, "_bin", "_before", "_low", "_high")
+        .select("*", wanted.alias("_w"))
+        .withColumns({"_low": F.floor(rank), "_high": F.ceil(rank), "_part": rank - F.floor(rank)})
+        .filter((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_bn") > F.col("_low")))
+        .groupBy(*key_columns, "_bin")
+        .agg(F.first("_before").alias("_before"), F.collect_list(F.struct("_w.name", "_low", "_high", "_part")).alias("_asks"))
     )
     chosen = _join(pairs, bins, keys + ["_bin"])
-    running = _partition(keys + ["_bin"]).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = chosen.withColumn("_upto", F.col("_before") + F.sum("_n").over(running))
-    first = ranked["_upto"] - ranked["_n"] + 1
-    middle = ranked.filter((first <= F.col("_high")) & (F.col("_upto") >= F.col("_low")))
-    return middle.groupBy(*key_columns).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+    running = _partition(keys + ["_bin"]).orderBy("_v").rowsBetween(*_BEFORE)
+    ranked = chosen.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    holds = lambda r: (F.col("_from") <= r) & (F.col("_from") + F.col("_n") > r)
+    asked = ranked.select("*", F.explode("_asks").alias("_a")).filter(holds(F.col("_a._low")) | holds(F.col("_a._high")))
+    picked = asked.groupBy(*key_columns, F.col("_a.name").alias("_name"), F.col("_a._part").alias("_part")).agg(
+        F.max(F.when(holds(F.col("_a._low")), F.col("_v"))).alias("_lo"),
+        F.max(F.when(holds(F.col("_a._high")), F.col("_v"))).alias("_hi"),
+    )
+    number = F.col("_lo") + F.col("_part") * (F.col("_hi") - F.col("_lo"))
+    return picked.groupBy(*key_columns).agg(
+        *[F.max(F.when(F.col("_name") == n, number)).alias(n) for n in quantiles]
+    )
 
 
-def magnitude_of(name: str) -> Column:
-    """Order-preserving logarithmic bin of a magnitude, 16 per octave."""
-    return F.floor(F.log2(F.abs(F.col(name)) + 1) * 16).cast("int")
+def group_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact median per group."""
+    return group_quantiles(rows, keys, value, {name: 0.5})
