@@ -37,6 +37,11 @@ def slot(ts: Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * MICROS)).cast("bigint")
 
 
+def window_start(ts: Column, seconds: int) -> Column:
+    """Start of the fixed interval; the group key of large tables (cheaper per row than ``slot``)."""
+    return F.window(ts, f"{seconds} seconds")["start"]
+
+
 def slot_start(number: Column, seconds: int) -> Column:
     return from_micros(number * F.lit(seconds * MICROS))
 
@@ -54,8 +59,8 @@ def day_text(ts: Column) -> Column:
 
 
 def is_finite(value: Column) -> Column:
-    number = value.cast("double")
-    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+    """True for finite numbers, false for null, NaN and infinities."""
+    return F.coalesce(value.cast("double") * F.lit(0.0) == F.lit(0.0), F.lit(False))
 
 
 def finite_or_null(value: Column) -> Column:
@@ -123,19 +128,6 @@ def flag_tokens(value: Column, compact: bool = False) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(named)), F.array().cast("array<string>"))
 
 
-def endpoint(ip: Column, port: Column) -> Column:
-    return F.struct(ip.cast("string").alias("ip"), port.cast("bigint").alias("port"))
-
-
-def forward_endpoint(sip: Column, sport: Column, dip: Column, dport: Column) -> Column:
-    """The smaller (ip text, port) pair of the two endpoints."""
-    return F.least(endpoint(sip, sport), endpoint(dip, dport))
-
-
-def reverse_endpoint(sip: Column, sport: Column, dip: Column, dport: Column) -> Column:
-    return F.greatest(endpoint(sip, sport), endpoint(dip, dport))
-
-
 def key_text(*parts: Column) -> Column:
     return F.concat_ws("|", *[p.cast("string") for p in parts])
 
@@ -148,11 +140,20 @@ def observed_key() -> Column:
     )
 
 
+def source_is_forward() -> Column:
+    """True when the sender is the smaller (ip text, port) endpoint."""
+    same = F.col("source_ip") == F.col("destination_ip")
+    return (F.col("source_ip") < F.col("destination_ip")) | (same & (F.col("source_port") <= F.col("destination_port")))
+
+
 def canonical_key() -> Column:
     """Direction-independent five-tuple as text."""
-    ends = (F.col("source_ip"), F.col("source_port"), F.col("destination_ip"), F.col("destination_port"))
-    low, high = forward_endpoint(*ends), reverse_endpoint(*ends)
-    return key_text(low["ip"], low["port"], high["ip"], high["port"], F.upper("protocol"))
+    source = F.concat_ws("|", "source_ip", F.col("source_port").cast("string"))
+    destination = F.concat_ws("|", "destination_ip", F.col("destination_port").cast("string"))
+    protocol = F.upper("protocol")
+    return F.when(source_is_forward(), F.concat_ws("|", source, destination, protocol)).otherwise(
+        F.concat_ws("|", destination, source, protocol)
+    )
 
 
 # --- priorities ----------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowtide.config import ACTIVITY_COLUMNS, ACTIVITY_MEASURES, MICROS, MODE_THRESHOLDS
 from flowtide.functions.expressions import (
     canonical_key, col, day_text, fixed2, micros, percent_text, per_second, priority_label, priority_rank,
-    recommendation, score_class, slot, slot_start,
+    recommendation, score_class, seconds_between, window_start,
 )
 from flowtide.operators.cleaning import require_columns, split_valid
 
@@ -26,15 +26,14 @@ def source_activity(packets: DataFrame, interval_seconds: int = 10, keys: Sequen
     keys = list(keys)
     key_columns = [col(k) for k in keys]
     has = lambda flag: F.count_if(F.array_contains("tcp_flags", flag))
-    us = micros(F.col("timestamp"))
-    flows = packets.groupBy(
-        *key_columns, slot(F.col("timestamp"), interval_seconds).alias("_slot"), "source_ip", "destination_ip",
-        "destination_port", canonical_key().alias("_flow"),
+    rows = packets.withColumn("_start", window_start(F.col("timestamp"), interval_seconds))
+    flows = rows.groupBy(
+        *key_columns, "_start", "source_ip", "destination_ip", "source_port", "destination_port", "protocol",
     ).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"), F.min(us).alias("first"),
-        F.max(us).alias("last"), has("SYN").alias("syn"), has("ACK").alias("ack"), has("RST").alias("rst"),
+        F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"), F.min("timestamp").alias("first"),
+        F.max("timestamp").alias("last"), has("SYN").alias("syn"), has("ACK").alias("ack"), has("RST").alias("rst"),
     )
-    grouped = flows.groupBy(*key_columns, "_slot", "source_ip").agg(
+    grouped = flows.withColumn("_flow", canonical_key()).groupBy(*key_columns, "_start", "source_ip").agg(
         F.count_distinct("_flow").alias("flow_count"),
         F.sum("n").alias("packet_count"),
         F.sum("bytes").cast("double").alias("byte_count"),
@@ -47,14 +46,13 @@ def source_activity(packets: DataFrame, interval_seconds: int = 10, keys: Sequen
         F.sum("rst").alias("rst_count"),
     )
     gaps = F.col("packet_count") - 1
-    start = slot_start(F.col("_slot"), interval_seconds)
     return grouped.withColumns(
         {
-            "interval_start": start,
-            "interval_end": slot_start(F.col("_slot") + 1, interval_seconds),
-            "capture_day": day_text(start),
+            "interval_start": F.col("_start"),
+            "interval_end": F.timestamp_add("SECOND", F.lit(interval_seconds), F.col("_start")),
+            "capture_day": day_text(F.col("_start")),
             "mean_packet_size": F.col("byte_count") / F.col("packet_count"),
-            "mean_iat": F.when(gaps > 0, (F.col("_last") - F.col("_first")) / float(MICROS) / gaps).otherwise(0.0),
+            "mean_iat": F.when(gaps > 0, seconds_between(F.col("_last"), F.col("_first")) / gaps).otherwise(0.0),
             "packet_rate": per_second(F.col("packet_count"), interval_seconds),
             "byte_rate": per_second(F.col("byte_count"), interval_seconds),
         }

@@ -23,14 +23,17 @@ ROW_BLOCK = 100_000
 
 
 def all_of(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+    return reduce(lambda a, b: a & b, tests)
 
 
 def split_valid(df: DataFrame, reasons: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """Split a frame into (valid, rejected); the first reason whose test is true wins."""
+    """Split a frame into (valid, rejected); the first reason whose test is true or unknown wins.
+
+    The valid side is a plain conjunction, so single tests can move into the scan.
+    """
+    valid = df.filter(all_of(~test for _, test in reasons))
     reason = F.coalesce(*[F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in reasons])
-    marked = df.withColumn("reason", reason)
-    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+    return valid, df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
@@ -301,18 +304,15 @@ def derive_flow_columns(df: DataFrame, supervised: bool = True) -> DataFrame:
 
 
 def usable_flows(df: DataFrame, ts: str = "timestamp_parsed", day: str = "capture_date") -> tuple[DataFrame, DataFrame]:
-    """Rows the state aggregation may use: anomalies out (B11), every source value finite."""
-    flagged = F.coalesce(col(ANOMALY).cast("boolean"), F.lit(False)) if ANOMALY in df.columns else F.lit(False)
-    return split_valid(
-        df,
-        [
-            ("flagged_anomaly", flagged),
-            ("missing_timestamp", col(ts).isNull()),
-            ("missing_capture_date", col(day).isNull()),
-            ("unflagged_mismatch", day_text(col(ts)) != col(day).cast("string")),
-            *[(f"nonfinite:{c}", ~is_finite(col(c))) for c in FLOW_NUMERIC],
-        ],
-    )
+    """Rows the state aggregation may use: anomalies out (B11), every source value finite.
+
+    A finite number times zero is zero, anything else gives NaN or null, so one short
+    expression tests all source columns of a row.
+    """
+    tests = [("flagged_anomaly", F.coalesce(col(ANOMALY).cast("boolean"), F.lit(False)))] if ANOMALY in df.columns else []
+    tests.append(("date_mismatch", col(ts).cast("date") != col(day).cast("date")))
+    zeros = reduce(lambda a, b: a + b, [col(c).cast("double") * F.lit(0.0) for c in FLOW_NUMERIC])
+    return split_valid(df, [*tests, ("nonfinite_source_value", zeros != F.lit(0.0))])
 
 
 # --- C1, C5-C7, G1, G2 ---------------------------------------------------

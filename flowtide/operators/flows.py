@@ -27,7 +27,7 @@ def assign_flows(
     ``active_seconds`` old.  The first two depend on the packet before it and are found in
     parallel time blocks.  The age rule depends on where the flow began; only stretches
     that last longer than the limit need it, and their cuts come from pointer doubling.
-    Runs one small aggregate to learn the longest stretch, and checkpoints the doubling rounds.
+    Runs one job that checkpoints the long stretches (mostly none), then one per doubling round.
     """
     keys = list(keys) + ["flow_key"]
     idle, active = policy.idle_seconds * MICROS, policy.active_seconds * MICROS
@@ -47,9 +47,10 @@ def assign_flows(
     stretches = numbered.groupBy(*[col(k) for k in keys], "_stretch").agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_end")
     )
-    longest = stretches.agg(F.max(F.col("_end") - F.col("_first"))).first()[0]
-    if longest is not None and longest >= active:
-        numbered = _age_cuts(numbered, stretches, keys, order, active, longest)
+    long = cut(stretches.filter(F.col("_end") - F.col("_first") >= active))
+    longest = long.agg(F.max(F.col("_end") - F.col("_first"))).first()[0]
+    if longest is not None:
+        numbered = _age_cuts(numbered, long, keys, order, active, longest)
     else:
         numbered = numbered.withColumn("flow_seq", F.col("_stretch"))
     same = F.col("_new_flow") == 0 if "_new_flow" in numbered.columns else F.col("_cut") == 0
@@ -59,10 +60,9 @@ def assign_flows(
     )
 
 
-def _age_cuts(numbered: DataFrame, stretches: DataFrame, keys: list[str], order, active: int, longest: int) -> DataFrame:
+def _age_cuts(numbered: DataFrame, long: DataFrame, keys: list[str], order, active: int, longest: int) -> DataFrame:
     """Renumber flows with the age limit applied inside the long stretches."""
     names = keys + ["_stretch"]
-    long = stretches.filter(F.col("_end") - F.col("_first") >= active)
     times = numbered.join(long.select(*names), names, "left_semi").select(*names, "_us").distinct()
     targets = times.withColumn("_due", F.col("_us") + active)
     jumps = next_at_or_after(targets, times, names, "_due", "_us", "_to").select(*names, F.col("_us").alias("_from"), "_to")

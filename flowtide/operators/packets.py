@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from flowtide.config import MICROS, PACKET_COLUMNS
 from flowtide.functions.expressions import (
-    canonical_key, col, day_text, flag_tokens, forward_endpoint, is_finite, micros, observed_key, reverse_endpoint,
+    canonical_key, col, day_text, flag_tokens, is_finite, micros, observed_key, source_is_forward,
 )
-from flowtide.functions.ordered import prefix, previous
+from flowtide.functions.ordered import prefix
 from flowtide.operators.cleaning import require_columns, split_valid
 
 # Error wording to reject category, tested in this order.
@@ -25,11 +25,11 @@ REJECT_CATEGORIES = [
 
 def _bad_port(name: str) -> Column:
     port = F.expr(f"try_cast(`{name}` as double)")
-    return port.isNull() | ~is_finite(port) | (port % 1 != 0) | (port < 0) | (port > 65535)
+    return ~port.between(0, 65535) | (port % 1 != 0)
 
 
 def _blank(name: str) -> Column:
-    return col(name).isNull() | (F.trim(col(name).cast("string")) == "")
+    return F.trim(col(name).cast("string")) == ""
 
 
 def normalize_packets(df: DataFrame, compact_flags: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def normalize_packets(df: DataFrame, compact_flags: bool = False) -> tuple[DataF
             ("missing protocol", _blank("protocol")),
             ("invalid port: source_port", _bad_port("source_port")),
             ("invalid port: destination_port", _bad_port("destination_port")),
-            ("packet_length is not finite", length.isNull() | ~is_finite(length)),
+            ("packet_length is not finite", ~is_finite(length)),
             ("packet_length is negative", length < 0),
         ],
     )
@@ -69,17 +69,17 @@ def normalize_packets(df: DataFrame, compact_flags: bool = False) -> tuple[DataF
 
 def with_flow_keys(packets: DataFrame) -> DataFrame:
     """Observed and canonical five-tuple keys and the direction of each packet."""
-    ends = (col("source_ip"), col("source_port"), col("destination_ip"), col("destination_port"))
-    low, high = forward_endpoint(*ends), reverse_endpoint(*ends)
+    forward = source_is_forward()
+    pick = lambda yes, no: F.when(forward, col(yes)).otherwise(col(no))
     return packets.withColumns(
         {
             "observed_key": observed_key(),
             "flow_key": canonical_key(),
-            "forward_ip": low["ip"],
-            "forward_port": low["port"],
-            "reverse_ip": high["ip"],
-            "reverse_port": high["port"],
-            "is_forward": (col("source_ip") == low["ip"]) & (col("source_port") == low["port"]),
+            "forward_ip": pick("source_ip", "destination_ip"),
+            "forward_port": pick("source_port", "destination_port"),
+            "reverse_ip": pick("destination_ip", "source_ip"),
+            "reverse_port": pick("destination_port", "source_port"),
+            "is_forward": forward,
         }
     )
 

@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 
 from flowtide.config import INTERVAL, INTERVALS, STATE_COLUMNS, STATE_FEATURES, STATE_META, STATE_TARGETS
 from flowtide.functions.expressions import (
-    col, day_text, is_finite, per_second, safe_ratio, seconds_between, slot, slot_start,
+    col, day_text, is_finite, per_second, safe_ratio, seconds_between, slot, slot_start, window_start,
 )
 from flowtide.functions.ordered import group_median
 from flowtide.operators.cleaning import derive_flow_columns, split_valid, usable_flows
 
 _SUMS = ["flow_count", "byte_sum", "packet_sum", "fwd_bytes", "fwd_packets", "syn", "ack", "rst"]
-_MEANS = ["mean_duration", "mean_iat", "iat_std", "packet_size_mean", "packet_size_std"]
+_MEANS = {
+    "mean_duration": "_duration", "mean_iat": "_iat_mean", "iat_std": "_iat_std", "packet_size_mean": "_length_mean",
+    "packet_size_std": "_length_std",
+}
 
 
 def _check_interval(seconds: int) -> None:
@@ -26,26 +29,23 @@ def _check_interval(seconds: int) -> None:
 
 
 def _interval_aggregates(flows: DataFrame, keys: Sequence[str], supervised: bool) -> DataFrame:
-    """Sums and means of derived flow rows per (keys, slot)."""
+    """Sums and means of derived flow rows per (keys, interval start)."""
+    # Usable rows have no nulls, so a mean is its sum over the row count: one buffer per measure.
     measures = [
         F.count(F.lit(1)).alias("flow_count"),
         F.sum("_bytes").alias("byte_sum"),
         F.sum("_packets").alias("packet_sum"),
         F.sum("_fwd_bytes").alias("fwd_bytes"),
         F.sum("_fwd_packets").alias("fwd_packets"),
-        F.avg("_duration").alias("mean_duration"),
-        F.avg("_iat_mean").alias("mean_iat"),
-        F.avg("_iat_std").alias("iat_std"),
+        *[F.sum(source).alias(name) for name, source in _MEANS.items()],
         F.sum("_syn").alias("syn"),
         F.sum("_ack").alias("ack"),
         F.sum("_rst").alias("rst"),
-        F.avg("_length_mean").alias("packet_size_mean"),
-        F.avg("_length_std").alias("packet_size_std"),
         F.count_distinct(col("Dst Port")).alias("unique_destination_port_count"),
     ]
     if supervised:
         measures.append(F.sum("_malicious").alias("malicious_flow_count"))
-    return flows.groupBy(*[col(k) for k in keys], "_slot").agg(*measures)
+    return flows.groupBy(*[col(k) for k in keys], "_start").agg(*measures)
 
 
 def densify(rows: DataFrame, keys: Sequence[str], interval_seconds: int, number: str = "_slot") -> DataFrame:
@@ -58,7 +58,9 @@ def densify(rows: DataFrame, keys: Sequence[str], interval_seconds: int, number:
     per_day = 86_400 // interval_seconds
     w = W.partitionBy(*[col(k) for k in keys], F.floor(col(number) / per_day)).orderBy(col(number))
     following = F.coalesce(F.lead(col(number)).over(w), col(number) + 1)
-    opened = rows.withColumn("_filled", F.explode(F.sequence(col(number), following - 1)))
+    opened = rows.withColumn("_following", following).withColumn(
+        "_filled", F.explode(F.sequence(col(number), F.col("_following") - 1))
+    )
     real = F.col("_filled") == col(number)
     others = [c for c in rows.columns if c != number and c not in keys]
     return opened.select(
@@ -85,16 +87,17 @@ def network_states(
     supervised = mode == "supervised"
     keys = list(keys)
     usable, _ = usable_flows(flows, ts, day)
-    derived = derive_flow_columns(usable, supervised).withColumn("_slot", slot(col(ts), interval_seconds))
+    derived = derive_flow_columns(usable, supervised).withColumn("_start", window_start(col(ts), interval_seconds))
     sums = _interval_aggregates(derived, keys, supervised)
-    middle = group_median(derived, keys + ["_slot"], "_duration", "median_duration")
-    merged = sums.join(middle, keys + ["_slot"])
+    middle = group_median(derived, keys + ["_start"], "_duration", "median_duration")
+    merged = sums.join(middle, keys + ["_start"]).withColumn("_slot", slot(F.col("_start"), interval_seconds)).drop("_start")
     return _finish_states(densify(merged, keys, interval_seconds), keys, interval_seconds, supervised)
 
 
 def _finish_states(rows: DataFrame, keys: Sequence[str], interval_seconds: int, supervised: bool) -> DataFrame:
     zero = {c: F.coalesce(col(c), F.lit(0)) for c in [*_SUMS, "unique_destination_port_count"]}
-    zero.update({c: F.coalesce(col(c), F.lit(0.0)) for c in [*_MEANS, "median_duration"]})
+    zero.update({c: safe_ratio(col(c), F.col("flow_count")) for c in _MEANS})
+    zero["median_duration"] = F.coalesce(col("median_duration"), F.lit(0.0))
     if supervised:
         zero["malicious_flow_count"] = F.coalesce(col("malicious_flow_count"), F.lit(0))
     rows = rows.withColumns(zero)
@@ -204,11 +207,12 @@ def granularity_comparison(flows: DataFrame, intervals: Sequence[int] = INTERVAL
     usable, _ = usable_flows(flows)
     base = (
         usable.select(
-            slot(F.col("timestamp_parsed"), 1).alias("_second"),
+            window_start(F.col("timestamp_parsed"), 1).alias("_start"),
             (~F.col("Label").eqNullSafe(F.lit("Benign"))).cast("int").alias("_malicious"),
         )
-        .groupBy("_second")
+        .groupBy("_start")
         .agg(F.count(F.lit(1)).alias("flow_count"), F.sum("_malicious").alias("malicious_flow_count"))
+        .withColumn("_second", slot(F.col("_start"), 1))
     )
     lengths = F.explode(F.array(*[F.lit(i) for i in intervals])).alias("interval_seconds")
     rolled = (
