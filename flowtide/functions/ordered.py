@@ -73,7 +73,10 @@ def prefix(
 
 
 def _join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Null-safe equi-join that keeps one copy of the key columns."""
+    """Equi-join that keeps one copy of the key columns and, where a key may be null, joins nulls too.
+
+    Keys that cannot be null use plain equality, which keeps the partitioning of a window over them.
+    """
     if not names:
         one = "_one"
         return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one).drop(one)
@@ -82,7 +85,8 @@ def _join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     )
     condition = None
     for n in names:
-        test = left[f"`{n}`"].eqNullSafe(renamed[f"`_r_{n}`"])
+        mine, other = left[f"`{n}`"], renamed[f"`_r_{n}`"]
+        test = mine.eqNullSafe(other) if left.schema[n].nullable else mine == other
         condition = test if condition is None else condition & test
     return left.join(renamed, condition).drop(*[f"_r_{n}" for n in names])
 

@@ -34,8 +34,8 @@ def assign_flows(
     order = [F.col("_us"), col(tie)]
     rows = with_flow_keys(packets).withColumn("_us", micros(F.col("timestamp"))).withColumns(
         {
-            "_block": F.floor(F.col("_us") / (BLOCK_SECONDS * MICROS)).cast("bigint"),
-            "_day": F.floor(F.col("_us") / (86_400 * MICROS)).cast("bigint"),
+            "_block": F.coalesce(F.floor(F.col("_us") / (BLOCK_SECONDS * MICROS)).cast("bigint"), F.lit(-1)),
+            "_day": F.coalesce(F.floor(F.col("_us") / (86_400 * MICROS)).cast("bigint"), F.lit(-1)),
             "_closing": F.array_contains("tcp_flags", "FIN") | F.array_contains("tcp_flags", "RST"),
         }
     )
@@ -149,8 +149,12 @@ def close_flows(flows: DataFrame, packets: DataFrame, policy: FlowPolicy = FlowP
 
 
 def build_flows(packets: DataFrame, policy: FlowPolicy = FlowPolicy(), keys: Sequence[str] = (), tie: str = "event_id") -> DataFrame:
-    """Finished flow records of normalized packets (K1 + D15)."""
-    flows = flow_aggregates(assign_flows(packets, policy, keys, tie), keys, tie)
+    """Finished flow records of normalized packets (K1 + D15).
+
+    The records are checkpointed: they are far fewer than the packets, and states, close
+    times and audits read them several times.
+    """
+    flows = cut(flow_aggregates(assign_flows(packets, policy, keys, tie), keys, tie))
     return close_flows(flows, packets, policy, keys).drop("_first", "_last", "_rst", "_fin")
 
 

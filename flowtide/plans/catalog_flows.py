@@ -56,12 +56,12 @@ def _(spark, d):
 
 
 _tokens = " union all ".join(
-    f"select source_file, '{c}' as \"column\", \"{c}\" as token from raw where \"Label\" <> 'Label' and not coalesce(isfinite(try_cast(\"{c}\" as double)), \"{c}\" is null or \"{c}\" = '')"
+    f"select source_file, '{c}' as \"column\", \"{c}\" as token from raw where \"Label\" <> 'Label' and not coalesce(isfinite(try_cast(\"{c}\" as double)), false)"
     for c in NUMBERS
 )
 
 
-@query("b3_ingestion_stats", f"with {RAW} select \"column\", token, count(*) as nonfinite_count, count(*) filter (token not in ('NaN','Infinity')) as parse_error_count from ({_tokens}) group by 1, 2")
+@query("b3_ingestion_stats", f"with {RAW} select \"column\", token, count(*) as nonfinite_count, count(*) filter (token not in ('NaN','Infinity','')) as parse_error_count from ({_tokens}) group by 1, 2")
 def _(spark, d):
     _, issues = cl.ingestion_stats(t.raw_flows(spark, d), NUMBERS)
     return pick(issues, ["column", "token"], ["nonfinite_count", "parse_error_count"])

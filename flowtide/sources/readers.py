@@ -196,8 +196,15 @@ def read_replay(spark: SparkSession, path: str) -> tuple[str, DataFrame, DataFra
 
 
 def flow_replay(spark: SparkSession, path: str, max_events: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(flows in file order, rejected rows): right day and never earlier than the row before."""
-    raw = read_flow_csv(spark, path)
+    """(flows, rejected rows) of a flow export replayed in file order."""
+    valid, rejected = replay_rows(read_flow_csv(spark, path))
+    if max_events is not None:
+        valid = limit_events(valid, max_events, "timestamp_parsed", "source_row_number")
+    return valid, rejected
+
+
+def replay_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the right day that are never earlier than the row before; the rest with a reason."""
     rows, bad_labels = clean_flows(raw)
     stepped = cleaning.with_backsteps(rows, ["source_file"], "source_row_number", "timestamp_parsed")
     valid, rejected = cleaning.split_valid(
@@ -209,10 +216,7 @@ def flow_replay(spark: SparkSession, path: str, max_events: int | None = None) -
         ],
     )
     helpers = ["_block", "_previous_ts", "_backstep"]
-    if max_events is not None:
-        valid = limit_events(valid, max_events, "timestamp_parsed", "source_row_number")
-    rejected = rejected.drop(*helpers)
-    return valid.drop(*helpers), rejected.unionByName(bad_labels, allowMissingColumns=True)
+    return valid.drop(*helpers), rejected.drop(*helpers).unionByName(bad_labels, allowMissingColumns=True)
 
 
 def limit_events(rows: DataFrame, n: int, ts: str = "timestamp", *tie: str) -> DataFrame:
