@@ -168,7 +168,7 @@ def _admit_calm(requests: DataFrame, sensor: str) -> DataFrame:
     columns = requests.columns
     batches = requests.withColumns(
         {
-            "_batch": F.when(F.col("kind") == "telemetry", F.struct("sequence", (-F.col("arrival")).alias("first"), "batch_hash")),
+            "_batch": F.when((F.col("kind") == "telemetry") & (F.col("sequence") > 0), F.struct("sequence", (-F.col("arrival")).alias("first"), "batch_hash")),
             "_day": F.floor(micros(F.col("received_at")) / (86_400 * MICROS)).cast("bigint"),
             "_minute": F.floor(micros(F.col("received_at")) / (60 * MICROS)).cast("bigint"),
         }
