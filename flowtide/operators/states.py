@@ -48,23 +48,26 @@ def _interval_aggregates(flows: DataFrame, keys: Sequence[str], supervised: bool
     return flows.groupBy(*[col(k) for k in keys], "_start").agg(*measures)
 
 
-def densify(rows: DataFrame, keys: Sequence[str], interval_seconds: int, number: str = "_slot") -> DataFrame:
+def densify(rows: DataFrame, keys: Sequence[str], interval_seconds: int, number: str = "_slot", peek: str | None = None) -> DataFrame:
     """Add the missing interval numbers between the first and last of each key and day.
 
     Each row opens the gap up to its successor, so the complete index needs one window
     over the aggregated rows (at most one row per interval of a day) and no self-join.
-    Added rows have nulls in every other column.
+    Added rows have nulls in every other column.  ``peek`` names a column whose value on
+    the next interval of the day is wanted as ``_next``: 0 for an added interval, null at
+    the end of the day.
     """
     per_day = 86_400 // interval_seconds
     w = W.partitionBy(*[col(k) for k in keys], F.floor(col(number) / per_day)).orderBy(col(number))
-    following = F.coalesce(F.lead(col(number)).over(w), col(number) + 1)
-    opened = rows.withColumn("_following", following).withColumn(
-        "_filled", F.explode(F.sequence(col(number), F.col("_following") - 1))
-    )
+    ahead = {"_following": F.coalesce(F.lead(col(number)).over(w), col(number) + 1)}
+    if peek:
+        ahead["_ahead"] = F.lead(col(peek)).over(w)
+    opened = rows.withColumns(ahead).withColumn("_filled", F.explode(F.sequence(col(number), F.col("_following") - 1)))
     real = F.col("_filled") == col(number)
     others = [c for c in rows.columns if c != number and c not in keys]
+    looked = [F.when(F.col("_filled") < F.col("_following") - 1, F.lit(0)).otherwise(F.col("_ahead")).alias("_next")] if peek else []
     return opened.select(
-        *[col(k) for k in keys], F.col("_filled").alias(number), *[F.when(real, col(c)).alias(c) for c in others]
+        *[col(k) for k in keys], F.col("_filled").alias(number), *[F.when(real, col(c)).alias(c) for c in others], *looked
     )
 
 
@@ -91,7 +94,10 @@ def network_states(
     sums = _interval_aggregates(derived, keys, supervised)
     middle = group_median(derived, keys + ["_start"], "_duration", "median_duration")
     merged = sums.join(middle, keys + ["_start"]).withColumn("_slot", slot(F.col("_start"), interval_seconds)).drop("_start")
-    return _finish_states(densify(merged, keys, interval_seconds), keys, interval_seconds, supervised)
+    if supervised:
+        merged = merged.withColumn("binary_attack_state", (F.col("malicious_flow_count") > 0).cast("int"))
+    full = densify(merged, keys, interval_seconds, peek="binary_attack_state" if supervised else None)
+    return _finish_states(full, keys, interval_seconds, supervised)
 
 
 def _finish_states(rows: DataFrame, keys: Sequence[str], interval_seconds: int, supervised: bool) -> DataFrame:
@@ -122,12 +128,12 @@ def _finish_states(rows: DataFrame, keys: Sequence[str], interval_seconds: int,
     rows = rows.withColumns(
         {
             "malicious_flow_ratio": safe_ratio(F.col("malicious_flow_count"), F.col("flow_count")),
-            "binary_attack_state": (F.col("malicious_flow_count") > 0).cast("int"),
+            "binary_attack_state": F.coalesce("binary_attack_state", F.lit(0)),
+            "future_attack_state": F.coalesce("_next", F.lit(-1)),
+            "future_target_available": F.col("_next").isNotNull(),
         }
     )
-    return future_target(rows, keys, interval_seconds).select(
-        *[col(k) for k in keys], *STATE_META, *STATE_FEATURES, *STATE_TARGETS
-    )
+    return rows.select(*[col(k) for k in keys], *STATE_META, *STATE_FEATURES, *STATE_TARGETS)
 
 
 def future_target(states: DataFrame, keys: Sequence[str] = (), interval_seconds: int = INTERVAL) -> DataFrame:

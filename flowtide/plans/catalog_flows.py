@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtide.config import DAY_ROLES, STATE_FEATURES, FlowPolicy
+from flowtide.functions.durable import cut
 from flowtide.functions.expressions import col, day_text
 from flowtide.operators import activity as act
 from flowtide.operators import cleaning as cl
@@ -27,8 +28,10 @@ def _clean(spark, d):
     return clean_flows(t.raw_flows(spark, d), binary=False)[0]
 
 
-def _split_states(spark, d):
-    return cl.day_split(t.states(spark, d))[0]
+def _split_states(spark, d, durable: bool = False):
+    """States with their split; ``durable`` checkpoints them for plans that read them many times."""
+    rows = cl.day_split(t.states(spark, d))[0]
+    return cut(rows) if durable else rows
 
 
 # --- cleaning ------------------------------------------------------------
@@ -172,7 +175,7 @@ def _(spark, d):
   union all select 'nonfinite_feature_rows', (select count(*) from states where not isfinite(mean_duration + mean_iat + byte_sum))
   union all select 'empty_split', (select 3 - count(distinct split) from states) union all select 'unassigned_rows', (select count(*) from states where split is null)""")
 def _(spark, d):
-    return pick(cl.split_integrity(_split_states(spark, d)), ["rule"], ["violations"])
+    return pick(cl.split_integrity(_split_states(spark, d, durable=True)), ["rule"], ["violations"])
 
 
 @query("c1_join_features_sidecar", f"""with {RAW}, f as (select source_file, source_row_number, "Flow Duration" from clean where source_row_number % 7 <> 0), s as (select source_file, source_row_number, "Label" from clean where source_row_number % 5 <> 0)
@@ -576,9 +579,9 @@ _A_BIG = ["flow_count", "packet_count", "unique_destinations", "unique_destinati
 _A_NUM = ["byte_count", "mean_packet_size", "mean_iat", "packet_rate", "byte_rate"]
 
 
-@query("d6_source_activity", f"with {A} select {rows_sql(_A_BIG, _A_NUM, texts=_A_TEXT)} from activity")
+@query("d6_source_activity", f"with {A} select {rows_sql(_A_BIG, _A_NUM, 9, texts=_A_TEXT)} from activity")
 def _(spark, d):
-    return pick(t.activity(spark, d), _A_TEXT, _A_BIG, _A_NUM)
+    return pick(t.activity(spark, d), _A_TEXT, _A_BIG, _A_NUM, 9)
 
 
 def _growth(c: str) -> str:

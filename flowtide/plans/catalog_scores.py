@@ -188,7 +188,7 @@ def _(spark, d):
 @query("i1_fit_apply_scaler", f"""with {S}, f as (select avg(flow_count) as m, case when stddev_pop(flow_count) = 0 then 1 else stddev_pop(flow_count) end as s, avg(mean_iat) as m2, stddev_pop(mean_iat) as s2, count(*) as n from states where split = 'train' and future_target_available)
   select split, any_value(n) as fit_row_count, round(avg((flow_count - m) / s), 5) as flow_count_mean, round(max((flow_count - m) / s), 5) as flow_count_max, round(avg((mean_iat - m2) / s2), 5) as mean_iat_mean from states cross join f group by 1""")
 def _(spark, d):
-    rows = _split_states(spark, d)
+    rows = _split_states(spark, d, durable=True)
     scaler = md.fit_scaler(rows.filter("split = 'train'"))
     scaled = md.apply_scaler(rows.withColumn("flow_count", F.col("flow_count").cast("double")), scaler)
     facts = scaled.groupBy("split").agg(num(F.avg("flow_count"), 5).alias("flow_count_mean"), num(F.max("flow_count"), 5).alias("flow_count_max"), num(F.avg("mean_iat"), 5).alias("mean_iat_mean"))
@@ -197,7 +197,7 @@ def _(spark, d):
 
 @query("i2_logistic_baseline")
 def _(spark, d):
-    rows = _split_states(spark, d)
+    rows = _split_states(spark, d, durable=True)
     scaler = md.fit_scaler(rows.filter("split = 'train'"))
     scaled = md.apply_scaler(rows.withColumn("flow_count", F.col("flow_count").cast("double")), scaler)
     model = md.fit_logistic(scaled.filter("split = 'train'"), balanced=True, iterations=30)
@@ -208,7 +208,7 @@ def _(spark, d):
 @query("i4_multi_horizon")
 def _(spark, d):
     features = ["flow_count", "rst_flow_ratio", "unique_destination_port_count"]
-    rows = _split_states(spark, d)
+    rows = _split_states(spark, d, durable=True)
     scaler = md.fit_scaler(rows.filter("split = 'train'"), features)
     scaled = md.apply_scaler(rows.withColumns({f: F.col(f).cast("double") for f in features}), scaler, features)
     made = wd.build_multistep(scaled, 10, 2, features=features)
@@ -232,7 +232,7 @@ def _(spark, d):
 
 @query("i12_ablation")
 def _(spark, d):
-    made = wd.build_multistep(_split_states(spark, d)).filter("split = 'validation'").withColumn("label", F.col("targets")[0])
+    made = wd.build_multistep(_split_states(spark, d, durable=True)).filter("split = 'validation'").withColumn("label", F.col("targets")[0])
     return pick(md.ablation(md.ablation_scores(made, linear_scorer()), 0.19), ["kind", "name"], ["sample_count"], ["mean_signed_score_change", "mean_absolute_score_change", "delta_f1", "delta_recall"])
 
 
@@ -242,7 +242,7 @@ _CELLS = f"""{_SCORED}, vs as (select capture_day, origin, z, 1/(1+exp(-(z - 2.0
 
 
 def _cells(spark, d):
-    made = wd.build_multistep(_split_states(spark, d)).filter("split = 'validation'")
+    made = wd.build_multistep(_split_states(spark, d, durable=True)).filter("split = 'validation'")
     return md.contributions(made, linear_scorer(), ["capture_day", "origin"])
 
 
@@ -267,7 +267,7 @@ def _(spark, d):
 @query("i17_context_length_comparison", f"""with {_SCORED.replace('n >= 10 and', '')}, l as (select unnest([5, 10, 20]) as context_length), w as (select context_length, split, y1 as label, 1/(1+exp(-(z - 2.0))) as score from zz join l on n >= context_length), {metrics_sql('w', 'context_length', '0.3')}
   select cast(context_length as bigint) as context_length, {rows_sql(_M_BIG, ['recall', 'f1'])} from met""")
 def _(spark, d):
-    made = md.context_length_comparison(_split_states(spark, d), {n: linear_scorer(n) for n in (5, 10, 20)}, threshold=0.3)
+    made = md.context_length_comparison(_split_states(spark, d, durable=True), {n: linear_scorer(n) for n in (5, 10, 20)}, threshold=0.3)
     return pick(made.filter("step = 1"), [], ["context_length", *_M_BIG], ["recall", "f1"])
 
 

@@ -103,7 +103,7 @@ _CALM = f"""{REQ}, tel as (select *, max(sequence) over (partition by sensor_id
 
 
 @query("k9_admit_telemetry", f"""with {_CALM} select sensor_id, decision, count(*) as requests from (select sensor_id, 'accepted' as decision from req where kind = 'heartbeat' union all
-  select t.sensor_id, case when t.sequence > coalesce(top, 0) then 'accepted' when t.sequence = coalesce(top, 0) and batch_hash = first_hash then 'duplicate' else 'conflict' end from tel t left join firsts f on f.sensor_id = t.sensor_id and f.sequence = t.top) group by 1, 2""")
+  select t.sensor_id, case when t.sequence > coalesce(top, 0) then 'accepted' when t.sequence > 0 and t.sequence = coalesce(top, 0) and batch_hash = first_hash then 'duplicate' else 'conflict' end from tel t left join firsts f on f.sensor_id = t.sensor_id and f.sequence = t.top) group by 1, 2""")
 def _(spark, d):
     """Admission where no sensor reaches the rate limit."""
     rows = sn.admit_telemetry(requests(spark, d), FreshnessPolicy(requests_per_minute=1_000_000_000))
