@@ -65,13 +65,15 @@ def binary_metrics(
     keys = list(keys)
     key_columns = [col(k) for k in keys]
     cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    s = F.col("score")
+    # The last level grows finer towards 0 and 1, where confident scorers crowd their values.
+    crowded = F.when(s < 0.5, F.coalesce(F.floor(F.log2(s) * 64), F.lit(-1_000_000))).otherwise(
+        F.coalesce(-F.floor(F.log2(1 - s) * 64), F.lit(1_000_000))
+    )
     counts = score_counts(scores, keys, label, score).withColumns(
-        {
-            "_l1": F.floor(F.col("score") * 1024).cast("bigint"),
-            "_l2": F.floor(F.col("score") * 1_048_576).cast("bigint"),
-        }
+        {"_l1": F.floor(s * 1024).cast("bigint"), "_l2": F.floor(s * 1_048_576).cast("bigint"), "_l3": crowded.cast("bigint")}
     )
-    below = prefix(counts, keys, ["_l1", "_l2"], [F.col("score")], {"_pos_below": ("sum", "pos"), "_neg_below": ("sum", "neg")})
+    below = prefix(counts, keys, ["_l1", "_l2", "_l3"], [F.col("score")], {"_pos_below": ("sum", "pos"), "_neg_below": ("sum", "neg")})
     totals = counts.groupBy(*key_columns).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
     if keys:
         joined = below.join(totals, keys)

@@ -326,8 +326,15 @@ def history_status(states: DataFrame, keys: Sequence[str] = (), length: int = 10
     if on_gap not in ("wait", "reset"):
         raise ValueError("on_gap must be wait or reset")
     ts = F.col("timestamp").cast("timestamp_ntz")
-    copy = F.row_number().over(W.partitionBy(*[col(k) for k in keys], "capture_day", ts).orderBy(F.lit(1)))
-    marked = states.withColumn("_copy", copy)
+    # Copies are numbered per task first, so a large group of copies never meets in one task:
+    # only the first copy of each task takes part in the second numbering.
+    same = [*[col(k) for k in keys], col("capture_day"), ts]
+    marked = states.withColumn("_task", F.spark_partition_id())
+    marked = marked.withColumn("_local", F.row_number().over(W.partitionBy(*same, "_task").orderBy(F.lit(1))))
+    rest = F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_task"))
+    marked = marked.withColumn("_final", F.row_number().over(W.partitionBy(*same, rest).orderBy(F.lit(1))))
+    marked = marked.withColumn("_copy", F.greatest("_local", F.when(F.col("_local") == 1, F.col("_final")).otherwise(F.lit(2))))
+    marked = marked.drop("_task", "_local", "_final")
     runs = contiguous_runs(marked.filter(F.col("_copy") == 1), keys, length)
     first_day = F.min("capture_day").over(W.partitionBy(*[col(k) for k in keys])) if keys else F.min("capture_day").over(
         W.partitionBy(F.lit(0))

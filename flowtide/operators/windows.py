@@ -57,8 +57,9 @@ def temporal_windows(
 ) -> DataFrame:
     """Row-based windows inside each split; the target lies ``horizon`` rows later.
 
-    Rows may share a time, ``tie`` orders them.  Row positions come from counts per day
-    and second, so a split is never ordered in one task.
+    Rows may share a time, the whole number ``tie`` orders them.  Row positions come from
+    counts per day, second, time and block of ties, so neither a split nor a crowded second
+    is ever ordered in one task.
     """
     _positive(length=length, stride=stride, horizon=horizon)
     kept = [c for c in dict.fromkeys([split, ts, tie, target, *features])]
@@ -66,9 +67,10 @@ def temporal_windows(
         {
             "_day": F.floor(F.col("_us") / (86_400 * MICROS)).cast("bigint"),
             "_second": F.floor(F.col("_us") / MICROS).cast("bigint"),
+            "_ties": F.floor(col(tie) / 100_000).cast("bigint"),
         }
     )
-    placed = position(timed, [split], ["_day", "_second"], [F.col("_us"), col(tie)], "row_position")
+    placed = position(timed, [split], ["_day", "_second", "_us", "_ties"], [F.col("_us"), col(tie)], "row_position")
     made = _assemble(
         placed, [split], "row_position", length, horizon,
         {"origin": col(ts), "origin_position": F.col("row_position")},

@@ -662,16 +662,11 @@ def _(spark, d):
     return pick(act.source_first_last_seen(t.activity(spark, d)), ["source_ip", "first_seen", "last_seen"], bools=["active"])
 
 
-@query("f1_rank_sources", f"""with {PRIORITY}, l as (select source_ip, max(interval_start) as m from prio group by 1) select source_ip, priority, cast(priority_points as bigint) as priority_points, cast(row_number() over (order by case priority when 'HIGH PRIORITY SOURCE' then 0 when 'MEDIUM PRIORITY SOURCE' then 1 else 2 end, priority_points desc, packet_count desc, source_ip) as bigint) as place
-  from prio join l using (source_ip) where interval_start = m""")
+@query("f1_rank_sources", f"""with {PRIORITY}, l as (select source_ip, max(interval_start) as m from prio group by 1) select source_ip, priority, cast(priority_points as bigint) as priority_points, cast(packet_count as bigint) as packet_count
+  from prio join l using (source_ip) where interval_start = m order by case priority when 'HIGH PRIORITY SOURCE' then 0 when 'MEDIUM PRIORITY SOURCE' then 1 else 2 end, priority_points desc, packet_count desc, source_ip""")
 def _(spark, d):
-    from pyspark.sql import Window as W
-
-    from flowtide.functions.expressions import priority_rank
-
     newest = act.rank_sources(act.latest_per_source(priorities(spark, d)))
-    w = W.partitionBy(F.lit(0)).orderBy(priority_rank(F.col("priority")), F.col("priority_points").desc(), F.col("packet_count").desc(), "source_ip")
-    return pick(newest.withColumn("place", F.row_number().over(w)), ["source_ip", "priority"], ["priority_points", "place"])
+    return pick(newest, ["source_ip", "priority"], ["priority_points", "packet_count"])
 
 
 @query("h1_rate_limit_what_if", f"""with {A} select source_ip, cast(interval_start as varchar) as interval_start, round(least(byte_rate, 500), 6) as simulated_allowed_rate, round(byte_rate - least(byte_rate, 500), 6) as throttled_amount, round((byte_rate - least(byte_rate, 500)) / byte_rate * 100, 6) as percentage_reduction from activity""")

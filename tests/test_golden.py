@@ -193,3 +193,27 @@ def test_connection_golden(spark, tmp_path):
     (tmp_path / "t.log").write_text("#fields\t" + "\t".join(names) + "\n1700000000.5\tU\t1.1.1.1\t1\t2.2.2.2\t2\tudp\nshort\tline\n")
     table, broken = readers.read_zeek_tsv(spark, str(tmp_path / "t.log"))
     assert connections.normalize_connections(table)[0].first()["protocol"] == "UDP" and broken.count() == 1
+
+
+def test_rank_order_and_duplicate_states(spark):
+    rows = [("b", MEDIUM, 3, 5), ("a", HIGH, 5, 1), ("c", MEDIUM, 4, 1), ("d", MEDIUM, 3, 9), ("e", LOW, 0, 99)]
+    frame = spark.createDataFrame(rows, "source_ip string, priority string, priority_points int, packet_count long")
+    assert [r["source_ip"] for r in activity.rank_sources(frame).collect()] == ["a", "c", "d", "b", "e"]
+    table = state_table(spark, ["train"], 12).withColumn("sensor_id", F.lit("s"))
+    copied = table.unionByName(table.limit(4)).unionByName(table.limit(1)).repartition(3)
+    status = states.history_status(copied, ["sensor_id"], 10).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in status} == {"rejected_duplicate": 5, "buffering": 9, "ready": 3}
+
+
+def test_metrics_with_crowded_scores(spark):
+    rng = np.random.default_rng(9)
+    scores = np.concatenate([10.0 ** -rng.uniform(3, 14, 300), 1 - 10.0 ** -rng.uniform(3, 14, 300), rng.uniform(0, 1, 200).round(2), [0.0, 1.0]])
+    labels = (rng.uniform(size=len(scores)) < 0.3 + 0.4 * scores).astype(int)
+    got = evaluation.binary_metrics(spark.createDataFrame([(int(y), float(v)) for y, v in zip(labels, scores)], "label int, score double")).first()
+    pos, neg = scores[labels == 1], scores[labels == 0]
+    wins = ((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :])).mean()
+    values = np.unique(scores)[::-1]
+    hits = np.array([(pos >= v).sum() for v in values])
+    alarms = np.array([(neg >= v).sum() for v in values])
+    gained = np.diff(np.concatenate([[0], hits])) / len(pos)
+    assert got["roc_auc"] == pytest.approx(wins) and got["pr_auc"] == pytest.approx((gained * hits / (hits + alarms)).sum())
