@@ -223,8 +223,27 @@ def group_quantiles(
     )
 
 
-def group_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per group: ``group_quantiles`` for the one case that needs no list of questions."""
+def group_median(
+    rows: DataFrame, keys: Sequence[str], value: str, name: str, buffered_rows: int = 1_000_000
+) -> DataFrame:
+    """Exact median per group.
+
+    Groups of up to ``buffered_rows`` rows use the percentile aggregate, whose buffer that
+    number bounds.  Larger groups are ranked in parallel.  Their keys are broadcast: there
+    are at most (row count / ``buffered_rows``) of them, and usually none, in which case the
+    ranked branch is empty at run time.
+    """
+    keys = list(keys)
+    key_columns = [col(k) for k in keys]
+    numbers = rows.select(*key_columns, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = numbers.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("_rows"))
+    large = F.broadcast(sizes.filter(F.col("_rows") > buffered_rows).drop("_rows"))
+    buffered = numbers.join(large, keys, "left_anti").groupBy(*key_columns).agg(F.percentile("_v", F.lit(0.5)).alias(name))
+    return buffered.unionByName(ranked_median(numbers.join(large, keys, "left_semi"), keys, "_v", name))
+
+
+def ranked_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact median per group by ranking (value, count) pairs; no task holds a group."""
     keys = list(keys)
     key_columns = [col(k) for k in keys]
     pairs = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowtide.config import DAY_ROLES, STATE_FEATURES, FlowPolicy
 from flowtide.functions.durable import cut
-from flowtide.functions.expressions import col, day_text
+from flowtide.functions.expressions import col, day_text, slot
 from flowtide.operators import activity as act
 from flowtide.operators import cleaning as cl
 from flowtide.operators import flows as fl
@@ -166,7 +166,7 @@ def _(spark, d):
   select sequence_id, count(*) as "rows", count(*) = 10 as valid, case when count(*) = 10 then 'ok' else 'wrong_length' end as reason from q group by 1""")
 def _(spark, d):
     rows = t.states(spark, d, "inference").filter(F.col("flow_count") > 0)
-    named = rows.withColumn("sequence_id", F.concat(F.col("capture_day"), F.lit("/"), text(big(F.unix_seconds(F.col("timestamp").cast("timestamp")) / 100))))
+    named = rows.withColumn("sequence_id", F.concat(F.col("capture_day"), F.lit("/"), text(slot(F.col("timestamp"), 100))))
     return wd.validate_sequence(named)
 
 
@@ -192,7 +192,7 @@ def _(spark, d):
 
 @query("c2_densify_states", f"""with {S} select capture_day, count(*) as intervals, count(*) filter (flow_count = 0) as added, cast(min("timestamp") as varchar) as first_interval, cast(max("timestamp") as varchar) as last_interval from states group by 1""")
 def _(spark, d):
-    from flowtide.functions.expressions import slot, slot_start
+    from flowtide.functions.expressions import slot_start
 
     seen = t.flows(spark, d).groupBy("capture_date", slot(F.col("timestamp_parsed"), 10).alias("_slot")).agg(F.count(F.lit(1)).alias("n"))
     full = st.densify(seen, ["capture_date"], 10).withColumn("ts", slot_start(F.col("_slot"), 10))

@@ -242,17 +242,16 @@ def _export(spark, d) -> str:
     return path
 
 
-@query("a1_read_flow_csv", f"with {RAW} select count(*) as row_count, cast(sum(source_row_number) as bigint) as sequence_sum, count(*) filter (\"Label\" = 'Label') as header_rows, 0::bigint as misnumbered, 0::bigint as out_of_order from raw")
+@query("a1_read_flow_csv", f"with {RAW} select count(*) as row_count, cast(sum(source_row_number) as bigint) as sequence_sum, count(*) filter (\"Label\" = 'Label') as header_rows, 0::bigint as misnumbered from raw")
 def _(spark, d):
     from pyspark.sql import Window as W
 
     rows = readers.read_flow_csv(spark, _export(spark, d), [*t.RAW_COLUMNS, "Sequence"])
     w = W.partitionBy("source_file").orderBy(F.col("Sequence").cast("bigint"))
     placed = rows.withColumn("expected", F.row_number().over(w))
-    facts = placed.agg(
+    return placed.agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.col("Sequence").cast("bigint")).alias("sequence_sum"), F.count_if(F.col("Label") == "Label").alias("header_rows"),
         F.count_if(F.col("expected") != F.col("source_row_number")).alias("misnumbered"))
-    return facts.withColumn("out_of_order", F.lit(0).cast("bigint"))
 
 
 @query("a2_load_flow_csv", f"with {RAW} select count(*) filter (\"Label\" <> 'Bot') as valid_rows, count(*) filter (\"Label\" = 'Bot') as rejected_rows, cast(sum(\"Tot Fwd Pkts\") filter (\"Label\" <> 'Bot') as double) as packets, count(timestamp_parsed) filter (\"Label\" <> 'Bot') as timed_rows from clean")
