@@ -5,15 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowtide.llm.bpe import decode_documents, encode_documents, vocabulary
 from flowtide.llm.embedding_dedup import embedding_near_duplicates
 from flowtide.llm.ngram_join import ngram_jaccard_join
+from flowtide.llm.packing import cut_documents, pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load = vocabulary("byte_bpe_50k.json")
+    encoded = encode_documents(_table(spark, sf_dir, "documents"), load)
+    return decode_documents(encoded, load).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op2_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, with_ids=False)
+    return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -24,7 +41,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_ngram_jaccard_join, op4_embedding_near_dedup)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup)
 }
 
 ORACLES: dict[str, str] = {
