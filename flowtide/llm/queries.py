@@ -12,6 +12,7 @@ from flowtide.llm.embedding_dedup import embedding_near_duplicates
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.packing import cut_documents, pack
 from flowtide.llm.quality_rules import quality_rules
+from flowtide.llm.secret_scan import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +45,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("p_good")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op8_quality_rules)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op8_quality_rules, op10_secret_scans)
 }
 
 ORACLES: dict[str, str] = {
