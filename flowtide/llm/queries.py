@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowtide.llm.bpe import decode_documents, encode_documents, vocabulary
 from flowtide.llm.embedding_dedup import embedding_near_duplicates
+from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.packing import cut_documents, pack
 from flowtide.llm.quality_rules import quality_rules
@@ -41,6 +42,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("p_good")
 
@@ -52,10 +57,26 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op8_quality_rules, op10_secret_scans)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op8_quality_rules, op10_secret_scans)
 }
 
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+            FROM documents
+        ), lines AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS body FROM split),
+        wide AS (
+            SELECT body, min((doc_id, pos)) AS first_at FROM lines WHERE length(body) >= 20
+            GROUP BY body HAVING count(DISTINCT source) >= 8
+        ), marked AS (
+            SELECT doc_id, pos, line, wide.body IS NOT NULL AND (doc_id, pos) <> first_at AS gone
+            FROM lines LEFT JOIN wide USING (body)
+        )
+        SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+        FROM marked GROUP BY doc_id
+    """,
     "op3_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(
