@@ -13,6 +13,7 @@ from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.packing import cut_documents, pack
 from flowtide.llm.quality_rules import quality_rules
+from flowtide.llm.quotation import link_quotations
 from flowtide.llm.secret_scan import scan_secrets
 
 
@@ -46,6 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(_table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("p_good")
 
@@ -57,10 +62,47 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op8_quality_rules, op10_secret_scans)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op8_quality_rules, op10_secret_scans)
 }
 
 ORACLES: dict[str, str] = {
+    "op6_quotation_linking": r"""
+        WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+        split AS (
+            SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM m
+        ), marked AS (SELECT *, regexp_extract(line, '^(?:[ \t]*>)*') AS marks, regexp_matches(line, '(?i)\bwrote:[ \t\r]*$') AS intro FROM split),
+        parsed AS (
+            SELECT *, len(marks) - len(replace(marks, '>', '')) AS level,
+                trim(regexp_replace(substr(line, len(marks) + 1), '\s+', ' ', 'g')) AS body
+            FROM marked
+        ), cuts AS (
+            SELECT *, coalesce(lag(level) OVER w <> level OR lag(body) OVER w = '' OR lag(intro) OVER w, TRUE) AS starts
+            FROM parsed WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)
+        ), runs AS (
+            SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM cuts
+        ), passages AS (
+            SELECT conv_id, turn, level, lower(string_agg(body, ' ' ORDER BY i)) AS norm
+            FROM runs WHERE body <> '' AND NOT intro GROUP BY conv_id, turn, level, run
+        ), originals AS (SELECT conv_id, norm, min(turn) AS origin FROM passages WHERE level = 0 GROUP BY ALL),
+        links AS (
+            SELECT q.conv_id, q.turn, max(origin) FILTER (WHERE level = 1) AS direct, max(origin) AS any_level, count(*) AS n_linked
+            FROM passages q JOIN originals o ON o.conv_id = q.conv_id AND o.norm = q.norm
+            WHERE level > 0 AND origin < q.turn GROUP BY ALL
+        ), quotes AS (SELECT conv_id, turn, count(*) AS n_quotes, max(level) AS depth FROM passages WHERE level > 0 GROUP BY ALL),
+        own AS (
+            SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY i)
+                FILTER (WHERE NOT regexp_matches(line, '^[ \t]*>') AND NOT intro) AS text
+            FROM parsed GROUP BY ALL
+        ), parents AS (
+            SELECT conv_id, turn, role, coalesce(direct, any_level, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS parent_turn,
+                any_level IS NOT NULL AS by_quote, coalesce(n_linked, 0) AS n_linked
+            FROM m LEFT JOIN links USING (conv_id, turn)
+        )
+        SELECT conv_id, turn, role, parent_turn, by_quote, coalesce(n_quotes, 0) AS n_quotes, n_linked, CAST(coalesce(depth, 0) AS BIGINT) AS depth,
+            row_number() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn) - 1 AS position,
+            coalesce(trim(text, chr(10)), '') AS text
+        FROM parents LEFT JOIN quotes USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)
+    """,
     "op5_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
