@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowtide.llm.bpe import decode_documents, encode_documents, vocabulary
 from flowtide.llm.embedding_dedup import embedding_near_duplicates
+from flowtide.llm.language_id import language_id
 from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.packing import cut_documents, pack
@@ -51,6 +52,10 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(_table(spark, sf_dir, "conversations"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("p_good")
 
@@ -62,7 +67,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op8_quality_rules, op10_secret_scans)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op10_secret_scans)
 }
 
 ORACLES: dict[str, str] = {
