@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowtide.llm.bpe import decode_documents, encode_documents, vocabulary
 from flowtide.llm.embedding_dedup import embedding_near_duplicates
+from flowtide.llm.kneser_ney import quality_classifier
 from flowtide.llm.language_id import language_id
 from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
@@ -60,6 +61,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("p_good")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality_classifier(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -67,7 +73,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op10_secret_scans)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_secret_scans)
 }
 
 ORACLES: dict[str, str] = {
