@@ -36,9 +36,10 @@ def _neighbours(array: str, f: Callable[[Column, Column], Column]) -> Column:
     return F.zip_with(array, F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0))), f)
 
 
-def _measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _measures(docs: DataFrame, id_col: str | Column, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    base = docs.select(key.alias("_id"), text.alias("_t"))
     base = base.select(
         "_id", "_t", F.regexp_extract_all("_t", F.lit(f"({WORD})"), 1).alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_lines"),
@@ -152,26 +153,46 @@ def posterior(prior: float, accuracy: Accuracy, votes: tuple[int | None, ...]) -
     return 1 / (1 + math.exp(-odds))
 
 
+def _voted(docs: DataFrame, id_col: str | Column, text_col: str) -> DataFrame:
+    return _measures(docs, id_col, text_col).select("*", *[v.cast("int").alias(f"_v_{k}") for k, v in _votes().items()])
+
+
+def _judged(voted: DataFrame, prior: float, accuracy: Accuracy) -> DataFrame:
+    odds = F.lit(math.log(prior / (1 - prior)))
+    for k, (bad, none, good) in zip(_votes(), _weights(accuracy), strict=True):
+        odds = odds + F.when(F.col(f"_v_{k}") == 1, good).when(F.col(f"_v_{k}") == 0, bad).otherwise(none)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    scored = voted.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-odds)))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP))
+
+
+def _fitted(voted: DataFrame) -> tuple[float, Accuracy]:
+    votes = [f"_v_{k}" for k in _votes()]
+    rows = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
+    return fit_rules([(tuple(r[v] for v in votes), r["n"]) for r in rows], len(votes))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``id_col``, counts, ``base_failed``, ``p_good`` (posterior of being good) and ``kept``.
 
     Counts: n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word equal to an earlier one),
     n_repeat_words (words in 8-word windows found twice or more).  ``base_failed``: under 20 words or over 30 % repeat
-    words.  ``kept`` is false if it holds, else whether the posterior is at least one half.  Accuracies are estimated over
-    all rows.  Runs jobs.  Null and empty texts count nothing and fail; ids may be null or repeated, each row stands for
-    itself; extra columns are ignored; an empty table gives an empty result.
+    words.  ``kept`` is false if it holds, else whether the posterior is at least one half.  The votes' model is estimated
+    over all rows.  Runs jobs.  Null and empty texts count nothing and fail; ids may be null or repeated, each row stands
+    for itself; extra columns are ignored; an empty table gives an empty result.
     """
-    rules = _votes()
-    measured = cut(_measures(docs, id_col, text_col).select("*", *[v.cast("int").alias(f"_v_{k}") for k, v in rules.items()]))
-    votes = [f"_v_{k}" for k in rules]
-    patterns = [(tuple(r[v] for v in votes), r["n"]) for r in measured.groupBy(*votes).agg(F.count("*").alias("n")).collect()]
-    prior, accuracy = fit_rules(patterns, len(votes))
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for v, (bad, none, good) in zip(votes, _weights(accuracy), strict=True):
-        odds = odds + F.when(F.col(v) == 1, good).when(F.col(v) == 0, bad).otherwise(none)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = measured.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-odds)))
-    return scored.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good",
-        (~F.col("base_failed") & (F.col("p_good") >= KEEP)).alias("kept"),
+    voted = cut(_voted(docs, id_col, text_col))
+    return _judged(voted, *_fitted(voted)).select(
+        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept"
     )
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Measures are taken once for the model and once for the filter, so that no text is shuffled and rows need no key.
+    """
+    prior, accuracy = _fitted(_voted(docs, F.lit(0), text_col))
+    # A row number that the filter also names keeps it above the measures; pushed below, it would repeat all of them.
+    voted = _voted(docs, F.struct("*"), text_col).withColumn("_row", F.monotonically_increasing_id())
+    return _judged(voted, prior, accuracy).where("kept and _row >= 0").select("_id.*")
