@@ -22,8 +22,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: What the models look at: runs of 16 or more of the usual token characters that stand alone.
 CANDIDATE = r"(?<![\p{L}\p{N}])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![\p{L}\p{N}])"
 KINDS = ("assign", "access", "hex", "markov")
-#: A candidate is a secret from this log-likelihood ratio on: odds of about 160,000 to 1, for secrets are rare.
-LEAST_RATIO = 12.0
+#: A candidate is a secret from this log-likelihood ratio on (odds of about 160,000 to 1, for secrets are rare), and from
+#: this mean over its pairs of characters, so that long words of an unusual kind do not add up to one.
+LEAST_RATIO, LEAST_MEAN = 12.0, 2.0
+#: What is an ordinary identifier: shorter runs, so that no candidate is judged by itself.  Of all documents so many, chosen
+#: by hash, are read for them.
+ORDINARY = r"(?<![\p{L}\p{N}])[A-Za-z0-9+/_-]{6,15}+(?![\p{L}\p{N}+/_=-])"
+ORDINARY_DOCS = 20_000
+#: Share of the random model that takes every token character for equally likely: secrets come in more alphabets than the
+#: labelled ones.
+UNIFORM, TOKEN_CHARACTERS = 0.5, 66
 #: Pairs of a model count as much as so many unseen ones that are spread evenly over all characters.
 EVEN = 10.0
 FIRST, CHARACTERS = 32, 96
@@ -97,28 +105,38 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
         totals = [0] * CHARACTERS
         for pair, n in counts.items():
             totals[pair // CHARACTERS] += n
-        return lambda pair: math.log((counts.get(pair, 0) + EVEN / CHARACTERS) / (totals[pair // CHARACTERS] + EVEN))
+        return lambda pair: (counts.get(pair, 0) + EVEN / CHARACTERS) / (totals[pair // CHARACTERS] + EVEN)
 
     a, b = model(random), model(ordinary)
-    return [a(p) - b(p) for p in range(CHARACTERS**2)]
+    if not random:
+        return [0.0] * CHARACTERS**2
+    return [math.log(UNIFORM / TOKEN_CHARACTERS + (1 - UNIFORM) * a(p)) - math.log(b(p)) for p in range(CHARACTERS**2)]
 
 
-def _scored(found: DataFrame) -> DataFrame:
+def _ordinary(docs: DataFrame, text_col: str) -> DataFrame:
+    """Ordinary identifiers of a bounded sample of the documents, what the base patterns match left out."""
+    rows = docs.count()
+    some = docs.where(F.col(text_col).isNotNull()).where(F.pmod(F.xxhash64(text_col), F.lit(max(1, -(-rows // ORDINARY_DOCS)))) == 0)
+    bare = F.regexp_replace(F.col(text_col).cast("string"), f"(?:{ASSIGN})|(?:{ACCESS})|(?:{HEX})", " ")
+    return some.select(F.explode(F.regexp_extract_all(bare, F.lit(f"({ORDINARY})"), 1)).alias("value")).where(F.col("value").rlike("[A-Za-z]"))
+
+
+def _scored(found: DataFrame, ordinary: DataFrame) -> DataFrame:
     """``found`` with ``_markov``: free candidates whose log-likelihood ratio is high enough.
 
-    Labelled samples: the secrets of the base patterns against the free candidates, all of them.
+    Labelled samples: all secrets of the base patterns against ordinary identifiers.
     """
     assigned = F.transform("_assign", lambda m: F.regexp_extract(m["value"], ASSIGN, 2))
     secrets = F.flatten(F.array(assigned, F.transform("_access", lambda m: m["value"]), F.transform("_hex", lambda m: m["value"])))
     random = _pair_counts(found.select(F.explode(secrets).alias("value")))
-    ordinary = _pair_counts(found.select(F.explode("_free").alias("m")).select("m.value"))
-    table = F.split(F.lit(",".join(f"{x:.5f}" for x in log_ratios(random, ordinary))), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(f"{x:.5f}" for x in log_ratios(random, _pair_counts(ordinary)))), ",").cast("array<double>")
     known = bool(random)  # without any secret there is nothing to compare with
 
-    def ratio(value: Column) -> Column:
-        return F.aggregate(_pairs(value), F.lit(0.0), lambda s, p: s + F.element_at(table, p + 1))
+    def secret(value: Column) -> Column:
+        ratio = F.aggregate(_pairs(value), F.lit(0.0), lambda s, p: s + F.element_at(table, p + 1))
+        return ratio >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (F.length(value) - 1))
 
-    return found.withColumn("_markov", F.filter("_free", lambda m: F.lit(known) & (ratio(m["value"]) >= LEAST_RATIO)))
+    return found.withColumn("_markov", F.filter("_free", lambda m: F.lit(known) & secret(m["value"])))
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -137,11 +155,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points, ends exclusive; spans are ordered by start, then kind.  Base kinds follow the fixed patterns,
     leftmost and non-overlapping within a kind, matches with a secret that is too short dropped; ``markov`` spans are added
-    where no base span lies.  Models are trained on all rows.  Runs jobs.  Null and empty texts have no spans; ids may be
+    where no base span lies.  The random model learns
+    from all base secrets, the other from the identifiers of ``ORDINARY_DOCS`` documents.  Runs jobs.  Null and empty texts have no spans; ids may be
     null or repeated, each row stands for itself; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    scored = _scored(cut(_found(rows, "_text").drop("_text")))
+    scored = _scored(cut(_found(rows, "_text").drop("_text")), _ordinary(docs, text_col))
     return scored.select(
         F.col("_id").alias(id_col), *[F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS[:3]],
         _joined(_listed(KINDS[:3])).alias("base_spans"), _joined(_listed(KINDS)).alias("spans"),
@@ -154,7 +173,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", placeholder: str = P
     Texts without secrets, nulls included, come back as they are.  Runs jobs.
     """
     found = cut(_found(docs, text_col))
-    scored = _scored(found).withColumn("_spans", _listed(KINDS))
+    scored = _scored(found, _ordinary(docs, text_col)).withColumn("_spans", _listed(KINDS))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("parts"))
 
     def add(acc: Column, s: Column) -> Column:
