@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 INTERVALS = (1, 5, 10, 30, 60)
 INTERVAL = 10
@@ -135,14 +135,3 @@ class FreshnessPolicy:
     telemetry_stale_seconds: int = 30
     source_stale_seconds: int = 30
     requests_per_minute: int = 60
-
-
-@dataclass(frozen=True)
-class WindowSpecification:
-    """Context length, number of future steps and stride of sequence windows."""
-
-    length: int = 10
-    horizon: int = 5
-    stride: int = 1
-    interval_seconds: int = INTERVAL
-    features: list[str] = field(default_factory=lambda: list(STATE_FEATURES))

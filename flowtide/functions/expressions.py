@@ -63,11 +63,6 @@ def is_finite(value: Column) -> Column:
     return F.coalesce(value.cast("double") * F.lit(0.0) == F.lit(0.0), F.lit(False))
 
 
-def finite_or_null(value: Column) -> Column:
-    number = value.cast("double")
-    return F.when(is_finite(number), number)
-
-
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """Numerator over denominator, 0 where the denominator is 0 or missing."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
@@ -83,10 +78,6 @@ def relative_label(seconds_before: Column) -> Column:
     )
 
 
-def sigmoid(value: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-value))
-
-
 def score_class(score: Column, threshold: Column) -> Column:
     """``warning`` from the threshold on (inclusive), else ``no_warning``."""
     return F.when(score >= threshold, F.lit("warning")).otherwise(F.lit("no_warning"))

@@ -34,7 +34,11 @@ def validate_scores(scores: DataFrame, label: str = "label", score: str = "score
 
 
 def score_counts(scores: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score; rows that ``validate_scores`` rejects are left out.
+
+    A NaN compares above every threshold and would count as a warning.
+    """
+    scores, _ = validate_scores(scores, label, score)
     return scores.groupBy(*[col(k) for k in keys], col(score).cast("double").alias("score")).agg(
         F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) == 0).alias("neg")
     )
@@ -127,6 +131,7 @@ def confusion_by_threshold(scores: DataFrame, thresholds: Sequence[float], keys:
     no score is repeated per threshold.
     """
     keys = list(keys)
+    scores, _ = validate_scores(scores, label, score)
     key_columns = [col(k) for k in keys]
     grid = sorted(float(t) for t in thresholds)
     literal = F.array(*[F.lit(t) for t in grid])
@@ -241,6 +246,7 @@ def score_summary(scores: DataFrame, keys: Sequence[str] = (), label: str = "lab
     ``scope`` is ``all``, ``negative`` or ``positive``.
     """
     keys = list(keys)
+    scores, _ = validate_scores(scores, label, score)
     scopes = F.explode(F.array(F.lit("all"), F.when(col(label) == 1, "positive").otherwise("negative")))
     scoped = scores.select(*[col(k) for k in keys], col(score).cast("double").alias("score"), scopes.alias("scope"))
     names = keys + ["scope"]
@@ -254,6 +260,7 @@ def score_summary(scores: DataFrame, keys: Sequence[str] = (), label: str = "lab
 def calibration_bins(scores: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Ten bins with mean score, observed rate and gap; empty bins stay with count 0."""
     keys = list(keys)
+    scores, _ = validate_scores(scores, label, score)
     key_columns = [col(k) for k in keys]
     value = col(score).cast("double")
     filled = scores.groupBy(*key_columns, _bin_index(value).alias("bin")).agg(
@@ -274,6 +281,7 @@ def calibration_bins(scores: DataFrame, keys: Sequence[str] = (), label: str = "
 def calibration_summary(scores: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Expected calibration error and Brier score."""
     keys = list(keys)
+    scores, _ = validate_scores(scores, label, score)
     value, y = col(score).cast("double"), col(label).cast("double")
     filled = scores.groupBy(*[col(k) for k in keys], _bin_index(value).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(y).alias("r"), F.sum(F.pow(value - y, F.lit(2))).alias("b")
@@ -285,9 +293,11 @@ def calibration_summary(scores: DataFrame, keys: Sequence[str] = (), label: str
 
 
 def compare_splits(scores: DataFrame, split: str = "split") -> DataFrame:
-    """Score summary of each split next to its calibration error."""
-    summary = score_summary(scores, [split]).filter(F.col("scope") == "all").drop("scope")
-    return summary.join(calibration_summary(scores, [split]), split)
+    """Score summaries of each split, over all scores and per class, with its calibration errors and bins."""
+    bins = calibration_bins(scores, [split]).groupBy(col(split)).agg(
+        F.sort_array(F.collect_list(F.struct("bin", "lower", "upper", "count", "mean_score", "observed_positive_rate", "absolute_gap"))).alias("calibration_bins")
+    )
+    return score_summary(scores, [split]).join(calibration_summary(scores, [split]).join(bins, split), split)
 
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -200,11 +200,12 @@ def _(spark, d):
         F.count(F.lit(1)).alias("intervals"), F.count_if(F.col("n").isNull()).alias("added"), text(F.min("ts")).alias("first_interval"), text(F.max("ts")).alias("last_interval"))
 
 
-@query("c5_assign_day_role", f"with {RAW} select capture_date, case when capture_date < '2024-01-16' then 'train' when capture_date < '2024-01-24' then 'validation' end as split, count(*) as row_count from clean where capture_date < '2024-01-24' group by 1, 2")
+@query("c5_assign_day_role", f"with {RAW} select capture_date, case when capture_date < '2024-01-16' then 'train' when capture_date < '2024-01-24' then 'validation' else 'unassigned_day' end as split, count(*) as row_count from clean group by 1, 2")
 def _(spark, d):
     roles = {f"2024-01-{i:02d}": "train" if i < 16 else "validation" for i in range(1, 24)}
-    valid, _ = cl.assign_day_role(_clean(spark, d), "capture_date", roles)
-    return valid.groupBy("capture_date", "split").agg(F.count(F.lit(1)).alias("row_count"))
+    valid, rejected = cl.assign_day_role(_clean(spark, d), "capture_date", roles)
+    both = valid.select("capture_date", "split").unionByName(rejected.select("capture_date", F.col("reason").alias("split")))
+    return both.groupBy("capture_date", "split").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query("c6_label_dimension", f"""with {t.FLOWS_SQL}, days as (select capture_date, count(*) as row_count from flows group by 1 union all select cast(cast(ts as date) as varchar), count(*) from events group by 1)
@@ -278,10 +279,11 @@ def _(spark, d):
 
 
 @query("i18_chronological_split", """select split, count(*) as row_count, cast(min(ts) as varchar) as first_time, cast(max(ts) as varchar) as last_time from (select ts, case when ts >= timestamp '2024-01-02' and ts < timestamp '2024-01-20' then 'train'
-  when ts >= timestamp '2024-01-20' and ts < timestamp '2024-01-25' then 'validation' when ts >= timestamp '2024-01-25' and ts < timestamp '2024-01-29' then 'test' end as split from events) where split is not null group by 1""")
+  when ts >= timestamp '2024-01-20' and ts < timestamp '2024-01-25' then 'validation' when ts >= timestamp '2024-01-25' and ts < timestamp '2024-01-29' then 'test' else 'outside_ranges' end as split from events) group by 1""")
 def _(spark, d):
-    valid, _ = cl.chronological_split(t.table(spark, d, "events"), "ts", "2024-01-02", "2024-01-20", "2024-01-25", "2024-01-29")
-    return valid.groupBy("split").agg(F.count(F.lit(1)).alias("row_count"), text(F.min("ts")).alias("first_time"), text(F.max("ts")).alias("last_time"))
+    valid, rejected = cl.chronological_split(t.table(spark, d, "events"), "ts", "2024-01-02", "2024-01-20", "2024-01-25", "2024-01-29")
+    both = valid.select("ts", "split").unionByName(rejected.select("ts", F.col("reason").alias("split")))
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("row_count"), text(F.min("ts")).alias("first_time"), text(F.max("ts")).alias("last_time"))
 
 
 @query("i19_day_split", f"with {S} select split, capture_day, count(*) as states from states group by 1, 2")

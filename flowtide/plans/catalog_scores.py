@@ -129,10 +129,12 @@ def _(spark, d):
     return pick(ev.calibration_bins(t.scores(spark, d), ["split"]), ["split"], ["bin", "count"], ["mean_score", "observed_positive_rate", "absolute_gap"])
 
 
-@query("i11_compare_splits", f"""with {SC}, f as (select split, {_BIN} as bin, count(*) as n, sum(score) as s, sum(label) as r from scores group by 1, 2), e as (select split, sum(abs(s - r)) / sum(n) as expected_calibration_error from f group by 1)
-  select split, count(*) as "count", round(avg(score), 6) as mean, round(quantile_cont(score, 0.9), 6) as q90, round(any_value(expected_calibration_error), 6) as expected_calibration_error, round(avg((score - label) * (score - label)), 6) as brier_score from scores join e using (split) group by 1""")
+@query("i11_compare_splits", f"""with {SC}, f as (select split, {_BIN} as bin, count(*) as n, sum(score) as s, sum(label) as r from scores group by 1, 2), e as (select split, sum(abs(s - r)) / sum(n) as expected_calibration_error, max(abs(s - r) / n) as largest_gap from f group by 1),
+  g as (select split, avg((score - label) * (score - label)) as brier_score from scores group by 1), s as (select 'all' as scope, * from scores union all select case label when 1 then 'positive' else 'negative' end, * from scores)
+  select split, scope, count(*) as "count", round(avg(score), 6) as mean, round(quantile_cont(score, 0.9), 6) as q90, round(any_value(expected_calibration_error), 6) as expected_calibration_error, round(any_value(brier_score), 6) as brier_score, round(any_value(largest_gap), 6) as largest_gap from s join e using (split) join g using (split) group by 1, 2""")
 def _(spark, d):
-    return pick(ev.compare_splits(t.scores(spark, d)), ["split"], ["count"], ["mean", "q90", "expected_calibration_error", "brier_score"])
+    rows = ev.compare_splits(t.scores(spark, d)).withColumn("largest_gap", F.array_max(F.col("calibration_bins")["absolute_gap"]))
+    return pick(rows, ["split", "scope"], ["count"], ["mean", "q90", "expected_calibration_error", "brier_score", "largest_gap"])
 
 
 @query("i3_balanced_weights", f"with {SC} select cast(label as bigint) as label, count(*) as class_rows, round((select count(*) from scores) / (2.0 * count(*)), 6) as weight from scores group by 1")
@@ -246,10 +248,11 @@ def _cells(spark, d):
     return md.contributions(made, linear_scorer(), ["capture_day", "origin"])
 
 
-@query("i13_contributions", f"with {_CELLS} select feature, count(*) as windows, round(sum(c), 4) as total from cells where abs(c) > 1e-9 group by 1")
+@query("i13_contributions", f"""with {_CELLS}, names as (select unnest([{", ".join(f"'{f}'" for f in STATE_FEATURES)}]) as feature), w as (select count(*) as windows from vs)
+  select feature, any_value(windows) * 10 as cells, round(coalesce(sum(c), 0), 4) + 0.0 as total, round(coalesce(sum(abs(c)), 0), 4) + 0.0 as sensitivity from names left join cells using (feature) cross join w group by 1""")
 def _(spark, d):
-    rows = _cells(spark, d).filter(F.col("sensitivity") > 1e-9)
-    return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("windows"), num(F.sum("contribution"), 4).alias("total"))
+    rows = _cells(spark, d).groupBy("feature").agg(F.count(F.lit(1)).alias("cells"), num(F.sum("contribution"), 4).alias("total"), num(F.sum("sensitivity"), 4).alias("sensitivity"))
+    return rows
 
 
 @query("f2_top_contributions", f"with {_CELLS}, r as (select *, row_number() over (partition by capture_day, origin order by abs(c) desc, feature) as n from cells where abs(c) > 1e-9) select n as rank, count(*) as windows, round(sum(abs(c)), 4) as total from r where n <= 2 group by 1")
@@ -258,10 +261,11 @@ def _(spark, d):
     return rows.groupBy(big("rank").alias("rank")).agg(F.count(F.lit(1)).alias("windows"), num(F.sum("sensitivity"), 4).alias("total"))
 
 
-@query("i14_temporal_summary", f"with {_CELLS} select cast(origin as varchar) as origin, 't' as time_position, round(sum(c), 6) as signed_contribution, round(sum(abs(c)) / 17, 6) as sensitivity from cells group by 1")
+@query("i14_temporal_summary", f"""with {_CELLS}, a as (select origin, sum(c) as c, sum(abs(c)) as m from cells group by 1), p as (select unnest(range(10)) as i)
+  select cast(origin as varchar) as origin, cast(i as bigint) as position_index, round(case i when 9 then c else 0 end, 6) + 0.0 as signed_contribution, round(case i when 9 then m else 0 end / 17, 6) + 0.0 as sensitivity from a cross join p""")
 def _(spark, d):
-    rows = md.temporal_summary(_cells(spark, d), ["capture_day", "origin"]).filter("time_position = 't'")
-    return pick(rows, ["origin", "time_position"], nums=["signed_contribution", "sensitivity"])
+    rows = md.temporal_summary(_cells(spark, d), ["capture_day", "origin"])
+    return pick(rows, ["origin"], ["position_index"], ["signed_contribution", "sensitivity"])
 
 
 @query("i17_context_length_comparison", f"""with {_SCORED.replace('n >= 10 and', '')}, l as (select unnest([5, 10, 20]) as context_length), w as (select context_length, split, y1 as label, 1/(1+exp(-(z - 2.0))) as score from zz join l on n >= context_length), {metrics_sql('w', 'context_length', '0.3')}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowtide.config import FreshnessPolicy
 from flowtide.functions.durable import scratch_path
 from flowtide.functions.expressions import col, day_text
+from flowtide.functions.ordered import position
 from flowtide.operators import cleaning as cl
 from flowtide.operators import connections as cx
 from flowtide.operators import sensors as sn
@@ -17,6 +18,7 @@ from flowtide.plans.catalog import big, num, pick, query, text
 from flowtide.plans.catalog_flows import A, P, RAW, S, _clean, _split_states
 from flowtide.plans.flagship import linear_scorer, replay
 from flowtide.sources import readers, writers
+from flowtide.streaming import windows as stream_windows
 
 # --- connection logs -----------------------------------------------------
 
@@ -237,18 +239,16 @@ def _(spark, d):
 
 def _export(spark, d) -> str:
     path = scratch_path(spark, "export")
-    t.raw_flows(spark, d).withColumn("Sequence", F.col("source_row_number").cast("string")).drop("source_row_number", "source_file").repartition(4, "Sequence").sortWithinPartitions(
+    t.raw_flows(spark, d).withColumn("Sequence", F.col("source_row_number").cast("string")).drop("source_row_number", "source_file").repartition("Sequence").sortWithinPartitions(
         F.col("Sequence").cast("bigint")).write.option("header", True).option("emptyValue", "").csv(path)
     return path
 
 
 @query("a1_read_flow_csv", f"with {RAW} select count(*) as row_count, cast(sum(source_row_number) as bigint) as sequence_sum, count(*) filter (\"Label\" = 'Label') as header_rows, 0::bigint as misnumbered from raw")
 def _(spark, d):
-    from pyspark.sql import Window as W
-
-    rows = readers.read_flow_csv(spark, _export(spark, d), [*t.RAW_COLUMNS, "Sequence"])
-    w = W.partitionBy("source_file").orderBy(F.col("Sequence").cast("bigint"))
-    placed = rows.withColumn("expected", F.row_number().over(w))
+    rows = readers.read_flow_csv(spark, _export(spark, d), [*t.RAW_COLUMNS, "Sequence"]).withColumn("s", F.col("Sequence").cast("bigint"))
+    rows = rows.withColumn("block", F.floor(F.col("s") / 10_000))
+    placed = position(rows, ["source_file"], ["block"], [F.col("s")], "before").withColumn("expected", F.col("before") + 1)
     return placed.agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.col("Sequence").cast("bigint")).alias("sequence_sum"), F.count_if(F.col("Label") == "Label").alias("header_rows"),
         F.count_if(F.col("expected") != F.col("source_row_number")).alias("misnumbered"))
@@ -312,6 +312,15 @@ def _(spark, d):
     return both.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("reason") == "unknown_label").alias("unknown_labels"))
 
 
+@query("a7_read_replay", f"with {RAW} select 'flow' as kind, count(*) as row_count, count(*) filter (\"Label\" = 'Bot') as unknown_labels from clean")
+def _(spark, d):
+    path = scratch_path(spark, "export")
+    t.raw_flows(spark, d).drop("source_row_number", "source_file").write.option("header", True).option("emptyValue", "").csv(path)
+    kind, valid, rejected = readers.read_replay(spark, path)
+    both = valid.select(F.lit("ok").alias("reason")).unionByName(rejected.select("reason"))
+    return both.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("reason") == "unknown_label").alias("unknown_labels")).withColumn("kind", F.lit(kind))
+
+
 @query("a9_read_telemetry_envelopes", f"with {_BATCH} select sensor_id, count(*) as states, cast(sum(flow_count) as double) as flows, cast(max(b) + 1 as bigint) as last_sequence from nn group by 1")
 def _(spark, d):
     path = scratch_path(spark, "envelopes")
@@ -327,12 +336,22 @@ def _(spark, d):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), num(F.sum(col("Flow Duration")), 3).alias("duration"))
 
 
-@query("a11_write_multiday", f"with {RAW} select capture_date, count(*) as row_count from clean where capture_date < '2024-01-05' group by 1")
+@query("a11_write_multiday", f"with {RAW} select capture_date, count(*) as row_count, cast(sum(\"Tot Fwd Pkts\") as double) as packets, round(sum(\"Flow Duration\"), 3) as duration from clean group by 1")
 def _(spark, d):
     path = scratch_path(spark, "days")
     writers.write_multiday([_clean(spark, d)], path)
-    rows = spark.read.schema("`Label` string, capture_date string").parquet(path).filter("capture_date < '2024-01-05'")
-    return rows.groupBy("capture_date").agg(F.count(F.lit(1)).alias("row_count"))
+    rows = spark.read.option("basePath", path).schema("`Tot Fwd Pkts` double, `Flow Duration` double, capture_date string").parquet(path)
+    return rows.groupBy("capture_date").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(col("Tot Fwd Pkts")).alias("packets"), num(F.sum(col("Flow Duration")), 3).alias("duration"))
+
+
+@query("a12_write_states", f"with {S} select capture_day, 'network-state-v1' as schema_version, count(*) as states, cast(sum(flow_count) as bigint) as flows from states group by 1")
+def _(spark, d):
+    path = scratch_path(spark, "states")
+    writers.write_states(t.states(spark, d, "inference"), path)
+    rows = spark.read.parquet(path)
+    version = rows.schema["timestamp"].metadata["schema_version"]
+    return rows.groupBy("capture_day").agg(F.count(F.lit(1)).alias("states"), big(F.sum("flow_count")).alias("flows")).withColumn("schema_version", F.lit(version))
 
 
 @query("a13_write_state_splits", f"with {S} select split, count(*) as states from states group by 1")
@@ -365,3 +384,31 @@ def _(spark, d):
 def _(spark, d):
     _, advice = replay(t.packets(spark, d), linear_scorer())
     return pick(advice, ["source_ip", "interval_start", "priority", "recommendation"], ["priority_points"])
+
+
+# --- streams: the table arrives as files, completed windows are read back --
+
+
+def _streamed(spark, rows, time: str, transform):
+    """Everything a stream over ``rows`` emits; a copy of one row an hour after the last closes all windows before it."""
+    source, sink, state = (scratch_path(spark, n) for n in ("arrivals", "emitted", "offsets"))
+    end = rows.agg(F.max(time).alias("_end"))
+    closing = rows.limit(1).join(end).withColumn(time, F.expr("_end + interval 1 hour")).drop("_end")
+    rows.unionByName(closing).withColumn(time, col(time).cast("timestamp")).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    query = transform(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query("k2_stream_states", f"""with {S} select cast("timestamp" as varchar) as timestamp, cast(flow_count as bigint) as flow_count, cast(unique_destination_port_count as bigint) as unique_destination_port_count, round(byte_sum, 3) as byte_sum, round(fwd_byte_share, 6) as fwd_byte_share from states where flow_count > 0""")
+def _(spark, d):
+    rows = t.flows(spark, d)
+    states = _streamed(spark, rows, "timestamp_parsed", stream_windows.stream_states)
+    return pick(states, ["timestamp"], ["flow_count", "unique_destination_port_count"], byte_sum=num("byte_sum", 3), fwd_byte_share=num("fwd_byte_share"))
+
+
+@query("k7_stream_source_activity", f"""with {A} select source_ip, cast(interval_start as varchar) as interval_start, cast(flow_count as bigint) as flow_count, cast(packet_count as bigint) as packet_count, cast(unique_destination_ports as bigint) as unique_destination_ports, round(byte_count, 3) as byte_count from activity""")
+def _(spark, d):
+    rows = _streamed(spark, t.packets(spark, d), "timestamp", stream_windows.stream_source_activity)
+    return pick(rows, ["source_ip", "interval_start"], ["flow_count", "packet_count", "unique_destination_ports"], byte_count=num("byte_count", 3))

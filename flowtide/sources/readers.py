@@ -19,8 +19,6 @@ from flowtide.operators import cleaning, packets as packet_ops
 from flowtide.operators.connections import LOG_FIELDS
 from flowtide.operators.states import validate_states
 
-MAX_BROADCAST_SPLITS = 200_000
-
 
 def _file_name(path):
     return F.element_at(F.split(path, "/"), -1)
@@ -56,9 +54,7 @@ def read_flow_csv(spark: SparkSession, paths: str | Sequence[str], header: Seque
     splits = tagged.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = W.partitionBy("_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.select("_path", "_start", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    # The table has one row per file split; past the bound it is joined by shuffle instead.
-    if tagged.rdd.getNumPartitions() * 8 <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
+    # One row per file split; adaptive execution broadcasts it by its real size.
     numbered = tagged.join(splits, ["_path", "_start"])
     return numbered.select(
         *[col(n) for n in names], _file_name(F.col("_path")).alias("source_file"),
@@ -151,17 +147,22 @@ def read_zeek_json(spark: SparkSession, path: str, line_filter: bool = True) ->
 def read_zeek_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected lines) of tab-separated connection logs.
 
-    Each line follows the ``#fields`` header of its own file; header lines come before data
-    and there is one per file, so the header table has one row per file.
+    Each line follows the last ``#fields`` line before it in its own file.  Lines are ordered
+    inside their file split; a split hands its last header to the splits after it, so one
+    large log is as many tasks as it has splits.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("_path"))
-    headers = (
-        lines.filter(F.startswith(F.col("raw_line"), F.lit("#fields")))
-        .groupBy("_path").agg(F.max("raw_line").alias("h"))
-        .select("_path", F.slice(F.split("h", "\t"), 2, 1000).alias("_fields"))
-    )
-    data = lines.filter((F.trim("raw_line") != "") & ~F.startswith(F.col("raw_line"), F.lit("#")))
-    rows = data.join(headers, "_path", "left").withColumn("_values", F.split("raw_line", "\t"))
+    lines = spark.read.text(path).select(
+        F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    ).withColumn("_header", F.when(F.startswith(F.col("raw_line"), F.lit("#fields")), F.col("raw_line")))
+    inside = W.partitionBy("_path", "_start").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    carried = lines.groupBy("_path", "_start").agg(F.max_by("_header", F.when(F.col("_header").isNotNull(), F.col("_id"))).alias("_last"))
+    carried = carried.select("_path", "_start", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    placed = lines.withColumn("_near", F.last("_header", ignorenulls=True).over(inside)).join(carried, ["_path", "_start"])
+    fields = F.split(F.coalesce("_near", "_carried"), "\t")
+    data = placed.filter((F.trim("raw_line") != "") & ~F.startswith(F.col("raw_line"), F.lit("#")))
+    rows = data.withColumn("_fields", F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))).withColumn("_values", F.split("raw_line", "\t"))
     fine, rejected = cleaning.split_valid(
         rows,
         [

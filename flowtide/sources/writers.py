@@ -30,7 +30,8 @@ def write_multiday(days: Sequence[DataFrame], path: str, mode: str = "errorifexi
     """
     merged = union_days(days)
     doubles = {n: col(n).cast("double") for n, t in merged.dtypes if t in ("int", "bigint", "float", "smallint", "tinyint") and n != "source_row_number"}
-    merged.withColumns(doubles).write.mode(mode).partitionBy("capture_date").parquet(path)
+    # Rebalanced by day: few files for a small day, several tasks for a large one.
+    merged.withColumns(doubles).hint("rebalance", "capture_date").write.mode(mode).partitionBy("capture_date").parquet(path)
 
 
 def write_states(states: DataFrame, path: str, schema_version: str = "network-state-v1", mode: str = "errorifexists") -> None:
@@ -40,7 +41,7 @@ def write_states(states: DataFrame, path: str, schema_version: str = "network-st
 
 def write_state_splits(states: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One directory per split."""
-    states.write.mode(mode).partitionBy("split").parquet(path)
+    states.hint("rebalance", "split").write.mode(mode).partitionBy("split").parquet(path)
 
 
 def write_windows(windows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -52,7 +53,7 @@ def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "e
     """Small report frame as one JSON or CSV file."""
     if fmt not in ("json", "csv"):
         raise ValueError("report format must be json or csv")
-    writer = report.coalesce(1).write.mode(mode)
+    writer = report.repartition(1).write.mode(mode)
     writer.json(path) if fmt == "json" else writer.option("header", True).csv(path)
 
 
