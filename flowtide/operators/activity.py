@@ -13,6 +13,7 @@ from flowtide.functions.expressions import (
     canonical_key, col, day_text, fixed2, micros, percent_text, per_second, priority_label, priority_rank,
     recommendation, score_class, seconds_between, window_start,
 )
+from flowtide.functions.ordered import previous
 from flowtide.operators.cleaning import require_columns, split_valid
 
 
@@ -62,19 +63,19 @@ def source_activity(packets: DataFrame, interval_seconds: int = 10, keys: Sequen
 def source_growth(activity: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Relative change to the previous observed interval of the same source.
 
-    One source has at most one row per interval of time, so the window is bounded by the
-    observed time span.
+    The history of a source is cut by day, so a source that is always there is many tasks.
     """
     require_columns(activity, ACTIVITY_COLUMNS)
-    w = W.partitionBy(*[col(k) for k in keys], "source_ip").orderBy("interval_start")
+    measures = {"flow_growth": "flow_count", "packet_growth": "packet_count", "byte_growth": "byte_count"}
+    rows = previous(
+        activity.withColumn("_day", F.col("interval_start").cast("date")), [*keys, "source_ip"], "_day", [F.col("interval_start")], {f"_before_{c}": c for c in measures.values()}
+    )
 
     def growth(measure: str) -> Column:
-        before = F.lag(measure).over(w)
+        before = F.col(f"_before_{measure}")
         return F.coalesce((col(measure) - before) / F.greatest(before, F.lit(1)), F.lit(0.0)).cast("double")
 
-    return activity.withColumns(
-        {"flow_growth": growth("flow_count"), "packet_growth": growth("packet_count"), "byte_growth": growth("byte_count")}
-    )
+    return rows.withColumns({name: growth(c) for name, c in measures.items()}).drop("_day", *[f"_before_{c}" for c in measures.values()])
 
 
 def attach_forecast_context(activity: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -321,10 +321,11 @@ def usable_flows(df: DataFrame, ts: str = "timestamp_parsed", day: str = "captur
 def join_features_sidecar(features: DataFrame, sidecar: DataFrame, keys: Sequence[str] = ("source_file", "source_row_number")):
     """(joined rows, rows present on one side only)."""
     keys = list(keys)
-    joined = features.join(sidecar, keys)
-    only_left = features.join(sidecar, keys, "left_anti").select(*keys, F.lit("features_only").alias("reason"))
-    only_right = sidecar.join(features, keys, "left_anti").select(*keys, F.lit("sidecar_only").alias("reason"))
-    return joined, only_left.unionByName(only_right)
+    # One full join with a flag for each side answers all three questions.
+    both = features.withColumn("_left", F.lit(True)).join(sidecar.withColumn("_right", F.lit(True)), keys, "full")
+    joined = both.filter("_left and _right").drop("_left", "_right")
+    alone = both.filter("_left is null or _right is null").select(*keys, F.when(F.col("_right").isNull(), "features_only").otherwise("sidecar_only").alias("reason"))
+    return joined, alone
 
 
 def assign_day_role(df: DataFrame, day: str = "capture_day", roles: Mapping[str, str] = DAY_ROLES) -> tuple[DataFrame, DataFrame]:

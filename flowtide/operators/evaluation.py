@@ -117,6 +117,39 @@ def metrics_by_step(scores: DataFrame, thresholds: float | Sequence[float] = 0.5
     return binary_metrics(scores, F.element_at(values, F.col("step").cast("int")), ["step"])
 
 
+def class_report(
+    scores: DataFrame, threshold: float | Column = 0.5, keys: Sequence[str] = (), label: str = "label", score: str = "score"
+) -> DataFrame:
+    """Precision, recall, F1 and support per class with their macro and weighted averages.
+
+    ``class`` is ``0``, ``1``, ``macro`` or ``weighted``.
+    """
+    keys = list(keys)
+    key_columns = [col(k) for k in keys]
+    cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    hit, pos, neg = F.col("score") >= cut, F.col("pos"), F.col("neg")
+    total = lambda test, what: F.coalesce(F.sum(F.when(test, what)), F.lit(0))
+    facts = score_counts(scores, keys, label, score).groupBy(*key_columns).agg(
+        total(hit, pos).alias("tp"), total(hit, neg).alias("fp"), total(~hit, neg).alias("tn"), total(~hit, pos).alias("fn")
+    )
+
+    def one(name: str, right: Column, claimed: Column, actual: Column) -> Column:
+        f1 = _ratio(2 * right, claimed + actual)
+        return F.struct(F.lit(name).alias("class"), _ratio(right, claimed).alias("precision"), _ratio(right, actual).alias("recall"), f1.alias("f1"), actual.alias("support"))
+
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    both = facts.select(*key_columns, F.array(one("0", tn, tn + fn, tn + fp), one("1", tp, tp + fp, tp + fn)).alias("_c"))
+
+    def average(name: str, weight) -> Column:
+        weights = [weight(F.col("_c")[i]) for i in (0, 1)]
+        mean = lambda m: _ratio(F.col("_c")[0][m] * weights[0] + F.col("_c")[1][m] * weights[1], weights[0] + weights[1]).alias(m)
+        support = F.col("_c")[0]["support"] + F.col("_c")[1]["support"]
+        return F.struct(F.lit(name).alias("class"), mean("precision"), mean("recall"), mean("f1"), support.alias("support"))
+
+    rows = F.concat("_c", F.array(average("macro", lambda c: F.lit(1.0)), average("weighted", lambda c: c["support"].cast("double"))))
+    return both.select(*key_columns, F.explode(rows).alias("_r")).select(*key_columns, "_r.*")
+
+
 def cross_thresholds(scores: DataFrame, thresholds: Sequence[float], score: str = "score") -> DataFrame:
     """Every score with every threshold and its inclusive decision."""
     grid = F.array(*[F.lit(float(t)) for t in thresholds])

@@ -117,6 +117,15 @@ _EDGES = "[" + ", ".join(repr(e) for e in ev.BIN_EDGES[:-1]) + "]"
 _BIN = f"(len(list_filter({_EDGES}::double[], lambda e: e <= score)) - 1)"
 
 
+@query("i6_class_report", f"""with {SC}, m as (select split, count(*) filter (score >= 0.5 and label = 1) as tp, count(*) filter (score >= 0.5 and label = 0) as fp, count(*) filter (score < 0.5 and label = 0) as tn, count(*) filter (score < 0.5 and label = 1) as fn from scores group by 1),
+  c as (select split, '0' as class, coalesce(tn / nullif(tn + fn, 0), 0) as p, coalesce(tn / nullif(tn + fp, 0), 0) as r, coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) as f, tn + fp as s from m
+    union all select split, '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), tp + fn from m),
+  rep as (select * from c union all select split, 'macro', avg(p), avg(r), avg(f), sum(s) from c group by 1 union all select split, 'weighted', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) from c group by 1)
+  select split, class, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1, cast(s as bigint) as support from rep""")
+def _(spark, d):
+    return pick(ev.class_report(t.scores(spark, d), 0.5, ["split"]), ["split", "class"], ["support"], ["precision", "recall", "f1"])
+
+
 @query("i9_score_summary", f"""with {SC}, s as (select 'all' as scope, * from scores union all select case label when 1 then 'positive' else 'negative' end, * from scores) select scope, count(*) as "count", round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std,
   {', '.join(f'round(quantile_cont(score, {q}), 6) as {n}' for n, q in ev.SUMMARY_QUANTILES.items())}, {', '.join(f'count(*) filter ({_BIN} = {i}) as bin_{i}' for i in range(10))} from s group by 1""")
 def _(spark, d):

@@ -24,30 +24,36 @@ def _file_name(path):
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Stripped header names of a delimited file without the byte-order mark; reads one line."""
+def _header_as_written(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"no header in {path}")
-    names = [n.strip().strip('"') for n in first[0][0].lstrip("﻿").split(",")]
-    if names == [""]:
+    names = [n.strip('"') for n in first[0][0].lstrip("﻿").split(",")]
+    if [n.strip() for n in names] == [""]:
         raise ValueError(f"no columns in {path}")
     return names
 
 
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Stripped header names of a delimited file without the byte-order mark; reads one line."""
+    return [n.strip().strip('"') for n in _header_as_written(spark, path)]
+
+
 def read_flow_csv(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str] | None = None) -> DataFrame:
     """Flow export as text columns with ``source_file`` and ``source_row_number`` (A1).
 
     Row numbers start at 1 in each file and count repeated header rows.  A task knows the
     place of a row inside its file split; the rows of the earlier splits of the file are
-    added from a per-split count table, so nothing is sorted.
+    added from a per-split count table, so nothing is sorted.  A file whose header differs
+    from the first file's (or from ``header``) ends the read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    names = list(header) if header else read_header(spark, paths[0])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding="UTF-8", nullValue="\u0000", emptyValue="")
+    written = list(header) if header else _header_as_written(spark, paths[0])
+    names = [n.strip().strip('"') for n in written]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in written])
+    raw = spark.read.csv(paths, schema=schema, header=True, enforceSchema=False, encoding="UTF-8", nullValue="\u0000", emptyValue="")
     tagged = raw.select(
-        *[F.coalesce(col(n), F.lit("")).alias(n) for n in names],
+        *[F.coalesce(col(w), F.lit("")).alias(n) for w, n in zip(written, names, strict=True)],
         F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )

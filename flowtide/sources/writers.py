@@ -5,22 +5,32 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from flowtide.functions.expressions import col
+from flowtide.functions.expressions import col, is_finite
 from flowtide.operators.cleaning import select_model_features, union_days
 
 
 def write_clean_flow(flows: DataFrame, path: str, provenance: Mapping[str, str] | None = None, mode: str = "errorifexists") -> None:
-    """Snappy parquet of clean flows; provenance becomes column metadata of the label (A10)."""
-    tagged = flows
-    if provenance and "Label" in flows.columns:
-        tagged = flows.withMetadata("Label", {"provenance": dict(provenance)})
-    tagged.write.mode(mode).option("compression", "snappy").parquet(path)
+    """Snappy parquet of clean flows; provenance becomes column metadata, of the label or else the first column (A10)."""
+    _tagged(flows, provenance).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
-def write_model_features(flows: DataFrame, path: str, excluded: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """Numeric model-safe columns only (A10)."""
-    select_model_features(flows, excluded).write.mode(mode).option("compression", "snappy").parquet(path)
+def _tagged(rows: DataFrame, provenance: Mapping[str, str] | None) -> DataFrame:
+    if not provenance or not rows.columns:
+        return rows
+    return rows.withMetadata("Label" if "Label" in rows.columns else rows.columns[0], {"provenance": dict(provenance)})
+
+
+def write_model_features(
+    flows: DataFrame, path: str, excluded: Sequence[str] = (), mode: str = "errorifexists", provenance: Mapping[str, str] | None = None
+) -> None:
+    """Numeric model-safe columns only, all of them finite or null; anything else ends the write (A10)."""
+    features = select_model_features(flows, excluded)
+    refused = F.raise_error(F.lit("non-finite value in a model feature"))
+    kinds = {f.name: f.dataType for f in features.schema.fields if f.dataType.typeName() in ("float", "double")}
+    checked = {c: F.when(col(c).isNotNull() & ~is_finite(col(c)), refused.cast(kind)).otherwise(col(c)) for c, kind in kinds.items()}
+    _tagged(features.withColumns(checked), provenance).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
 def write_multiday(days: Sequence[DataFrame], path: str, mode: str = "errorifexists") -> None:
