@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 #: Words, and pairs of tokens, that a worker remembers; beyond it only the words of the texts at hand stay.
 REMEMBERED_WORDS = 300_000
-REMEMBERED_PAIRS = 200_000
+REMEMBERED_PAIRS = 300_000
 #: Characters of text whose words are encoded together.
 GROUP_CHARS = 1 << 20
 #: First stand-in for "byte at the end of a word", in a private-use area that byte alphabets do not reach.
 _FINAL = 0xE000
+_NEVER = 1 << 60
+#: White space to Python that is none to the vocabularies' patterns.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_alphabet() -> list[str]:
@@ -30,6 +33,9 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+_LOOSE_SPACE = regex.compile(r" (?!\S)")
+
+
 class Trie:
     """Encodings of words over an alphabet of single-character symbols.
 
@@ -40,8 +46,18 @@ class Trie:
     """
 
     def __init__(self, ids: dict[str, int], merges: dict[tuple[str, str], int]) -> None:
-        self.ids, self.merges = ids, merges
-        self.longest = max(map(len, ids))
+        self.merges = merges
+        self.codes = {token: array("I", [i]).tobytes() for token, i in ids.items()}
+        #: Length of the longest token that ends in two symbols.
+        self.tails: dict[str, int] = {}
+        for token in ids:
+            if len(token) > 1:
+                self.tails[token[-2:]] = max(self.tails.get(token[-2:], 0), len(token))
+        self._made: dict[str, tuple[str, str, int]] = {}
+        for (a, b), rank in sorted(merges.items(), key=lambda m: m[1]):
+            self._made.setdefault(a + b, (a, b, rank))
+        self._own: dict[str, bool] = {}
+        self._spines: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self._stable: dict[tuple[str, str], bool] = {}
 
     def merged(self, word: str) -> list[str]:
@@ -54,42 +70,79 @@ class Trie:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def _whole(self, token: str) -> bool:
+        """Whether the token is its own encoding."""
+        got = self._own.get(token)
+        if got is None:
+            got = self._own[token] = self.merged(token) == [token]
+        return got
+
+    def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """What stands at one end of the token (0: left, 1: right) as it is merged, and the rank that makes each."""
+        spine = []
+        while token in self._made:
+            *halves, rank = self._made[token]
+            spine.append((token, rank))
+            token = halves[side]
+        spine.append((token, -1))
+        return spine[::-1]
+
     def _fits(self, before: str, token: str) -> bool:
         got = self._stable.get((before, token))
         if got is None:
             if len(self._stable) >= REMEMBERED_PAIRS:
                 self._stable.clear()
-            got = self._stable[before, token] = self.merged(before + token) == ([before, token] if before else [token])
+            got = self._stable[before, token] = self._whole(token) and (not before or self._apart(before, token))
         return got
 
-    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """``(word, ids)`` for each distinct word."""
-        ids, longest, stable = self.ids, self.longest, self._stable
-        last = [""]  # last[i]: the last token of the encoding of the current word's first i symbols
+    def _apart(self, before: str, token: str) -> bool:
+        """Whether no merge crosses the border while both sides are built up, lowest rank first and leftmost on ties."""
+        left, right = (self._spines.get(k) or self._spines.setdefault(k, self._spine(*k)) for k in ((before, 1), (token, 0)))
+        i = j = 0
+        while True:
+            next_left = left[i + 1][1] if i + 1 < len(left) else _NEVER
+            next_right = right[j + 1][1] if j + 1 < len(right) else _NEVER
+            cross = self.merges.get((left[i][0], right[j][0]), _NEVER)
+            if cross < next_left and cross <= next_right and cross < _NEVER:
+                return False
+            if next_left == next_right == _NEVER:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word with its ids, 32-bit unsigned integers in this machine's byte order."""
+        codes, tails, stable, fits = self.codes, self.tails, self._stable, self._fits
+        # For the current word's first i symbols: the last token of their encoding, and the encoding.
+        last, done = [""], [b""]
         previous = ""
         for word in sorted(set(words)):
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
-                shared += 1
-            del last[shared + 1 :]
+            if word.startswith(previous):
+                shared = len(previous)
+            else:
+                shared = 0
+                for a, b in zip(word, previous, strict=False):
+                    if a != b:
+                        break
+                    shared += 1
+                del last[shared + 1 :], done[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                most = tails.get(word[end - 2 : end], 1) if end > 1 else 1
+                for start in range(end - most if end > most else 0, end):
                     token = word[start:end]
-                    if token in ids:
-                        before = last[start]
-                        fits = stable.get((before, token))
-                        if fits or fits is None and self._fits(before, token):
+                    if token in codes:
+                        pair = last[start], token
+                        fit = stable.get(pair)
+                        if fit or fit is None and fits(*pair):
                             last.append(token)
+                            done.append(done[start] + codes[token])
                             break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-            previous, out, at = word, [], len(word)
-            while at:
-                token = last[at]
-                out.append(ids[token])
-                at -= len(token)
-            out.reverse()
-            yield word, out
+            previous = word
+            yield word, done[-1]
 
 
 class Tokenizer:
@@ -104,12 +157,12 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.alphabet = _byte_alphabet()
-        final = {ord(c): chr(_FINAL + i) for i, c in enumerate(self.alphabet)}
+        self._final = {c: chr(_FINAL + i) for i, c in enumerate(self.alphabet)}
 
         def symbols(token: str) -> str:
             if suffix and token.endswith(suffix) and len(token) > len(suffix):
                 token = token[: -len(suffix)]
-                return token[:-1] + token[-1].translate(final)
+                return token[:-1] + self._final[token[-1]]
             return token
 
         vocabulary = {t: i for t, i in model["vocab"].items() if t not in self.special}
@@ -130,8 +183,24 @@ class Tokenizer:
         self.nfc, self.lower = "NFC" in normalizers, "Lowercase" in normalizers
         # Fixed value: the pattern of the byte-level pre-tokenizer when the file names none.
         self._words = regex.compile(split or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        #: Whether the pattern drops white space, so that words never depend on what lies beyond it.
+        self._dropped = split is not None and not regex.search(split, " ")
         self._known: dict[str, bytes] = {}
 
+    def _units(self, text: str) -> list[str]:
+        """Stretches of a text that are split into words by themselves: shorter than the text, longer than words.
+
+        Where white space is dropped, what stands between it.  Where a word may take one space along, the text is cut before
+        each space, unless a space is followed by more white space or ends the text; then the words themselves.
+        """
+        if self._dropped:
+            return self._words(text) if any(c in text for c in _NO_SPACE) else text.split()
+        if not text or _LOOSE_SPACE.search(text):
+            return self._words(text)
+        first, *rest = text.split(" ")
+        units = [" " + u for u in rest]
+        return [first, *units] if first else units
+
     def _normal(self, text: str) -> str:
         if self.nfc and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
@@ -140,34 +209,45 @@ class Tokenizer:
         return text
 
     def _pieces(self, text: str) -> list[list[str] | int]:
-        """Runs of words, and the ids of special tokens between them."""
+        """Runs of units, and the ids of special tokens between them."""
         if self._special is None or not self._special.search(text):
-            return [self._words(self._normal(text))]
+            return [self._units(self._normal(text))]
         out: list[list[str] | int] = []
         at = 0
         for m in self._special.finditer(text):
-            out += [self._words(self._normal(text[at : m.start()])), self.special[m.group()]]
+            out += [self._units(self._normal(text[at : m.start()])), self.special[m.group()]]
             at = m.end()
-        return [*out, self._words(self._normal(text[at:]))]
+        return [*out, self._units(self._normal(text[at:]))]
 
     def _symbols(self, word: str) -> str:
         if word.isascii() and word.isprintable() and " " not in word:
             mapped = word
         else:
-            mapped = "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
-        if self.suffix:
-            last = mapped[-1]
-            mapped = mapped[:-1] + chr(_FINAL + (ord(last) if last.isascii() else self.alphabet.index(last)))
-        return mapped
-
-    def _learn(self, words: set[str]) -> None:
-        new = words.difference(self._known)
+            mapped = "".join(map(self.alphabet.__getitem__, word.encode("utf-8", "surrogatepass")))
+        return mapped[:-1] + self._final[mapped[-1]] if self.suffix else mapped
+
+    def _learn(self, units: set[str]) -> None:
+        """Remember the ids of all units (and of their words, which are units of their own)."""
+        new = units.difference(self._known)
         if len(self._known) + len(new) > REMEMBERED_WORDS:
-            self._known = {w: self._known[w] for w in words if w in self._known}
-        back = {self._symbols(w): w for w in new}
-        known = self._known
+            self._known = {u: self._known[u] for u in units if u in self._known}
+            new = units.difference(self._known)
+        known, words, fresh, compound = self._known, self._words, set(), []
+        for unit in new:
+            bare = unit[1:] if unit[0] == " " else unit
+            # Letters alone, or with one mark behind them, need no pattern.
+            if bare.isalpha():
+                fresh.add(unit)
+                continue
+            parts = [unit[:-1], unit[-1]] if bare[:-1].isalpha() and bare[-1] in ".,;:!?" else words(unit)
+            compound.append((unit, parts))
+            fresh.update([w for w in parts if w not in known])
+        back = {self._symbols(w): w for w in fresh}
         for symbols, ids in self.trie.encode(back):
-            known[back[symbols]] = array("I", ids).tobytes()
+            known[back[symbols]] = ids
+        for unit, parts in compound:
+            if unit not in known:
+                known[unit] = b"".join([known[w] for w in parts])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as 32-bit unsigned integers in this machine's byte order."""
