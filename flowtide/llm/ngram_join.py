@@ -16,6 +16,8 @@ from flowtide.llm.hashing import mix, shingle_set, text_bytes, word_hashes
 #: Counters of the shingle order; fixed, so what is broadcast never grows with the data.
 COUNTERS = 1 << 20
 _BLOCK = 1 << 14
+#: Members from which a list counts as long.
+LONG_LIST = 32
 #: Ids of active documents that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -60,13 +62,25 @@ def _shingle_order(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def _shared_least(n: int, percent: int) -> int:
+    """Shingles that linked documents of size n or more are asked to share within their prefixes."""
+    return 1 + 3 * (n - -(-percent * n // 100)) // 10
+
+
 def _prefix_length(n: int, percent: int) -> int:
-    """Two sets with 100 * |x & y| >= percent * |x | y| share a shingle of their first so many."""
-    return n - -(-percent * n // 100) + 1
+    """Two sets with 100 * |x & y| >= percent * |x | y| share ``_shared_least`` (of the smaller) of their first so many.
+
+    One common shingle would need the shortest prefix; asking for a few more drops documents that meet by chance.
+    """
+    return n - -(-percent * n // 100) + _shared_least(n, percent)
+
+
+def _least_sql(n: str, percent: int) -> str:
+    return f"(1 + (3 * ({n} - ({percent} * {n} + 99) div 100)) div 10)"
 
 
 def _signatures(texts: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """``(id, n, k1, k2, prefix)`` per document: set size, 128-bit key of the set, prefix in the shared order."""
+    """``(id, n, k1, k2, p1, p2, prefix)`` per document: set size, 128-bit keys of set and prefix, prefix in the shared order."""
     shared = texts.sparkSession.sparkContext.broadcast(np.minimum(order, np.iinfo(np.uint32).max).astype(np.uint32))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +103,8 @@ def _signatures(texts: DataFrame, width: int, percent: int, order: np.ndarray) -
                 names=["id", "n", "k1", "k2", "prefix"],
             )
 
-    return texts.mapInArrow(sign, "id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+    signed = texts.mapInArrow(sign, "id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+    return signed.select("id", "n", "k1", "k2", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "prefix")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -119,35 +134,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint")
 
 
-def _may_link(percent: int) -> str:
-    """Size and position filter of one common prefix shingle of a and b."""
-    need = f"((100 + {percent}) * (1 + least(n_a - pos_a, n_b - pos_b)) >= {percent} * (n_a + n_b))"
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {need}"
+def _sizes_allow(percent: int) -> str:
+    """Size filter of a and b; shingles of a prefix that no other class has in its own (``own``) cannot be common."""
+    most = "least(n_a - own_a, n_b - own_b)"
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (100 + {percent}) * {most} >= {percent} * (n_a + n_b)"
 
 
-def _side(rows: DataFrame, s: str) -> DataFrame:
-    return rows.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "comp")])
+def _positions_allow(percent: int) -> str:
+    """Position filter at the first common shingle of a and b; at a later one it may be stricter, never at the first."""
+    return f"(100 + {percent}) * (1 + least(n_a - pos_a, n_b - pos_b)) >= {percent} * (n_a + n_b)"
+
+
+_COLUMNS = ("id", "n", "own", "pos", "comp")
 
 
 def _pairs(rows: DataFrame, percent: int, leader: str) -> DataFrame:
     """Candidate pairs between different components that share a list.
 
-    ``min`` and ``max`` compare every member of a list with one leader, so they stay linear.  ``rest`` compares all members
-    outside the list's largest component with every other component: exact, and empty for a list whose members are linked.
+    ``first`` and ``last`` compare every member of a list with one leader, so they stay linear: of the members with the
+    fewest shingles of their own, which lie in the middle of a group of near copies, the one with the largest or smallest id.
+    ``rest`` compares all members outside the list's largest component with every other component: exact, and empty for a
+    list whose members are linked.
     """
-    if leader in ("min", "max"):
-        pick = F.min if leader == "min" else F.max
-        lead = rows.groupBy("h").agg(pick(F.struct("id", "n", "pos", "comp")).alias("l")).select("h", *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "pos", "comp")])
-        joined = _side(rows, "b").join(lead, "h").where("comp_a <> comp_b")
-    else:
-        sizes = rows.groupBy("h", "comp").count()
-        major = sizes.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        rows = rows.join(major.select("h", F.col("m.comp").alias("major")), "h")
-        minor = _side(rows.where("comp <> major"), "a")
-        others = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "comp")], "major")
-        joined = minor.join(others, "h").where("comp_a <> comp_b and (comp_b = major or id_a < id_b)")
-    joined = joined.where(_may_link(percent))
-    return joined.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    if leader in ("first", "last"):
+        sign = F.col("id") if leader == "last" else -F.col("id")
+        lead = rows.groupBy("h").agg(F.max_by(F.struct(*_COLUMNS), F.struct(-F.col("own"), sign)).alias("l")).select("h", *[F.col(f"l.{c}").alias(f"{c}_a") for c in _COLUMNS])
+        side = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in _COLUMNS])
+        pairs = side.join(lead, "h").where("comp_a <> comp_b").where(_sizes_allow(percent)).where(_positions_allow(percent))
+        return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    sizes = rows.groupBy("h", "comp").count()
+    lists = sizes.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("members")).where("parts > 1")
+    rows = rows.join(lists.select("h", F.col("m.comp").alias("major"), (F.col("members") > LONG_LIST).alias("long")), "h")
+    # Two members of one long list mostly share many; each member brings its long lists along, and a pair comes out of the
+    # first of them with their number.
+    long = rows.where("long")
+    own_lists = long.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h")))["h"].alias("lists"))
+    common = F.array_intersect("lists_a", "lists_b")
+    met = _across(rows.where("not long"), _COLUMNS, percent).select("*", F.lit(1).alias("shared")).unionByName(
+        _across(long.join(own_lists, ["id", "n"]), (*_COLUMNS, "lists"), percent).where(F.get(common, F.lit(0)) == F.col("h")).withColumn("shared", F.size(common)).drop("lists_a", "lists_b")
+    )
+    pairs = met.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("n_a", "n_b").alias("n")).agg(
+        F.sum("shared").alias("shared"), F.bool_or(F.expr(_positions_allow(percent))).alias("may")
+    )
+    return pairs.where(f"may and shared >= {_least_sql('n', percent)}").select("a", "b").distinct()
+
+
+def _across(rows: DataFrame, columns: tuple[str, ...], percent: int) -> DataFrame:
+    """Members outside a list's largest component beside the members of every other component, sizes permitting."""
+    minor = rows.where("comp <> major").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
+    others = rows.select("h", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
+    return minor.join(others, "h").where("comp_a <> comp_b and (comp_b = major or id_a < id_b)").where(_sizes_allow(percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -158,8 +194,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle.  Runs jobs (checkpoints in ``spark.checkpoint.dir``).
 
     Plan: count shingles into a fixed number of counters, which orders them rare first; documents with equal sets become
-    one class, classes with equal prefix and size one group; groups sharing a prefix shingle are filtered by size and
-    position, expanded to their classes and verified on whole sets.  Pairs already connected are never compared: each list
+    one class, classes with equal prefix and size one group; groups sharing a prefix shingle are filtered by sizes and
+    positions, expanded to their classes and verified on whole sets; a class whose prefix meets too few others links with
+    none and is left out before that.  Pairs already connected are never compared: each list
     is first compared with a leader, then only across the components that remain.
 
     Null or empty text: 0 shingles, own component.  Null id: 0 or more shingles, null component, no links.  Rows with the
@@ -169,24 +206,35 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(_signatures(texts, width, percent, _shingle_order(texts, width)))
     usable = signed.where("id is not null and n > 0")
-    classes = cut(usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix")))
-
-    # Groups: classes with identical prefix and size.
-    classes = classes.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix"))
-    groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.first("prefix").alias("prefix"), F.count("*").alias("classes"))
-    postings = groups.select("group", "n", "classes", F.posexplode("prefix").alias("pos", "h"))
-    shared = postings.groupBy("h").agg(F.sum("classes").alias("k")).where("k > 1").select("h")
-    lists = postings.join(shared, "h").select("h", "group", "n", (F.col("pos") + 1).alias("pos"))
-    members = classes.join(groups.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", "id")
-    rows = cut(lists.join(members, "group").select("h", "id", "n", "pos"))
-
-    active = cut(rows.select("id").distinct())
+    classes = cut(usable.groupBy("n", "k1", "k2", "p1", "p2").agg(F.min("id").alias("id")))
+
+    # Groups: classes with identical prefix and size.  One row of each brings its prefix; rows that merely repeat an id and
+    # its text would bring it again.
+    groups = usable.groupBy("n", "p1", "p2").agg(F.min(F.struct("id", "k1")).alias("g"), (F.min("k1") < F.max("k1")).alias("several"))
+    leaders = cut(groups.select("g.id", "g.k1", "several"))
+    prefixes = usable.join(F.broadcast(leaders) if leaders.count() <= BROADCAST_IDS else leaders, ["id", "k1"])
+    if not usable.groupBy("id", "k1").count().where("count > 1").isEmpty():
+        prefixes = prefixes.dropDuplicates(["id", "k1"])
+    # Lists of the groups by shingle; a group is named by the hash of its prefix.
+    postings = prefixes.select("p1", "several", F.posexplode("prefix").alias("pos", "h"))
+    shared = postings.groupBy("h").agg(F.count("*").alias("k"), F.bool_or("several").alias("several")).where("k > 1 or several").select("h")
+    lists = postings.select("h", "p1", "pos").join(shared, "h")
+    members = classes.select("p1", "n", "id")
+    # A link of a document of size n is with one of size percent * n / 100 at least.
+    smaller = f"(({percent} * n + 99) div 100)"
+    met = lists.join(members, "p1").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("met"))
+    met = met.where(f"size(met) >= {_least_sql(smaller, percent)}")
+    prefix = f"n - ({percent} * n + 99) div 100 + {_least_sql('n', percent)}"
+    met = cut(met.select("id", "n", F.expr(f"{prefix} - size(met)").alias("own"), "met"))
+    rows = met.select("id", "n", "own", F.explode("met").alias("m")).select("id", "n", "own", "m.pos", "m.h")
+
+    active = cut(met.select("id").distinct())
     few = active.count() <= BROADCAST_IDS
     sets = cut(_sets(texts.join(F.broadcast(active) if few else active, "id", "left_semi"), width).distinct())
 
     tried = links = None
     labels = active.select("id", F.col("id").alias("comp"))
-    for leader in ("min", "max", "rest"):
+    for leader in ("first", "last", "rest"):
         pairs = _pairs(rows.join(labels, "id"), percent, leader)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
