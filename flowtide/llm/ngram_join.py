@@ -135,8 +135,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sizes_allow(percent: int) -> str:
-    """Size filter of a and b; shingles of a prefix that no other class has in its own (``own``) cannot be common."""
-    most = "least(n_a - own_a, n_b - own_b)"
+    """Size filter of a and b in a list they share; it never drops a link, whichever of their lists it is.
+
+    Common shingles ranked before the list's lie in both prefixes, so they are among those that each has met others with:
+    ``pos - own``, ``own`` being the shingles before the position that no other class has in its prefix.  One of these ranked
+    later may be common, for it can lie behind the partner's prefix.
+    """
+    most = "(least(pos_a - own_a, pos_b - own_b) + least(n_a - pos_a, n_b - pos_b))"
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (100 + {percent}) * {most} >= {percent} * (n_a + n_b)"
 
 
@@ -222,11 +227,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = classes.select("p1", "n", "id")
     # A link of a document of size n is with one of size percent * n / 100 at least.
     smaller = f"(({percent} * n + 99) div 100)"
-    met = lists.join(members, "p1").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("met"))
+    # Groups of one prefix and several sizes bring it once each.
+    met = lists.join(members, "p1").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("met"))
     met = met.where(f"size(met) >= {_least_sql(smaller, percent)}")
-    prefix = f"n - ({percent} * n + 99) div 100 + {_least_sql('n', percent)}"
-    met = cut(met.select("id", "n", F.expr(f"{prefix} - size(met)").alias("own"), "met"))
-    rows = met.select("id", "n", "own", F.explode("met").alias("m")).select("id", "n", "own", "m.pos", "m.h")
+    met = cut(met.select("id", "n", "met"))
+    rows = met.select("id", "n", F.posexplode("met").alias("i", "m")).select("id", "n", (F.col("m.pos") - F.col("i")).alias("own"), "m.pos", "m.h")
 
     active = cut(met.select("id").distinct())
     few = active.count() <= BROADCAST_IDS

@@ -84,6 +84,24 @@ def test_similarity_join_is_exact(spark, width, percent):
     assert ngram_jaccard_join(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width, percent, size", [(5, 80, 80), (3, 90, 90)])
+def test_similarity_join_finds_insertions_and_containment(spark, width, percent, size):
+    docs, most = [], size * 100 // percent - size
+    for added in range(most + 2):
+        w = [f"{added}w{i}" for i in range(size + width - 1)]
+        new = [f"{added}n{i}" for i in range(added)]
+        inner = [*w[: size // 2], *new[: max(0, added - width + 1)], *w[size // 2 :]]  # inserted: takes width - 1 shingles away, too
+        docs += [(4 * added, " ".join(w)), (4 * added + 1, " ".join([*w, *new])), (4 * added + 2, " ".join([*new, *w])), (4 * added + 3, " ".join(inner))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sets = {i: shingles(t, width) for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(frame, width=width, percent=percent).collect()} == roots(sets, links)
+    for added in (1, most // 2, most, most + 1):  # isolated: one text, and the text with rare text added
+        two = frame.where(f"doc_id in ({4 * added}, {4 * added + 1})")
+        got = [r["component_id"] for r in ngram_jaccard_join(two, width=width, percent=percent).collect()]
+        assert len(set(got)) == (1 if added <= most else 2)
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     import flowtide.llm.hashing as h
 
