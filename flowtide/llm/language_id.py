@@ -226,18 +226,20 @@ class Labeller:
 
 
 def training_lines(labelled: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A bounded sample: of each of the ``LANGUAGES`` most frequent languages, ``LINES`` distinct lines by hash order.
+    """A bounded sample: of each of the ``LANGUAGES`` most frequent languages, the ``LINES`` distinct lines of smallest hash.
 
-    Lines of every labelled text take part; a share by hash first keeps what is ranked small.
+    Lines of every labelled text take part.  Only hashes below a bound are ranked; it goes by the number of distinct lines,
+    so that some four times ``LINES`` of them lie below, however often each repeats.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line"))
     rows = rows.where("lang is not null").where(F.length("line") >= 20)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    order = F.xxhash64("line")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(order).alias("distinct")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return []
-    limits = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * LINES / r["count"])) for r in sizes], "lang string, share double")
-    order = F.xxhash64("line")
-    few = rows.join(F.broadcast(limits), "lang").where(F.pmod(order, F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", F.substring("line", 1, 2000).alias("line"), order.alias("o")).distinct()
+    bound = lambda n: min(2**63 - 1, 2**64 * 4 * LINES // max(n, 1) - 2**63)
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], bound(r["distinct"])) for r in sizes], "lang string, bound bigint")
+    few = rows.withColumn("o", order).join(F.broadcast(limits), "lang").where("o <= bound").select("lang", F.substring("line", 1, 2000).alias("line"), "o").distinct()
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "line"))).where(F.col("r") <= LINES)
     return [(r["lang"], r["line"]) for r in ranked.orderBy("lang", "r").collect()]
 

@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowtide.llm.components import components
 from flowtide.llm.embedding_dedup import embedding_near_duplicates, tile_links
 from flowtide.llm.hashing import shingle_set, word_hashes
 from flowtide.llm.kneser_ney import BITS, CLASSES, ORDER, _scorer, classes_of, count_grams, grams_of, kneser_ney, quality_classifier
-from flowtide.llm.language_id import Chains, language_id
+from flowtide.llm.language_id import LINES, Chains, language_id, training_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.quotation import link_quotations
 
@@ -184,6 +185,15 @@ def test_languages_and_switches(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"} and language_id(frame.limit(0)).count() == 0
 
 
+def test_training_lines_do_not_depend_on_copies(spark):
+    few = spark.range(100_000).select(F.format_string("copied line number %d of a few", F.col("id") % 30).alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(5000).select(F.format_string("one line number %d of very many", "id").alias("text"), F.lit("bb").alias("lang"))
+    got = training_lines(few.union(many).union(many.limit(10).crossJoin(spark.range(2000)).select("text", "lang")), "text", "lang")
+    assert sum(lang == "aa" for lang, _ in got) == 30
+    smallest = [r["text"] for r in many.orderBy(F.xxhash64("text")).limit(LINES).collect()]
+    assert [line for lang, line in got if lang == "bb"] == smallest
+
+
 def test_kneser_ney_sums_to_one_and_matches_a_plain_model(spark):
     texts = ["the cat sat on the mat.", "a cat and a hat", "that is the thing"] * 3 + ["cats", None, ""]
     counted = count_grams(spark.createDataFrame([(t,) for t in texts], "text string"))
