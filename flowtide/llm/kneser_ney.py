@@ -1,8 +1,7 @@
 """Text quality by perplexity: interpolated modified Kneser-Ney over characters, trained on trusted documents.
 
-Counting, estimation and joins are DataFrame work on sharded n-gram tables.  The unit is the character of a fixed alphabet of
-64 classes, so the finished table is bounded by that alphabet and can be sent to every task; joining each document's own
-n-grams with the counts would shuffle several times the input.
+Counting, estimation and joins are DataFrame work on sharded n-gram tables, which grow with the trusted text.  The unit is the
+code point.  A table of a counted size is sent to the tasks; beyond it each document's own n-grams, added up, are joined to it.
 """
 
 from __future__ import annotations
@@ -17,13 +16,15 @@ from pyspark.sql import functions as F
 from flowtide.functions.durable import cut
 from flowtide.llm.bpe import _slices
 
-#: Length of the n-grams, and bits of a character class; at most 2 ** (ORDER * BITS) n-grams exist.
-ORDER, BITS = 4, 6
+#: Length of the n-grams, and bits of a character class.  A code takes all bits of a bigint: shifts are unsigned.
+ORDER, BITS = 4, 16
 CLASSES = 1 << BITS
 #: A document is kept up to this quantile of its language's trusted perplexities, times the slack.
 QUANTILE, SLACK = 0.98, 1.5
 #: Ids of trusted documents that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: N-grams of all orders that may be sent to tasks (32 bytes each at most); beyond it documents are joined to the table.
+BROADCAST_GRAMS = 2_000_000
 #: Code points scored together; a longer text is taken in overlapping parts.
 PART = 1 << 20
 #: Memory that partial counts of a task may take before they are passed on: distinct n-grams.
@@ -31,33 +32,19 @@ DISTINCT = 1 << 21
 
 
 def _class_table() -> np.ndarray:
-    """Class of every code point below U+0250: 0 blank, 1-26 letters, 27 digit, 28 capital mark, then signs, then others."""
-    table = np.zeros(0x250, np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        low = ch.lower()
-        if ch.isspace() or c < 32:
-            table[c] = 0
-        elif len(low) == 1 and "a" <= low <= "z":
-            table[c] = ord(low) - 96
-        elif ch.isdigit():
-            table[c] = 27
-        elif c < 128:
-            table[c] = 28 + "!\"#$%&'()*+,-./:;<=>?@[]_{|}~\\^`".find(ch) % 12
-        else:
-            table[c] = 40 + ord(low[0]) % 16
-    return table
+    """Class of every code point below U+10000: blanks and controls are 0, all others stand for themselves."""
+    return np.array([0 if c < 32 or chr(c).isspace() else c for c in range(1 << BITS)], np.int64)
 
 
 _TABLE = _class_table()
-#: Classes of the remaining code points, by block.
-_REST = 56
+#: Code points from U+10000 on share the classes of the surrogates and the private use area, which texts hardly hold.
+_REST, _RESTS = 0xD800, 0xF900 - 0xD800
 
 
 def classes_of(text: str) -> np.ndarray:
     """Character classes of a text, blanks before it so that its beginning has a context."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(codes < len(_TABLE), _TABLE[np.minimum(codes, len(_TABLE) - 1)], _REST + (codes >> 8) % (CLASSES - _REST))
+    out = np.where(codes < CLASSES, _TABLE[np.minimum(codes, CLASSES - 1)], _REST + codes.astype(np.int64) % _RESTS)
     return np.concatenate([np.zeros(ORDER - 1, np.int64), out.astype(np.int64)])
 
 
@@ -70,6 +57,11 @@ def grams_of(classes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mask(order: int) -> int:
+    """Bits of the last ``order`` characters of a code, as a bigint."""
+    return -1 if order * BITS == 64 else (1 << (BITS * order)) - 1
+
+
 def _parts(text: str) -> Iterator[np.ndarray]:
     """N-gram codes of a text in bounded parts that together cover each character once."""
     for at in range(0, len(text), PART):
@@ -129,7 +121,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     done, lower = None, None
     for order, level in reversed(levels):
         d1, d2, d3 = _discounts(level)
-        rows = level.withColumn("context", F.shiftright("gram", BITS)).withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        rows = level.withColumn("context", F.shiftrightunsigned("gram", BITS)).withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
         own = rows.join(contexts, "context").withColumn("back", F.col("left") / F.col("total")).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
         if lower is None:
@@ -156,14 +148,14 @@ class Scorer:
         left = np.arange(len(grams))
         for order in range(ORDER, 0, -1):
             keys, values = self.tables[order]
-            own = grams[left] & ((1 << (BITS * order)) - 1)
+            own = grams[left] & _mask(order)
             at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
             hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
             out[left[hit]] += values[at[hit]]
             left, own = left[~hit], own[~hit]
             keys, values = self.backs[order]
             if len(left) and len(keys):
-                context = own >> BITS
+                context = (own.view(np.uint64) >> np.uint64(BITS)).view(np.int64)
                 at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
                 out[left] += np.where(keys[at] == context, values[at], 0.0)
         out[left] -= np.log(CLASSES)
@@ -179,7 +171,7 @@ class Scorer:
 
 
 def _scorer(model: DataFrame) -> Scorer:
-    """The model as sorted arrays: at most 2 ** (ORDER * BITS) n-grams by construction of the alphabet."""
+    """The model as sorted arrays, for a table of at most ``BROADCAST_GRAMS`` n-grams."""
     table = model.select("order", "gram", F.log("p").cast("float").alias("p"), "context", F.log("back").cast("float").alias("b")).toArrow()
     order, gram, p, context, back = (table.column(c).to_numpy() for c in ("order", "gram", "p", "context", "b"))
     tables, backs = {}, {}
@@ -207,6 +199,39 @@ def perplexities(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, perplexity double")
 
 
+def joined_perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """As ``perplexities``, by joins with the sharded table: each text's distinct n-grams, then what each n-gram met costs.
+
+    An n-gram is looked up once for all texts, from the highest order down.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                for row, text in zip(part.column("_row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    for codes in _parts(text or ""):
+                        grams, n = np.unique(codes, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row)), pa.array(grams), pa.array(n)], names=["_row", "gram", "n"])
+
+    counts = cut(docs.select("_row", "text").mapInArrow(run, "_row bigint, gram bigint, n bigint"))
+    left, costs = counts.select("gram", F.lit(0.0).alias("log_p")).distinct(), None
+    for order in range(ORDER, 0, -1):
+        table = model.where(F.col("order") == order)
+        seen = table.select(F.col("gram").alias("own"), F.log("p").alias("l"))
+        backs = table.groupBy("context").agg(F.log(F.first("back")).alias("b"))
+        left = left.withColumn("own", F.col("gram").bitwiseAND(_mask(order)))
+        met = cut(left.join(seen, "own", "left"))
+        hit = met.where("l is not null").select("gram", (F.col("log_p") + F.col("l")).alias("log_p"))
+        costs = hit if costs is None else costs.union(hit)
+        missed = met.where("l is null").withColumn("context", F.shiftrightunsigned("own", BITS)).join(backs, "context", "left")
+        left = cut(missed.select("gram", (F.col("log_p") + F.coalesce("b", F.lit(0.0))).alias("log_p")))
+    costs = costs.union(left.withColumn("log_p", F.col("log_p") - float(np.log(CLASSES))))
+    sums = counts.join(costs, "gram").groupBy("_row").agg(F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity"))
+    return docs.drop("text").join(sums, "_row", "left").select(*names, "perplexity")
+
+
 def quality_classifier(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK
 ) -> DataFrame:
@@ -221,9 +246,9 @@ def quality_classifier(
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     ids = cut(trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    scorer = _scorer(kneser_ney(count_grams(rows.join(few, "id", "left_semi"))))
-    # Texts are scored before anything is joined, so only numbers are shuffled here.
-    flagged = perplexities(rows, scorer).join(ids.withColumn("trusted", F.lit(True)), "id", "left")
+    model = kneser_ney(count_grams(rows.join(few, "id", "left_semi")))
+    scores = perplexities(rows, _scorer(model)) if model.count() <= BROADCAST_GRAMS else joined_perplexities(rows, model)
+    flagged = scores.join(ids.withColumn("trusted", F.lit(True)), "id", "left")
     scored = cut(flagged.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     learned = scored.where("trusted and perplexity is not null")
     mark: Column = F.percentile_approx("perplexity", quantile, 10_000)

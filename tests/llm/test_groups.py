@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowtide.llm.components import components
 from flowtide.llm.embedding_dedup import embedding_near_duplicates, tile_links
 from flowtide.llm.hashing import shingle_set, word_hashes
-from flowtide.llm.kneser_ney import BITS, CLASSES, ORDER, _scorer, classes_of, count_grams, grams_of, kneser_ney, quality_classifier
+from flowtide.llm.kneser_ney import BITS, CLASSES, ORDER, _scorer, classes_of, count_grams, grams_of, joined_perplexities, kneser_ney, perplexities, quality_classifier
 from flowtide.llm.language_id import LINES, Chains, language_id, training_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.quotation import link_quotations
@@ -236,6 +236,23 @@ def test_kneser_ney_sums_to_one_and_matches_a_plain_model(spark):
         assert np.exp(scorer.log_probabilities(np.array([g]))[0]) == pytest.approx(plain(g), rel=1e-4)
 
 
+def test_letters_of_other_scripts_are_told_apart(spark):
+    rng = random.Random(0)
+    prose = "старый дом стоял над рекой и она ждала там брата до самой ночи".split()
+    rows = [(i, " ".join(rng.choices(prose, k=60)), "ru") for i in range(40)] + [(50, "", "ru"), (51, None, "ru"), (52, "🎉 дом 漢字 \uffff", "ru")]
+    for i in range(10):
+        letters = list("".join(rng.choices(prose, k=60)))
+        rng.shuffle(letters)
+        rows.append((100 + i, " ".join("".join(letters[k : k + 5]) for k in range(0, len(letters), 5)), "ru"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r["doc_id"]: r["kept"] for r in quality_classifier(frame, frame.where("doc_id < 40").select("doc_id"), quantile=1.0, slack=1.0).collect()}
+    assert all(out[i] for i in range(40)) and not any(out[100 + i] for i in range(10))
+    texts = frame.select("doc_id", "text")
+    model = kneser_ney(count_grams(texts.where("doc_id % 2 = 0")))
+    sent, joined = ({r["doc_id"]: r["perplexity"] for r in f.collect()} for f in (perplexities(texts, _scorer(model)), joined_perplexities(texts, model)))
+    assert joined.keys() == sent.keys() and all(joined[i] == (p and pytest.approx(p, rel=1e-4)) for i, p in sent.items())
+
+
 def test_classifier_keeps_what_reads_like_the_trusted(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(rng.choices(ENGLISH, k=60)), "en") for i in range(60)] + [(100 + i, " ".join("".join(rng.choices("#$%&XQZ!", k=6)) for _ in range(60)), "en") for i in range(10)]
