@@ -1,6 +1,7 @@
 """The stages on the smallest tables, and the queries that have SQL against it."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -39,6 +40,13 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         assert docs.count() == 0
 
 
+def test_quality_threshold_is_the_quantile(spark):
+    by_lang = {}
+    for r in queries.op9_quality_classifier(spark, SMALL).where("trusted and perplexity is not null").collect():
+        by_lang.setdefault((r["lang"], r["threshold"]), []).append(r["perplexity"])
+    assert by_lang and all(sum(p < threshold for p in own) < math.ceil(0.97 * len(own)) <= sum(p <= threshold for p in own) for (_, threshold), own in by_lang.items())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
