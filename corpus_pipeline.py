@@ -13,6 +13,9 @@ from flowtide.llm.packing import cut_documents, pack
 from flowtide.llm.quality_rules import keep_good
 from flowtide.llm.secret_scan import redact_secrets
 
+#: Lines of so many words go when they repeat in any two documents.
+PASSAGE_WORDS = 50
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -24,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated boilerplate lines; a document of which nothing is left was a copy and goes."""
-    cleaned = remove_widespread_lines(docs)
+    """Texts without boilerplate lines and repeated passages; a document of which nothing is left was a copy and goes."""
+    cleaned = remove_widespread_lines(docs, passage_words=PASSAGE_WORDS)
     return _counted(cleaned.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S"))).select(docs.columns))
 
 

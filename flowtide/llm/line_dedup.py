@@ -18,15 +18,22 @@ BROADCAST_ROWS = 200_000
 BLANKS = " \t\r"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """One row per line that is long enough: row key ``(id, t)``, position, line hashes and site."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int, passage_words: int | None = None) -> DataFrame:
+    """One row per line that is long enough: row key ``(id, t)``, position, line hashes, site and whether it is a passage."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"),
         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line"),
     )
     line = F.btrim("line", F.lit(BLANKS))
     rows = rows.where(F.length(line) >= min_chars)
-    return rows.select("id", "t", "site", "pos", F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
+    passage = F.lit(False) if passage_words is None else F.size(F.split(line, r"\s+")) >= passage_words
+    return rows.select("id", "t", "site", "pos", F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), passage.alias("passage"))
+
+
+def _repeated_passages(lines: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of the passages in two or more documents with an id, on whatever sites."""
+    document = F.when(F.col("id").isNotNull(), F.xxhash64("id", "t"))
+    return lines.where("passage").groupBy("h1", "h2").agg((F.min(document) < F.max(document)).alias("many")).where("many").select("h1", "h2")
 
 
 def widespread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -45,18 +52,21 @@ def widespread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def remove_widespread_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS,
+    passage_words: int | None = None,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text and ``n_removed`` (their number) added; every row stays.
 
     A line (outer blanks aside) of at least ``min_chars`` characters on at least ``min_sites`` distinct sites is
     boilerplate.  Its first occurrence, by smallest id and position, stays: text that many sites copy is kept once, not
-    lost.  Null sites count as one site.  Null text stays null with nothing removed; a null id never holds the first
+    lost.  With ``passage_words``, a line of so many words or more is also taken out when it repeats in two documents of
+    any sites.  Null sites count as one site.  Null text stays null with nothing removed; a null id never holds the first
     occurrence; rows equal in id and text are treated alike.  All columns stay; an empty table gives an empty result.
     Runs jobs.
     """
-    lines = _lines(docs, id_col, text_col, site_col, min_chars)
-    spread = cut(widespread_lines(lines, min_sites))
+    lines = _lines(docs, id_col, text_col, site_col, min_chars, passage_words)
+    spread = widespread_lines(lines, min_sites)
+    spread = cut(spread if passage_words is None else spread.union(_repeated_passages(lines)).distinct())
     hits = lines.join(spread, ["h1", "h2"])
     first = hits.where("id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("f"))
     repeated = hits.join(first, ["h1", "h2"], "left").where("f is null or not (id <=> f.id and pos <=> f.pos)")

@@ -32,6 +32,18 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == before
 
 
+def test_passages_on_few_sites_are_kept_once(spark):
+    passages = {n: " ".join(f"p{n}w{i}" for i in range(51)) for n in range(1, 8)}  # n sites; one site: two of its documents
+    rows = [(100 * n + k, f"Own line {n} {k} of this document.\n{p}", "en", f"site{k % n}", 0) for n, p in passages.items() for k in range(n + 1)]
+    rows += [(9000 + k, f"Other line {k} of this document.\n" + " ".join(f"s{i}" for i in range(49)), "en", f"site{k}", 0) for k in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, SMALL).collect()}
+    assert out.keys() == {r[0] for r in rows}
+    for n, p in passages.items():
+        assert [i for i, t in out.items() if p in t] == [100 * n]
+    assert all(len(out[9000 + k].split("\n")) == 2 for k in range(7))
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
