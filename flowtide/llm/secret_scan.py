@@ -25,10 +25,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: A candidate is a secret from this log-likelihood ratio on (odds of about 160,000 to 1, for secrets are rare), and from
 #: this mean over its pairs of characters, so that long words of an unusual kind do not add up to one.
 LEAST_RATIO, LEAST_MEAN = 12.0, 2.0
-#: What is an ordinary identifier: shorter runs, so that no candidate is judged by itself.  Of all documents so many, chosen
-#: by hash, are read for them.
+#: What is an ordinary identifier: shorter runs, so that no candidate is judged by itself.
 ORDINARY = r"(?<![\p{L}\p{N}])[A-Za-z0-9+/_-]{6,15}+(?![\p{L}\p{N}+/_=-])"
-ORDINARY_DOCS = 20_000
 #: Share of the random model that takes every token character for equally likely: secrets come in more alphabets than the
 #: labelled ones.
 UNIFORM, TOKEN_CHARACTERS = 0.5, 66
@@ -114,11 +112,9 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
 
 
 def _ordinary(docs: DataFrame, text_col: str) -> DataFrame:
-    """Ordinary identifiers of a bounded sample of the documents, what the base patterns match left out."""
-    rows = docs.count()
-    some = docs.where(F.col(text_col).isNotNull()).where(F.pmod(F.xxhash64(text_col), F.lit(max(1, -(-rows // ORDINARY_DOCS)))) == 0)
+    """Ordinary identifiers of all documents, what the base patterns match left out."""
     bare = F.regexp_replace(F.col(text_col).cast("string"), f"(?:{ASSIGN})|(?:{ACCESS})|(?:{HEX})", " ")
-    return some.select(F.explode(F.regexp_extract_all(bare, F.lit(f"({ORDINARY})"), 1)).alias("value")).where(F.col("value").rlike("[A-Za-z]"))
+    return docs.select(F.explode(F.regexp_extract_all(bare, F.lit(f"({ORDINARY})"), 1)).alias("value")).where(F.col("value").rlike("[A-Za-z]"))
 
 
 def _scored(found: DataFrame, ordinary: DataFrame) -> DataFrame:
@@ -156,7 +152,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Offsets are code points, ends exclusive; spans are ordered by start, then kind.  Base kinds follow the fixed patterns,
     leftmost and non-overlapping within a kind, matches with a secret that is too short dropped; ``markov`` spans are added
     where no base span lies.  The random model learns
-    from all base secrets, the other from the identifiers of ``ORDINARY_DOCS`` documents.  Runs jobs.  Null and empty texts have no spans; ids may be
+    from all base secrets, the other from the ordinary identifiers of all documents.  Runs jobs.  Null and empty texts have no spans; ids may be
     null or repeated, each row stands for itself; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -14,7 +14,7 @@ from flowtide.llm.bpe import decode_documents, encode_documents, tokenizer, voca
 from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.packing import cut_documents, pack, plan_sequences, sequences
 from flowtide.llm.quality_rules import fit_rules, keep_good, quality_rules
-from flowtide.llm.secret_scan import log_ratios, redact_secrets, scan_secrets
+from flowtide.llm.secret_scan import _ordinary, log_ratios, redact_secrets, scan_secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, id string, ids string"
@@ -164,6 +164,12 @@ def test_secrets_like_the_plain_version(spark):
     assert scan_secrets(docs.limit(0)).count() == 0 and redact_secrets(docs.limit(0)).count() == 0
 
 
+def test_ordinary_identifiers_come_from_all_documents(spark):
+    docs = spark.range(41_000).select(F.when(F.col("id") % 3 == 0, "sameText").otherwise(F.format_string("word%06d", "id")).alias("text"))
+    got = {r["value"]: r["count"] for r in _ordinary(docs.union(spark.sql("select cast(null as string)")), "text").groupBy("value").count().collect()}
+    assert got.pop("sameText") == 13_667 and len(got) == 41_000 - 13_667 and set(got.values()) == {1}
+
+
 def test_log_ratios_of_nothing_are_even():
     assert set(log_ratios({}, {})) == {0.0}
 
