@@ -14,6 +14,7 @@ from flowtide.llm.language_id import language_id
 from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.packing import cut_documents, pack
+from flowtide.llm.piece_bpe import decode_pieces, encode_pieces, piece_model
 from flowtide.llm.quality_rules import quality_rules
 from flowtide.llm.quotation import link_quotations
 from flowtide.llm.secret_scan import scan_secrets
@@ -72,9 +73,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load = piece_model("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), load, packed=True), load)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_secret_scans)
+    for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_secret_scans,
+        op11_piece_round_trip)
 }
 
 ORACLES: dict[str, str] = {
