@@ -33,10 +33,10 @@ def prefix(
 
     ``levels`` are columns from coarse to fine that never decrease along ``order``;
     they cut the group into blocks.  ``measures`` maps an output name to
-    ``("sum" | "max", input column)``.  Sums start at 0, maxima at null.
+    ``("sum" | "max" | "xor", input column)``.  Sums and exclusive ors start at 0, maxima at null.
     """
     keys, levels = list(keys), list(levels)
-    agg = {"sum": F.sum, "max": F.max}
+    agg = {"sum": F.sum, "max": F.max, "xor": F.bit_xor}
     path = keys + levels
     inside = _partition(path).orderBy(*order).rowsBetween(*_BEFORE)
     result = rows.withColumns({f"_in_{m}": agg[kind](col(c)).over(inside) for m, (kind, c) in measures.items()})
@@ -62,10 +62,11 @@ def prefix(
     done = {}
     for m, (kind, _) in measures.items():
         parts = [col(f"_in_{m}")] + [col(f"_o{d}_{m}") for d in range(1, len(levels) + 1)]
-        if kind == "sum":
+        if kind in ("sum", "xor"):
             total = F.coalesce(parts[0], F.lit(0))
             for part in parts[1:]:
-                total = total + F.coalesce(part, F.lit(0))
+                more = F.coalesce(part, F.lit(0))
+                total = total + more if kind == "sum" else total.bitwiseXOR(more)
             done[m] = total
         else:
             done[m] = F.greatest(*parts) if len(parts) > 1 else parts[0]
