@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide.functions.durable import cut
 from flowtide.llm.bpe import decode_documents, encode_documents, vocabulary
 from flowtide.llm.embedding_dedup import embedding_near_duplicates
 from flowtide.llm.kneser_ney import quality_classifier
@@ -15,6 +16,7 @@ from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.packing import cut_documents, pack
 from flowtide.llm.piece_bpe import decode_pieces, encode_pieces, piece_model
+from flowtide.llm.prefix_trie import graft_heads, prefix_trie, turn_keys
 from flowtide.llm.quality_rules import quality_rules
 from flowtide.llm.quotation import link_quotations
 from flowtide.llm.secret_scan import scan_secrets
@@ -79,13 +81,45 @@ def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*graft_heads(cut(turn_keys(_table(spark, sf_dir, "conversations")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_secret_scans,
-        op11_piece_round_trip)
+        op11_piece_round_trip, op12_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, turn, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS x,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list(sha256(x) ORDER BY turn NULLS FIRST, md5(x)) AS s, list(w ORDER BY turn NULLS FIRST, md5(x)) AS w
+            FROM t GROUP BY conv_id
+        ), shift AS (
+            -- the unsigned CRC-32 of the decimal id, bit by bit
+            SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+            FROM own
+        ), built AS (
+            SELECT a.conv_id, list_concat(coalesce(b.s, [])[1:h], a.s[h + 1:]) AS s, list_concat(coalesce(b.w, [])[1:h], a.w[h + 1:]) AS w
+            FROM shift a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20
+        ), places AS (SELECT conv_id, s, w, unnest(range(0, len(s) + 1)) AS depth FROM built),
+        nodes AS (
+            SELECT s[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce((count(*) - 1) * any_value(w[depth]), 0) AS value,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth), '')) AS ends_sha256
+            FROM places GROUP BY ALL
+        ), kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+        up AS (SELECT k[1:d] AS k, n_children, value FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes)),
+        sums AS (SELECT k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(value) AS saved_tokens FROM up GROUP BY k)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM full_nodes n JOIN sums USING (k) LEFT JOIN nodes p ON n.depth > 0 AND p.k = n.k[1:n.depth - 1] AND p.depth = n.depth - 1
+    """,
     "op6_quotation_linking": r"""
         WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
         split AS (
