@@ -20,6 +20,7 @@ from flowtide.llm.prefix_trie import graft_heads, prefix_trie, turn_keys
 from flowtide.llm.quality_rules import quality_rules
 from flowtide.llm.quotation import link_quotations
 from flowtide.llm.secret_scan import scan_secrets
+from flowtide.llm.token_alignment import align_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +86,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*graft_heads(cut(turn_keys(_table(spark, sf_dir, "conversations")))))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), piece_model("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_bpe_round_trip, op2_cutting_stock_packing, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_line_dedup, op6_quotation_linking, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_secret_scans,
-        op11_piece_round_trip, op12_prefix_trie)
+        op11_piece_round_trip, op12_prefix_trie, op13_token_alignment)
 }
 
 ORACLES: dict[str, str] = {

@@ -2,13 +2,18 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
+from tokenizers import Tokenizer
 
 from flowtide.llm import queries
+from flowtide.llm.bpe import _byte_alphabet, vocabulary
 from flowtide.llm.piece_bpe import decode_pieces, encode_pieces, piece_model
+from flowtide.llm.token_alignment import align_tokens
 
 POOL = "aAbBzZ'sdtm  \t\n\r\x0b\x1c\x85\xa0　İΣσßÉé漢字🎉👩‍👧0123½²|<>endoftext​한가!?.,;:#$%&*\x00▁ "
 SCHEMA = "doc_id bigint, text string, lang string, source string, id string, ids string"
@@ -72,3 +77,62 @@ def test_piece_query(spark, tmp_path):
         ids = s.encode(t or "", add_bos=True, add_eos=True)
         assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert got[i]["decoded_sha256"] == hashlib.sha256(s.decode(ids).encode()).hexdigest()
+
+
+def plain_alignment(rows, links="ends"):
+    """By definition, with the public libraries: ``{doc_id: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)}``."""
+    a, b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), public()
+    a.encode_special_tokens = True
+    byte_of = {c: i for i, c in enumerate(_byte_alphabet())}
+    made, counts = {}, Counter()
+    for i, text in rows:
+        ids_a, ids_b = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        spell_a = [bytes(byte_of[c] for c in a.id_to_token(x)) for x in ids_a]
+        spell_b = [bytes([int(p[1:-1], 16)]) if b.is_byte(x) else p.replace("▁", " ").encode() for x in ids_b for p in [b.id_to_piece(x)]]
+        if not text or b"".join(spell_a) != (" " + text).encode() or b"".join(spell_b) != (" " + text).encode():
+            made[i] = None
+            continue
+        ends_a, ends_b = ([sum(map(len, spell[: k + 1])) for k in range(len(spell))] if len(spell) < 300 else np.cumsum(list(map(len, spell))).tolist() for spell in (spell_a, spell_b))
+        groups, pairs, at_a, at_b = [], [], 0, 0
+        in_b = {e: j for j, e in enumerate(ends_b)}
+        for k, end in enumerate(ends_a):
+            if end in in_b:
+                own_a, own_b = ids_a[at_a : k + 1], ids_b[at_b : in_b[end] + 1]
+                groups.append((own_a, own_b))
+                pairs += [(own_a[-1], own_b[-1])] if links == "ends" else [(x, y) for x in own_a for y in own_b]
+                at_a, at_b = k + 1, in_b[end] + 1
+        made[i] = len(ids_a), len(ids_b), groups, pairs
+        counts.update(pairs)
+    most = {}
+    for (_, y), n in counts.items():
+        most[y] = max(most.get(y, 0), n)
+    out = {}
+    for i, m in made.items():
+        if m is None:
+            out[i] = (0, 0, 0, 0, 0, 0, "")
+        else:
+            text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in m[2])
+            out[i] = (m[0], m[1], len(m[2]), len(m[3]), sum(counts[p] == most[p[1]] for p in m[3]), sum(counts[p] for p in m[3]), text)
+    return out
+
+
+@pytest.mark.parametrize("links", ["ends", "groups"])
+def test_alignment_is_the_plain_one(spark, links):
+    rows = [*enumerate(texts()), (-1, "a<|endoftext|>b <|endoftext|>"), (-2, "hid▁den"), (-3, "odd \x1c\x1d space\x1f x \x1e"), (-4, " lead"), (-5, "trail "), (-6, "a \n b\n\n c\n d  e\t f")]
+    docs = frame(spark, [*rows, (None, None)]).repartition(5)
+    out = align_tokens(docs, vocabulary("byte_bpe_50k.json"), piece_model(NAME), links=links, block_bytes=20_000)
+    assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    got, want = {r[0]: tuple(r)[1:] for r in out.collect()}, plain_alignment(rows, links)
+    assert got.pop(None) == (0, 0, 0, 0, 0, 0, "") and got[-2] == (0, 0, 0, 0, 0, 0, "")
+    assert got.keys() == want.keys() and all(got[i] == want[i] for i in want)
+    assert align_tokens(docs.limit(0), vocabulary("byte_bpe_50k.json"), piece_model(NAME)).count() == 0
+
+
+def test_alignment_query(spark, tmp_path):
+    rows = [*enumerate(texts()[-80:]), (901, texts()[-1]), (901, texts()[-1])]
+    frame(spark, [*rows, (7777, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op13_token_alignment(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    want = plain_alignment([(k, t) for k, (_, t) in enumerate(rows)])
+    want = sorted((i, *want[k][:6], hashlib.sha256(want[k][6].encode()).hexdigest() if want[k][6] else "") for k, (i, _) in enumerate(rows))
+    assert sorted(tuple(r) for r in out.collect()) == [*want, (7777, 0, 0, 0, 0, 0, 0, "")]
