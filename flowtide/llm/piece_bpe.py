@@ -7,6 +7,7 @@ import heapq
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -72,104 +73,42 @@ class PairTable:
         return np.where(self._keys[at] == keys, self._ranks[at], _NEVER), self._codes[at]
 
 
-class PieceModel:
-    """Encoder and decoder of one public piece model file: type BPE, no normalisation, byte fallback, no user-defined pieces.
-
-    A symbol is coded as its piece id, or as the number of pieces plus its code point where a character is no piece.
-    """
-
-    def __init__(self, path: str) -> None:
-        from sentencepiece import sentencepiece_model_pb2 as pb
+class Merges:
+    """Merges of pairs of symbol codes by rank; ``made`` lists (left << 21 | right, rank, merged code)."""
 
-        spec = pb.ModelProto()
-        with open(path, "rb") as f:
-            spec.ParseFromString(f.read())
-        rules = spec.normalizer_spec
-        if spec.trainer_spec.model_type != pb.TrainerSpec.BPE or rules.precompiled_charsmap or rules.remove_extra_whitespaces or not spec.trainer_spec.byte_fallback:
-            raise ValueError(f"{path}: only BPE models with byte fallback and without normalisation")
-        if {p.type for p in spec.pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}:
-            raise ValueError(f"{path}: piece types that are not supported")
-        self.prefix = SPACE if rules.add_dummy_prefix else ""
-        self.size = len(spec.pieces)
-        pieces = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
-        self.begin, self.end = spec.trainer_spec.bos_id, spec.trainer_spec.eos_id
-        self._byte = np.array([next(i for i, p in enumerate(spec.pieces) if p.type == BYTE and int(p.piece[1:-1], 16) == b) for b in range(256)], np.uint32)
-        self._codes = np.arange(self.size, self.size + 0x110000, dtype=np.int32)
-        for piece, i in pieces.items():
-            if len(piece) == 1:
-                self._codes[ord(piece)] = i
-        code = lambda s: pieces.get(s, self.size + ord(s) if len(s) == 1 else -1)
-        order = {score: rank for rank, score in enumerate(sorted({spec.pieces[i].score for i in pieces.values()}, reverse=True))}
-        made = [
-            (code(piece[:k]) << _CODE_BITS | code(piece[k:]), order[spec.pieces[i].score], i)
-            for piece, i in pieces.items() for k in range(1, len(piece)) if code(piece[:k]) >= 0 and code(piece[k:]) >= 0
-        ]
-        self.pairs = PairTable(*(np.array(x, kind) for x, kind in zip(zip(*made, strict=True), (np.int64, np.int32, np.int32), strict=True)))
+    def __init__(self, made: list[tuple[int, int, int]]) -> None:
+        self._pairs = PairTable(*(np.array(x, kind) for x, kind in zip(zip(*made, strict=True), (np.int64, np.int32, np.int32), strict=True)))
         self._ranked = {key: (rank, merged) for key, rank, merged in made}
-        #: Whether no piece goes on with a space behind another character, and whether none holds a line end.
-        self._by_space = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self._by_line = not any("\n" in p for p in pieces)
-        #: The bytes that each id stands for, its piece's visible spaces being spaces.
-        self.bytes = [
-            b"" if p.type == CONTROL else spec.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode()
-            for p in spec.pieces
-        ]
-        self.control = frozenset(i for i, p in enumerate(spec.pieces) if p.type == CONTROL)
-        self._led = frozenset(i for p, i in pieces.items() if p[0] == SPACE)
-        self._known: dict[str, bytes] = {}
-        self._known_chars = 0
-
-    def units(self, text: str) -> list[str]:
-        """Stretches of a text, spaces made visible, whose borders no piece crosses; empty ones are harmless."""
-        if not text:
-            return []
-        shown = self.prefix + text.replace(" ", SPACE)
-        if not self._by_space:
-            return [shown]
-        if SPACE + SPACE in shown or " " in shown:
-            return re.findall(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+" if self._by_line else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", shown)
-        if self._by_line and "\n" in shown:
-            shown = shown.replace("\n", " \n ")
-        return shown.replace(SPACE, " " + SPACE).split(" ")
 
-    def merged(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, 32-bit little-endian unsigned integers.
+    def run(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged codes of all units, given as consecutive stretches of symbols, and how many each has.
 
         All units are merged side by side.  A round finds each unit's lowest rank and merges, from the left, every pair of
         that rank that does not overlap another, up to the first whose merge makes a pair of the same or a lower rank: that
         is what merging one pair after another does.  Units without a pair leave the arrays, which are then compacted.
         """
-        out = [b""] * len(units)
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        count = len(lengths)
         name = np.flatnonzero(lengths)
         lengths = lengths[name]
-        symbols = self._codes[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-
-        def emit(who: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> None:
-            raw, ends = self._ids(codes, sizes)
-            at = 0
-            for i, end in zip(who.tolist(), (ends * 4).tolist(), strict=True):
-                out[i] = raw[at:end]
-                at = end
-
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rank = got = None
         for _ in range(ROUNDS):
             if not len(name):
-                return out
+                break
             last = np.cumsum(lengths) - 1
             first = last - lengths + 1
             if rank is None:
-                rank, got = self.pairs.get(symbols[:-1], symbols[1:])
+                rank, got = self._pairs.get(symbols[:-1], symbols[1:])
                 rank, got = np.append(rank, _NEVER), np.append(got, np.int32(0))
                 rank[last] = _NEVER
             least = np.minimum.reduceat(rank, first)
             busy = least != _NEVER
             if not busy.all():
                 stays = np.repeat(busy, lengths)
-                emit(name[~busy], lengths[~busy], symbols[~stays])
+                done.append((name[~busy], lengths[~busy], symbols[~stays]))
                 symbols, rank, got, name, lengths, least = symbols[stays], rank[stays], got[stays], name[busy], lengths[busy], least[busy]
                 if not len(name):
-                    return out
+                    break
                 last = np.cumsum(lengths) - 1
                 first = last - lengths + 1
             unit = np.repeat(np.arange(len(name)), lengths)
@@ -184,8 +123,8 @@ class PieceModel:
             joined = joined[here[joined] == here[joined - 1]]
             before[joined] = made[joined - 1]
             low = np.minimum(
-                np.where(at > first[here], self.pairs.get(before, made)[0], _NEVER),
-                np.where(at + 1 < last[here], self.pairs.get(made, symbols[np.minimum(at + 2, len(symbols) - 1)])[0], _NEVER),
+                np.where(at > first[here], self._pairs.get(before, made)[0], _NEVER),
+                np.where(at + 1 < last[here], self._pairs.get(made, symbols[np.minimum(at + 2, len(symbols) - 1)])[0], _NEVER),
             )
             stops = np.cumsum(low <= least[here])
             own = np.searchsorted(here, here)  # the first merge of the same unit
@@ -200,17 +139,28 @@ class PieceModel:
             last = np.cumsum(lengths) - 1
             inner = place[place < last[here]]
             rank[place] = _NEVER
-            rank[inner], got[inner] = self.pairs.get(symbols[inner], symbols[inner + 1])
+            rank[inner], got[inner] = self._pairs.get(symbols[inner], symbols[inner + 1])
             inner = place[place > (last - lengths + 1)[here]] - 1
-            rank[inner], got[inner] = self.pairs.get(symbols[inner], symbols[inner + 1])
+            rank[inner], got[inner] = self._pairs.get(symbols[inner], symbols[inner + 1])
         at = 0
         for i, n in zip(name.tolist(), lengths.tolist(), strict=True):
-            codes = self._finish(symbols[at : at + n].tolist())
-            emit(np.array([i]), np.array([len(codes)]), np.array(codes, np.int32))
+            codes = np.array(self.finish(symbols[at : at + n].tolist()), np.int32)
+            done.append((np.array([i]), np.array([len(codes)]), codes))
             at += n
-        return out
-
-    def _finish(self, codes: list[int]) -> list[int]:
+        return self._in_order(done, count)
+
+    @staticmethod
+    def _in_order(done: list[tuple[np.ndarray, np.ndarray, np.ndarray]], count: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.zeros(count, np.int64)
+        for name, lengths, _ in done:
+            sizes[name] = lengths
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        for name, lengths, codes in done:
+            out[np.arange(len(codes)) + np.repeat(starts[name] - np.cumsum(lengths) + lengths, lengths)] = codes
+        return out, sizes
+
+    def finish(self, codes: list[int]) -> list[int]:
         """Merge one pair after another: lowest rank first, leftmost on ties."""
         pair, n = self._ranked.get, len(codes)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
@@ -231,20 +181,89 @@ class PieceModel:
                 heapq.heappush(heap, (p[0], k, codes[k], codes[i]))
         return [c for c in codes if c >= 0]
 
-    def _ids(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+
+class PieceModel:
+    """Encoder and decoder of one public piece model file: type BPE, no normalisation, byte fallback, no user-defined pieces.
+
+    A symbol is coded as its piece id, or as the number of pieces plus its code point where a character is no piece.
+    """
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        spec = pb.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        rules = spec.normalizer_spec
+        if spec.trainer_spec.model_type != pb.TrainerSpec.BPE or rules.precompiled_charsmap or rules.remove_extra_whitespaces or not spec.trainer_spec.byte_fallback:
+            raise ValueError(f"{path}: only BPE models with byte fallback and without normalisation")
+        if {p.type for p in spec.pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}:
+            raise ValueError(f"{path}: piece types that are not supported")
+        self.prefix = SPACE if rules.add_dummy_prefix else ""
+        self.size = len(spec.pieces)
+        pieces = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
+        self.begin, self.end = spec.trainer_spec.bos_id, spec.trainer_spec.eos_id
+        self._byte = np.array([next(i for i, p in enumerate(spec.pieces) if p.type == BYTE and int(p.piece[1:-1], 16) == b) for b in range(256)], np.uint32)
+        self._codes = np.arange(self.size, self.size + 0x110000, dtype=np.int32)
+        for piece, i in pieces.items():
+            if len(piece) == 1:
+                self._codes[ord(piece)] = i
+        code = lambda s: pieces.get(s, self.size + ord(s) if len(s) == 1 else -1)
+        order = {score: rank for rank, score in enumerate(sorted({spec.pieces[i].score for i in pieces.values()}, reverse=True))}
+        made = [
+            (code(piece[:k]) << _CODE_BITS | code(piece[k:]), order[spec.pieces[i].score], i)
+            for piece, i in pieces.items() for k in range(1, len(piece)) if code(piece[:k]) >= 0 and code(piece[k:]) >= 0
+        ]
+        self.merges = Merges(made)
+        #: Whether no piece goes on with a space behind another character, and whether none holds a line end.
+        self._by_space = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self._by_line = not any("\n" in p for p in pieces)
+        #: The bytes that each id stands for, its piece's visible spaces being spaces.
+        self.bytes = [
+            b"" if p.type == CONTROL else spec.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode()
+            for p in spec.pieces
+        ]
+        self.control = frozenset(i for i, p in enumerate(spec.pieces) if p.type == CONTROL)
+        self._led = frozenset(i for p, i in pieces.items() if p[0] == SPACE)
+        self._known: dict[str, bytes] = {}
+        self._known_chars = 0
+
+    def units(self, text: str) -> list[str]:
+        """Stretches of a text, spaces made visible, whose borders no piece crosses; empty ones are harmless."""
+        if not text:
+            return []
+        shown = self.prefix + text.replace(" ", SPACE)
+        if not self._by_space:
+            return [shown]
+        if SPACE + SPACE in shown or " " in shown:
+            return re.findall(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+" if self._by_line else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", shown)
+        if self._by_line and "\n" in shown:
+            shown = shown.replace("\n", " \n ")
+        return shown.replace(SPACE, " " + SPACE).split(" ")
+
+    def symbols(self, shown: str) -> np.ndarray:
+        """The symbol codes of a text whose spaces are visible."""
+        return self._codes[np.frombuffer(shown.encode("utf-32-le"), np.uint32)]
+
+    def merged(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, 32-bit little-endian unsigned integers."""
+        codes, sizes = self.merges.run(self.symbols("".join(units)), np.fromiter(map(len, units), np.int64, len(units)))
+        ids, ends = self.ids(codes, sizes)
+        raw, ends = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [raw[x:y] for x, y in pairwise(ends)]
+
+    def ids(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of codes, characters that are no piece as the ids of their bytes; and where each of ``sizes`` codes end."""
         ends = np.cumsum(sizes)
         odd = np.flatnonzero(codes >= self.size)
         if not len(odd):
-            return codes.astype("<u4").tobytes(), ends
+            return codes.astype("<u4"), ends
         raw = [chr(c - self.size).encode() for c in codes[odd].tolist()]
         wide = np.ones(len(codes), np.int64)
         wide[odd] = list(map(len, raw))
-        stop = np.cumsum(wide)
         ids = np.repeat(codes, wide).astype("<u4")
-        where = np.repeat(codes >= self.size, wide)
-        ids[where] = self._byte[np.frombuffer(b"".join(raw), np.uint8)]
-        return ids.tobytes(), stop[ends - 1]
+        ids[np.repeat(codes >= self.size, wide)] = self._byte[np.frombuffer(b"".join(raw), np.uint8)]
+        return ids, np.concatenate(([0], np.cumsum(wide)))[ends]
 
     def learn(self, units: set[str]) -> dict[str, bytes]:
         """The ids of all units, merged now or remembered."""

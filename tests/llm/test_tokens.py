@@ -65,8 +65,8 @@ def test_rounds_agree_with_single_merges():
     units = {u for t in texts() for u in m.units(t) if len(u) < 300} | {"", "a" * 700}
     units = sorted(units)
     for unit, ids in zip(units, m.merged(units), strict=True):
-        codes = np.array(m._finish([int(m._codes[ord(c)]) for c in unit]), np.int32)
-        assert ids == (m._ids(codes, np.array([len(codes)]))[0] if unit else b"")
+        codes = np.array(m.merges.finish(m.symbols(unit).tolist()), np.int32)
+        assert ids == m.ids(codes, np.array([len(codes)]))[0].tobytes()
 
 
 def test_piece_query(spark, tmp_path):
