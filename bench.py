@@ -37,7 +37,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from flowtide.operators.states import granularity_comparison, network_states
+    from flowtide.operators.states import granularity_comparison, granularity_states, network_states
     from flowtide.plans import catalog, tables
 
     # The published timings start from a finished flow table, so that form is timed too.
@@ -53,7 +53,9 @@ def main() -> None:
     runs["d1_states_10s_from_flow_table"] = lambda: network_states(flows)
     runs["d1_states_60s_from_flow_table"] = lambda: network_states(flows, 60)
     runs["d5_granularity_from_flow_table"] = lambda: granularity_comparison(flows)
-    runs["d1_states_10s_published_size"] = lambda: network_states(many)
+    for seconds in (1, 5, 10, 30, 60):
+        runs[f"d1_states_{seconds}s_published_size"] = lambda seconds=seconds: network_states(many, seconds)
+    runs["d5_states_of_all_lengths_published_size"] = lambda: granularity_states(many)
     times = {}
     for name, build in runs.items():
         for _ in range(2):

@@ -42,8 +42,8 @@ def window_start(ts: Column, seconds: int) -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
 
-def slot_start(number: Column, seconds: int) -> Column:
-    return from_micros(number * F.lit(seconds * MICROS))
+def slot_start(number: Column, seconds: int | Column) -> Column:
+    return from_micros(number * (seconds * F.lit(MICROS) if isinstance(seconds, Column) else F.lit(seconds * MICROS)))
 
 
 def interval_start(ts: Column, seconds: int) -> Column:
@@ -68,8 +68,8 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
-def per_second(value: Column, seconds: int) -> Column:
-    return value.cast("double") / F.lit(float(seconds))
+def per_second(value: Column, seconds: int | Column) -> Column:
+    return value.cast("double") / (seconds.cast("double") if isinstance(seconds, Column) else F.lit(float(seconds)))
 
 
 def relative_label(seconds_before: Column) -> Column:

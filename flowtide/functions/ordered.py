@@ -225,97 +225,5 @@ def group_quantiles(
 
 
 def group_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per group by ranking (value, count) pairs; no task holds a group.
-
-    The same plan for groups of every size: pairs are counted once and read twice, for the bin that holds the middle and
-    for the values inside it, so both readings share one exchange.
-    """
-    keys = list(keys)
-    key_columns = [col(k) for k in keys]
-    pairs = (
-        rows.select(*key_columns, col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*key_columns, log_bin(F.col("_v"), per_octave).alias("_bin"), "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ordered = _partition(keys).orderBy("_bin")
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in quantiles.items()]))
-    rank = (F.col("_all") - 1) * F.col("_w.q")
-    bins = (
-        pairs.groupBy(*key_columns, "_bin")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_bn").over(ordered.rowsBetween(*_BEFORE)), F.lit(0)),
-                "_all": F.sum("_bn").over(_partition(keys)),
-            }
-        )
-        .select("*", wanted.alias("_w"))
-        .withColumns({"_low": F.floor(rank), "_high": F.ceil(rank), "_part": rank - F.floor(rank)})
-        .filter((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_bn") > F.col("_low")))
-        .groupBy(*key_columns, "_bin")
-        .agg(F.first("_before").alias("_before"), F.collect_list(F.struct("_w.name", "_low", "_high", "_part")).alias("_asks"))
-    )
-    chosen = _join(pairs, bins, keys + ["_bin"])
-    running = _partition(keys + ["_bin"]).orderBy("_v").rowsBetween(*_BEFORE)
-    ranked = chosen.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    holds = lambda r: (F.col("_from") <= r) & (F.col("_from") + F.col("_n") > r)
-    asked = ranked.select("*", F.explode("_asks").alias("_a")).filter(holds(F.col("_a._low")) | holds(F.col("_a._high")))
-    picked = asked.groupBy(*key_columns, F.col("_a.name").alias("_name"), F.col("_a._part").alias("_part")).agg(
-        F.max(F.when(holds(F.col("_a._low")), F.col("_v"))).alias("_lo"),
-        F.max(F.when(holds(F.col("_a._high")), F.col("_v"))).alias("_hi"),
-    )
-    number = F.col("_lo") + F.col("_part") * (F.col("_hi") - F.col("_lo"))
-    return picked.groupBy(*key_columns).agg(
-        *[F.max(F.when(F.col("_name") == n, number)).alias(n) for n in quantiles]
-    )
-
-
-def group_median(
-    rows: DataFrame, keys: Sequence[str], value: str, name: str, buffered_rows: int = 1_000_000
-) -> DataFrame:
-    """Exact median per group.
-
-    Groups of up to ``buffered_rows`` rows use the percentile aggregate, whose buffer that
-    number bounds.  Larger groups are ranked in parallel.  Their keys are broadcast: there
-    are at most (row count / ``buffered_rows``) of them, and usually none, in which case the
-    ranked branch is empty at run time.
-    """
-    keys = list(keys)
-    key_columns = [col(k) for k in keys]
-    numbers = rows.select(*key_columns, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = numbers.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("_rows"))
-    large = F.broadcast(sizes.filter(F.col("_rows") > buffered_rows).drop("_rows"))
-    buffered = numbers.join(large, keys, "left_anti").groupBy(*key_columns).agg(F.percentile("_v", F.lit(0.5)).alias(name))
-    return buffered.unionByName(ranked_median(numbers.join(large, keys, "left_semi"), keys, "_v", name))
-
-
-def ranked_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per group by ranking (value, count) pairs; no task holds a group."""
-    keys = list(keys)
-    key_columns = [col(k) for k in keys]
-    pairs = (
-        rows.select(*key_columns, col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*key_columns, log_bin(F.col("_v"), 16).alias("_bin"), "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    bins = (
-        pairs.groupBy(*key_columns, "_bin")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_bn").over(_partition(keys).orderBy("_bin").rowsBetween(*_BEFORE)), F.lit(0)),
-                "_all": F.sum("_bn").over(_partition(keys)),
-            }
-        )
-        .withColumns({"_low": F.floor((F.col("_all") - 1) / 2), "_high": F.floor(F.col("_all") / 2)})
-        .filter((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_bn") > F.col("_low")))
-        .select(*key_columns, "_bin", "_before", "_low", "_high")
-    )
-    running = _partition(keys + ["_bin"]).orderBy("_v").rowsBetween(*_BEFORE)
-    ranked = _join(pairs, bins, keys + ["_bin"]).withColumn(
-        "_from", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0))
-    )
-    middle = ranked.filter((F.col("_from") <= F.col("_high")) & (F.col("_from") + F.col("_n") > F.col("_low")))
-    return middle.groupBy(*key_columns).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+    """Exact median per group, the same plan for groups of every size; no task holds a group."""
+    return group_quantiles(rows, keys, value, {name: 0.5})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from flowtide.config import INTERVAL, INTERVALS, STATE_COLUMNS, STATE_FEATURES,
 from flowtide.functions.expressions import (
     col, day_text, is_finite, per_second, safe_ratio, seconds_between, slot, slot_start, window_start,
 )
-from flowtide.functions.ordered import group_median
+from flowtide.functions.ordered import log_bin
 from flowtide.operators.cleaning import derive_flow_columns, split_valid, usable_flows
 
 _SUMS = ["flow_count", "byte_sum", "packet_sum", "fwd_bytes", "fwd_packets", "syn", "ack", "rst"]
@@ -28,37 +29,16 @@ def _check_interval(seconds: int) -> None:
         raise ValueError(f"interval must be one of {INTERVALS}")
 
 
-def _interval_aggregates(flows: DataFrame, keys: Sequence[str], supervised: bool) -> DataFrame:
-    """Sums and means of derived flow rows per (keys, interval start)."""
-    # Usable rows have no nulls, so a mean is its sum over the row count: one buffer per measure.
-    measures = [
-        F.count(F.lit(1)).alias("flow_count"),
-        F.sum("_bytes").alias("byte_sum"),
-        F.sum("_packets").alias("packet_sum"),
-        F.sum("_fwd_bytes").alias("fwd_bytes"),
-        F.sum("_fwd_packets").alias("fwd_packets"),
-        *[F.sum(source).alias(name) for name, source in _MEANS.items()],
-        F.sum("_syn").alias("syn"),
-        F.sum("_ack").alias("ack"),
-        F.sum("_rst").alias("rst"),
-        F.count_distinct(col("Dst Port")).alias("unique_destination_port_count"),
-    ]
-    if supervised:
-        measures.append(F.sum("_malicious").alias("malicious_flow_count"))
-    return flows.groupBy(*[col(k) for k in keys], "_start").agg(*measures)
-
-
-def densify(rows: DataFrame, keys: Sequence[str], interval_seconds: int, number: str = "_slot", peek: str | None = None) -> DataFrame:
+def densify(rows: DataFrame, keys: Sequence[str], interval_seconds: int | Column, number: str = "_slot", peek: str | None = None) -> DataFrame:
     """Add the missing interval numbers between the first and last of each key and day.
 
     Each row opens the gap up to its successor, so the complete index needs one window
     over the aggregated rows (at most one row per interval of a day) and no self-join.
     Added rows have nulls in every other column.  ``peek`` names a column whose value on
     the next interval of the day is wanted as ``_next``: 0 for an added interval, null at
-    the end of the day.
+    the end of the day.  ``interval_seconds`` may be a column, one of the keys.
     """
-    per_day = 86_400 // interval_seconds
-    w = W.partitionBy(*[col(k) for k in keys], F.floor(col(number) / per_day)).orderBy(col(number))
+    w = W.partitionBy(*[col(k) for k in keys], F.floor(col(number) * interval_seconds / 86_400)).orderBy(col(number))
     ahead = {"_following": F.coalesce(F.lead(col(number)).over(w), col(number) + 1)}
     if peek:
         ahead["_ahead"] = F.lead(col(peek)).over(w)
@@ -84,23 +64,10 @@ def network_states(
     ``keys`` adds grouping columns such as a sensor id.  Rows that cannot be used are
     left out; ``usable_flows`` returns them with a reason.
     """
-    _check_interval(interval_seconds)
-    if mode not in ("supervised", "inference"):
-        raise ValueError("mode must be supervised or inference")
-    supervised = mode == "supervised"
-    keys = list(keys)
-    usable, _ = usable_flows(flows, ts, day)
-    derived = derive_flow_columns(usable, supervised).withColumn("_start", window_start(col(ts), interval_seconds))
-    sums = _interval_aggregates(derived, keys, supervised)
-    middle = group_median(derived, keys + ["_start"], "_duration", "median_duration")
-    merged = sums.join(middle, keys + ["_start"]).withColumn("_slot", slot(F.col("_start"), interval_seconds)).drop("_start")
-    if supervised:
-        merged = merged.withColumn("binary_attack_state", (F.col("malicious_flow_count") > 0).cast("int"))
-    full = densify(merged, keys, interval_seconds, peek="binary_attack_state" if supervised else None)
-    return _finish_states(full, keys, interval_seconds, supervised)
+    return granularity_states(flows, [interval_seconds], mode, keys, ts, day).drop("interval_seconds")
 
 
-def _finish_states(rows: DataFrame, keys: Sequence[str], interval_seconds: int, supervised: bool) -> DataFrame:
+def _finish_states(rows: DataFrame, keys: Sequence[str], interval_seconds: int | Column, supervised: bool) -> DataFrame:
     zero = {c: F.coalesce(col(c), F.lit(0)) for c in [*_SUMS, "unique_destination_port_count"]}
     zero.update({c: safe_ratio(col(c), F.col("flow_count")) for c in _MEANS})
     zero["median_duration"] = F.coalesce(col("median_duration"), F.lit(0.0))
@@ -202,6 +169,59 @@ def state_quality(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.drop("attack_states", "attack_nonempty")
 
 
+def granularity_states(
+    flows: DataFrame, intervals: Sequence[int] = INTERVALS, mode: str = "supervised", keys: Sequence[str] = (), ts: str = "timestamp_parsed", day: str = "capture_date",
+) -> DataFrame:
+    """The states of several interval lengths at once: ``interval_seconds`` and the columns of ``network_states``.
+
+    Flows are reduced once, to sums per unit (the lengths' greatest common divisor) and port and to counts per unit and
+    duration; every length adds up these partial states, so no flow is shuffled once per length.  Partial states meet by
+    the lengths' common multiple, inside which every interval lies.  A median comes from counts per unit and logarithmic
+    bin, added up the same way: they tell which bins hold the middle, and only the durations of those are ranked.
+    """
+    for seconds in intervals:
+        _check_interval(seconds)
+    if mode not in ("supervised", "inference"):
+        raise ValueError("mode must be supervised or inference")
+    supervised, keys, lengths = mode == "supervised", list(keys), sorted(set(intervals))
+    unit, anchor = math.gcd(*lengths), math.lcm(*lengths)
+    usable, _ = usable_flows(flows, ts, day)
+    derived = derive_flow_columns(usable, supervised).withColumn("_start", window_start(col(ts), unit))
+    own = [col(k) for k in keys]
+    number, far = slot(F.col("_start"), unit).alias("_unit"), F.floor(F.col("_unit") * unit / anchor).alias("_far")
+    each = F.explode(F.array(*[F.lit(i) for i in lengths])).alias("interval_seconds")
+    inside = F.floor(F.col("_unit") * unit / F.col("interval_seconds"))
+    place = [*own, F.col("_far"), F.col("interval_seconds"), F.col("_slot")]
+
+    sums = {"flow_count": F.lit(1), "byte_sum": col("_bytes"), "packet_sum": col("_packets"), "fwd_bytes": col("_fwd_bytes"), "fwd_packets": col("_fwd_packets"), "syn": col("_syn"), "ack": col("_ack"), "rst": col("_rst")}
+    sums |= {name: col(source) for name, source in _MEANS.items()} | ({"malicious_flow_count": col("_malicious")} if supervised else {})
+    ports = derived.groupBy(*own, "_start", col("Dst Port").alias("_port")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    ports = ports.select("*", number).select("*", far).drop("_start").repartition(*own, "_far")
+    rolled = ports.select("*", each).withColumn("_slot", inside).groupBy(*place, "_port").agg(*[F.sum(n).alias(n) for n in sums])
+    rolled = rolled.groupBy(*place).agg(*[F.sum(n).alias(n) for n in sums], F.count("_port").alias("unique_destination_port_count"))
+
+    pairs = derived.select(*own, "_start", col("_duration").alias("_v")).groupBy(*own, "_start", log_bin(F.col("_v"), 4).alias("_bin"), "_v").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = pairs.select(*own, number, "_bin", "_v", "_n").select("*", far)
+    bins = pairs.groupBy(*own, "_far", "_unit", "_bin").agg(F.sum("_n").alias("_n")).repartition(*own, "_far")
+    bins = bins.select("*", each).withColumn("_slot", inside).groupBy(*place, "_bin").agg(F.sum("_n").alias("_n"))
+    ordered = W.partitionBy(*place)
+    bins = bins.withColumns({"_upto": F.sum("_n").over(ordered.orderBy("_bin")), "_all": F.sum("_n").over(ordered)})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    bins = bins.withColumns({"_before": F.col("_upto") - F.col("_n"), "_low": low, "_high": high}).where("_before <= _high and _upto > _low")
+    # A unit lies in one interval of each length, so a pair meets the chosen bins of its common multiple and keeps its own.
+    meet = [*keys, "_far", "_bin"]
+    near = pairs.join(bins.select(*meet, "interval_seconds", "_slot", "_before", "_low", "_high"), meet).where(inside == F.col("_slot"))
+    near = near.groupBy(*place, "_bin", "_v", "_before", "_low", "_high").agg(F.sum("_n").alias("_n"))
+    ranked = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(W.partitionBy(*place, "_bin").orderBy("_v")))
+    middle = ranked.where("_upto - _n <= _high and _upto > _low").groupBy(*place).agg(((F.min("_v") + F.max("_v")) / 2).alias("median_duration"))
+
+    merged = rolled.join(middle, [*keys, "_far", "interval_seconds", "_slot"]).drop("_far")
+    if supervised:
+        merged = merged.withColumn("binary_attack_state", (F.col("malicious_flow_count") > 0).cast("int"))
+    names = [*keys, "interval_seconds"]
+    return _finish_states(densify(merged, names, F.col("interval_seconds"), peek="binary_attack_state" if supervised else None), names, F.col("interval_seconds"), supervised)
+
+
 def granularity_comparison(flows: DataFrame, intervals: Sequence[int] = INTERVALS) -> DataFrame:
     """State quality of several interval lengths from one scan.
 

@@ -335,6 +335,22 @@ def _(spark, d):
     return pick(st.granularity_comparison(t.flows(spark, d)), bigs=["interval_seconds", *_QCOUNT], nums=_QUALITY)
 
 
+def _all_lengths_sql() -> str:
+    parts = [f"select {i} as interval_seconds, * from (with {t.states_sql(i)} select {rows_sql(_TARGETS, STATE_FEATURES + ['malicious_flow_ratio'], texts=_STATE_TEXTS)}, future_target_available from states)" for i in (1, 5, 10, 30, 60)]
+    return "select cast(interval_seconds as bigint) as interval_seconds, * exclude (interval_seconds) from (" + " union all ".join(parts) + ")"
+
+
+@query("d5_granularity_states", _all_lengths_sql())
+def _(spark, d):
+    return pick(st.granularity_states(t.flows(spark, d)), _STATE_TEXTS, ["interval_seconds", *_TARGETS], STATE_FEATURES + ["malicious_flow_ratio"], bools=["future_target_available"])
+
+
+@query("d5_quality_of_states", _granularity_sql())
+def _(spark, d):
+    """State quality of all lengths, from their states."""
+    return pick(st.state_quality(st.granularity_states(t.flows(spark, d)), ["interval_seconds"]), bigs=["interval_seconds", *_QCOUNT], nums=_QUALITY)
+
+
 @query("d10_state_distribution", f"with {S} select capture_day, cast(future_attack_state as bigint) as future_attack_state, count(*) as states from states group by 1, 2")
 def _(spark, d):
     return pick(st.state_distribution(t.states(spark, d)), ["capture_day"], ["future_attack_state", "states"])

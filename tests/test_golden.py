@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.config import HIGH, LOW, MEDIUM, STATE_FEATURES
+from flowtide.config import FLOW_NUMERIC, HIGH, INTERVALS, LOW, MEDIUM, STATE_FEATURES
 from flowtide.functions import ordered
 from flowtide.operators import activity, cleaning, connections, evaluation, models, packets, states, windows
 from flowtide.sources import readers
@@ -219,3 +219,22 @@ def test_metrics_with_crowded_scores(spark):
     alarms = np.array([(neg >= v).sum() for v in values])
     gained = np.diff(np.concatenate([[0], hits])) / len(pos)
     assert got["roc_auc"] == pytest.approx(wins) and got["pr_auc"] == pytest.approx((gained * hits / (hits + alarms)).sum())
+
+
+def test_states_of_all_lengths_equal_one_run_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i % 2}", f"2018-02-1{4 + i % 2}", int(rng.integers(0, 200)), None if i % 50 == 0 else int(rng.integers(0, 9)), float(rng.choice([0, 5, 5, 1e3, 9e7])), "Bot" if i % 40 == 0 else "Benign") for i in range(900)]
+    rows += [("s0", "2018-02-14", 77, 443, float(v), "Benign") for v in rng.integers(0, 10**8, 3001)]  # one crowded second
+    frame = spark.createDataFrame(rows, "sensor string, capture_date string, off int, `Dst Port` int, `Flow Duration` double, Label string")
+    frame = frame.withColumn("timestamp_parsed", F.expr("timestampadd(SECOND, off, cast(capture_date as timestamp_ntz))"))
+    frame = frame.select("*", *[F.col("off").cast("double").alias(c) for c in FLOW_NUMERIC if c != "Flow Duration"])
+    whole = states.granularity_states(frame, keys=["sensor"])
+    for seconds in INTERVALS:
+        own = whole.filter(F.col("interval_seconds") == seconds).drop("interval_seconds")
+        alone = states.network_states(frame, seconds, keys=["sensor"])
+        assert own.columns == alone.columns and sorted(map(str, own.collect())) == sorted(map(str, alone.collect()))
+        durations = [r[4] for r in rows if r[0] == "s0" and r[1] == "2018-02-14" and r[2] // seconds == 77 // seconds]
+        at = F.expr(f"timestampadd(SECOND, {77 // seconds * seconds}, timestamp_ntz'2018-02-14 00:00:00')")
+        state = own.filter((F.col("sensor") == "s0") & (F.col("timestamp") == at)).first()
+        assert (state["flow_count"], state["median_duration"]) == (len(durations), np.median(durations))
+    assert states.granularity_states(frame.limit(0)).count() == 0
