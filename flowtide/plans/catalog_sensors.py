@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtide.config import FreshnessPolicy
+from flowtide.config import STATE_FEATURES, FreshnessPolicy
 from flowtide.functions.durable import scratch_path
 from flowtide.functions.expressions import col, day_text
 from flowtide.functions.ordered import position
@@ -14,7 +14,7 @@ from flowtide.operators import sensors as sn
 from flowtide.operators import states as st
 from flowtide.operators import windows as wd
 from flowtide.plans import tables as t
-from flowtide.plans.catalog import big, num, pick, query, text
+from flowtide.plans.catalog import big, num, pick, query, rows_sql, text
 from flowtide.plans.catalog_flows import A, P, RAW, S, _clean, _split_states
 from flowtide.plans.flagship import linear_scorer, replay
 from flowtide.sources import readers, writers
@@ -412,3 +412,23 @@ def _(spark, d):
 def _(spark, d):
     rows = _streamed(spark, t.packets(spark, d), "timestamp", stream_windows.stream_source_activity)
     return pick(rows, ["source_ip", "interval_start"], ["flow_count", "packet_count", "unique_destination_ports"], byte_count=num("byte_count", 3))
+
+
+_WHOLE_STATE = [c for c in STATE_FEATURES if c not in ("flow_count", "unique_destination_port_count")]
+
+
+@query("k2_stream_all_features", f"""with {S} select cast("timestamp" as varchar) as timestamp, {rows_sql(['flow_count', 'unique_destination_port_count'], _WHOLE_STATE)} from states where flow_count > 0""")
+def _(spark, d):
+    """All features of the streamed states, medians and distinct ports included."""
+    states = _streamed(spark, t.flows(spark, d), "timestamp_parsed", stream_windows.stream_states)
+    return pick(states, ["timestamp"], ["flow_count", "unique_destination_port_count"], _WHOLE_STATE)
+
+
+_WHOLE_ACTIVITY = ["mean_packet_size", "mean_iat", "packet_rate", "byte_rate"]
+_WHOLE_COUNTS = ["flow_count", "packet_count", "unique_destinations", "unique_destination_ports", "syn_count", "ack_count", "rst_count"]
+
+
+@query("k7_stream_all_measures", f"""with {A} select source_ip, cast(interval_start as varchar) as interval_start, {rows_sql(_WHOLE_COUNTS, _WHOLE_ACTIVITY, 4)} from activity""")
+def _(spark, d):
+    rows = _streamed(spark, t.packets(spark, d), "timestamp", stream_windows.stream_source_activity)
+    return pick(rows, ["source_ip", "interval_start"], _WHOLE_COUNTS, _WHOLE_ACTIVITY, 4)
