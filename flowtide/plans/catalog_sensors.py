@@ -15,9 +15,11 @@ from flowtide.operators import states as st
 from flowtide.operators import windows as wd
 from flowtide.plans import tables as t
 from flowtide.plans.catalog import big, num, pick, query, rows_sql, text
-from flowtide.plans.catalog_flows import A, P, RAW, S, _clean, _split_states
+from flowtide.plans.catalog_flows import A, P, RAW, S, _KEY, _clean, _split_states
 from flowtide.plans.flagship import linear_scorer, replay
 from flowtide.sources import readers, writers
+from flowtide.streaming import late as stream_late
+from flowtide.streaming import stateful
 from flowtide.streaming import windows as stream_windows
 
 # --- connection logs -----------------------------------------------------
@@ -432,3 +434,56 @@ _WHOLE_COUNTS = ["flow_count", "packet_count", "unique_destinations", "unique_de
 def _(spark, d):
     rows = _streamed(spark, t.packets(spark, d), "timestamp", stream_windows.stream_source_activity)
     return pick(rows, ["source_ip", "interval_start"], _WHOLE_COUNTS, _WHOLE_ACTIVITY, 4)
+
+
+# Packets of two sensors arrive in three rounds by time; one in 40 comes a round late, behind the watermark of ten seconds.
+_DELAY, _ROUNDS = 10, 3
+_ARRIVAL = "cast(least({rounds} - 1, floor(({us} - {first}) * {rounds} / ({last} - {first} + 1)) + case when event_id % 40 = 0 then 1 else 0 end) as integer)"
+_ARRIVED = f"""{P}, span as (select min(epoch_us("timestamp")) as lo, max(epoch_us("timestamp")) as hi from packets),
+arrived as (select packets.*, 'S' || (event_id % 2) as sensor_id, epoch_us("timestamp") as us, {_ARRIVAL.format(rounds=_ROUNDS, us='epoch_us("timestamp")', first="lo", last="hi")} as arrival from packets, span),
+m0 as (select max(us) // 1000 * 1000 - {_DELAY * 1_000_000} as behind from arrived where arrival = 0),
+m1 as (select greatest(max(us) // 1000 * 1000 - {_DELAY * 1_000_000}, any_value(m0.behind)) as behind from arrived, m0 where arrival = 0 or (arrival = 1 and us > m0.behind)),
+split as (select arrived.*, us <= case arrival when 0 then -1 when 1 then m0.behind else m1.behind end as is_late from arrived, m0, m1)"""
+
+
+def _arrivals(spark, d):
+    rows = t.packets(spark, d).withColumn("sensor_id", F.expr("concat('S', event_id % 2)")).drop("user_id", "k")
+    us = F.expr("unix_micros(cast(`timestamp` as timestamp))")
+    rows = rows.withColumn("_us", us).crossJoin(F.broadcast(t.packets(spark, d).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))))
+    rows = rows.withColumn("arrival", F.expr(_ARRIVAL.format(rounds=_ROUNDS, us="_us", first="_lo", last="_hi")))
+    closing = rows.limit(1).withColumns({"sensor_id": F.lit("closing"), "arrival": F.lit(_ROUNDS), "timestamp": F.expr("timestampadd(HOUR, 2, cast(timestamp_micros(_hi) as timestamp_ntz))")})
+    return rows.unionByName(closing).drop("_us", "_lo", "_hi").withColumn("timestamp", col("timestamp").cast("timestamp"))
+
+
+_STREAM_WALK = _ARRIVED + f""", o as (select *, sensor_id || ' ' || {_KEY} as flow_key, tcp_flags like '%FIN%' or tcp_flags like '%RST%' as closing from split where not is_late),
+n as (select *, row_number() over (partition by flow_key order by us, event_id) as i from o),
+walk as (select flow_key, i, us as first_us, us as last_us, closing as last_closing, 1 as flow_seq from n where i = 1
+  union all select flow_key, i, case when brk then us else first_us end, us, closing, flow_seq + cast(brk as integer) from (
+    select n.flow_key, n.i, n.us, n.closing, w.first_us, w.flow_seq, w.last_closing or n.us - w.last_us >= 30000000 or n.us - w.first_us >= 300000000 as brk from walk w join n on n.flow_key = w.flow_key and n.i = w.i + 1)),
+fl as (select sensor_id, flow_key, flow_seq, min(us) as f, max(us) as l, count(*) as packets, sum(packet_length) as bytes, bool_or(tcp_flags like '%RST%') as rst, bool_or(tcp_flags like '%FIN%') as fin
+  from n join walk using (flow_key, i) group by 1, 2, 3)
+select sensor_id, flow_key, cast(f as bigint) as first_us, cast(l as bigint) as last_us, packets, cast(bytes as bigint) as bytes, case when rst then 'rst' when fin then 'fin' when l + 30000000 <= f + 300000000 then 'idle_timeout' else 'active_timeout' end as reason,
+  cast(case when rst or fin then l else least(l + 30000000, f + 300000000) end as bigint) as close_us from fl"""
+
+
+def _stream_flows(spark, d):
+    make = lambda rows: stateful.stream_flows(rows, watermark=f"{_DELAY} seconds", keys=["sensor_id"])
+    return stream_late.replay_arrivals(_arrivals(spark, d), "arrival", "timestamp", _DELAY, make, _ROUNDS + 1)
+
+
+@query("k1_stream_flows", "with recursive " + _STREAM_WALK)
+def _(spark, d):
+    """Flows of a packet stream with late packets and restarts between arrivals; late ones are not part of any flow."""
+    made, _ = _stream_flows(spark, d)
+    us = lambda c: F.expr(f"unix_micros(cast(`{c}` as timestamp))")
+    return made.where("sensor_id <> 'closing'").select(
+        "sensor_id", F.concat_ws(" ", "sensor_id", "flow_key").alias("flow_key"), us("timestamp_parsed").alias("first_us"), us("last_packet_timestamp").alias("last_us"),
+        big("packet_count").alias("packets"), big(col("TotLen Fwd Pkts") + col("TotLen Bwd Pkts")).alias("bytes"), F.col("flow_close_reason").alias("reason"), us("close_timestamp").alias("close_us"),
+    )
+
+
+@query("k17_late_quarantine", f"with {_ARRIVED} select event_id, sensor_id, cast(arrival as bigint) as epoch, 'behind the watermark' as reason from split where is_late")
+def _(spark, d):
+    """The late packets of the same arrivals: accepted and late ones together are all packets."""
+    _, late = _stream_flows(spark, d)
+    return late.select("event_id", "sensor_id", big("epoch").alias("epoch"), "reason")
