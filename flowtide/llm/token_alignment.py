@@ -19,9 +19,9 @@ from flowtide.llm.bpe import _LOOSE_SPACE, Tokenizer, _slices
 from flowtide.llm.piece_bpe import SPACE, Merges, PieceModel
 
 #: Bytes of text whose links are counted together before they are shuffled; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Distinct stretches that are encoded and aligned together.
-GROUP_UNITS = 50_000
+GROUP_UNITS = 20_000
 
 _UNIT_BORDER = regex.compile(r"(?V1)(?<! )(?= \S)")
 
