@@ -396,6 +396,32 @@ def day_profile(flows: DataFrame, file: str = "source_file", row: str = "source_
     return label_dimension(joined)
 
 
+def _label_counts(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """``label_counts`` of each key, sorted by label; labels are counted first."""
+    counts = rows.groupBy(col(key), col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(col(key)).agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("label_counts"))
+
+
+def day_quality(raw: DataFrame, numbers: Sequence[str], file: str = "source_file", label: str = "Label") -> DataFrame:
+    """Empty, non-finite and unreadable numbers and the label counts of each file, from rows as text."""
+    number = lambda c: F.expr(f"try_cast(`{c}` as double)")
+    empty = lambda c: col(c).isNull() | (F.trim(col(c)) == "")
+    tests = {
+        "empty_values": empty, "nonfinite_values": lambda c: F.isnan(number(c)) | (F.abs(number(c)) == float("inf")), "parse_errors": lambda c: ~empty(c) & number(c).isNull(),
+    }
+    count = lambda test: reduce(lambda a, b: a + b, [F.count_if(F.coalesce(test(c), F.lit(False))) for c in numbers])
+    return raw.groupBy(col(file)).agg(*[count(test).alias(n) for n, test in tests.items()]).join(_label_counts(raw, file, label), file)
+
+
+def day_details(flows: DataFrame, day: str = "capture_date", ts: str = "timestamp_parsed", label: str = "Label") -> DataFrame:
+    """Rows, date mismatches, time span and label counts per capture day."""
+    main = flows.groupBy(col(day)).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(day_text(col(ts)) != col(day)).alias("mismatch_count"), F.min(col(ts)).alias("min_timestamp"), F.max(col(ts)).alias("max_timestamp"),
+    )
+    span = F.expr("timestampdiff(SECOND, min_timestamp, max_timestamp)")
+    return main.withColumn("time_span_seconds", span).join(_label_counts(flows, day, label), day)
+
+
 def split_report(flows: DataFrame, day: str = "capture_date", ts: str = "timestamp_parsed",
                  split: str = "split", label: str = "Label") -> DataFrame:
     """Days, rows, label counts, mismatches and time range per role."""

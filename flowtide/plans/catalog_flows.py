@@ -257,6 +257,33 @@ def _(spark, d):
     return pick(report, ["first_day", "last_day"], ["day_count", "total_rows", "largest_day_rows", "smallest_day_rows", "span_days"])
 
 
+@query("g2_missing_features", f"""with {RAW}, p as (select source_file, name from (unpivot (select source_file, {", ".join(f'count("{c}") filter (source_row_number % 97 < 30) as "{c}"' for c in NUMBERS)} from clean where source_row_number % 10 = 7 group by 1) on {", ".join(f'"{c}"' for c in NUMBERS)}) where value > 0)
+  select source_file, array_to_string(list_filter([{", ".join(f"'{c}'" for c in NUMBERS)}], lambda x: not list_contains(names, x)), ',') as missing from (select source_file, list(name) as names from p group by 1)""")
+def _(spark, d):
+    """Number columns of which the rows with infinite rates of each file hold no value at all."""
+    rows = _clean(spark, d).where("source_row_number % 10 = 7")
+    held = rows.groupBy("source_file").agg(*[F.count(F.when(F.expr("source_row_number % 97 < 30"), col(c))).alias(c) for c in NUMBERS])
+    present = F.array_compact(F.array(*[F.when(col(c) > 0, F.lit(c)) for c in NUMBERS]))
+    return held.select("source_file", F.array_join(cl.missing_features(present, NUMBERS), ",").alias("missing"))
+
+
+@query("d7_day_quality", f"""with {RAW}, c as (select source_row_number, source_file, "Label" from clean), r as (select * from raw where "Label" <> 'Label'),
+  n as (select source_file, name, value from (unpivot (select source_file, {", ".join(f'coalesce("{c}", chr(0)) as "{c}"' for c in NUMBERS)} from r) on {", ".join(f'"{c}"' for c in NUMBERS)})),
+  q as (select source_file, count(*) filter (value = chr(0) or trim(value) = '') as empty_values, count(*) filter (try_cast(value as double) is not null and not isfinite(try_cast(value as double))) as nonfinite_values,
+    count(*) filter (value <> chr(0) and trim(value) <> '' and try_cast(value as double) is null) as parse_errors from n group by 1),
+  l as (select source_file, string_agg("Label" || '=' || n, ',' order by "Label") as labels from (select source_file, "Label", count(*) as n from c group by 1, 2) group by 1)
+  select source_file, empty_values, nonfinite_values, parse_errors, labels from q join l using (source_file)""")
+def _(spark, d):
+    rows = cl.drop_repeated_headers(t.raw_flows(spark, d), HEADER)
+    return pick(cl.day_quality(rows, NUMBERS), ["source_file"], ["empty_values", "nonfinite_values", "parse_errors"], labels=F.array_join(F.transform("label_counts", lambda x: F.concat(x["label"], F.lit("="), x["n"].cast("string"))), ","))
+
+
+@query("d9_day_details", f"""with {RAW}, l as (select capture_date, "Label", count(*) as n, count(*) filter (cast(cast(timestamp_parsed as date) as varchar) <> capture_date) as m, min(timestamp_parsed) as lo, max(timestamp_parsed) as hi from clean group by 1, 2)
+  select capture_date, cast(sum(n) as bigint) as row_count, cast(sum(m) as bigint) as mismatch_count, cast(epoch(max(hi)) - epoch(min(lo)) as bigint) as time_span_seconds, string_agg("Label" || '=' || n, ',' order by "Label") as labels from l group by 1""")
+def _(spark, d):
+    return pick(cl.day_details(_clean(spark, d)), ["capture_date"], ["row_count", "mismatch_count", "time_span_seconds"], labels=F.array_join(F.transform("label_counts", lambda x: F.concat(x["label"], F.lit("="), x["n"].cast("string"))), ","))
+
+
 @query("d11_class_distribution", f"""with {S} select split, count(*) as states, count(*) filter (future_target_available) as usable_states, count(*) filter (future_target_available and future_attack_state = 1) as positive,
   count(*) filter (future_target_available and future_attack_state = 0) as negative, string_agg(distinct capture_day, ',' order by capture_day) as capture_days from states group by 1""")
 def _(spark, d):
@@ -502,6 +529,17 @@ def _(spark, d):
     return pk.classify_packet_rejects(pk.normalize_packets(_spoiled(spark, d))[1])
 
 
+@query("b26_live_rejects", f"""with {P}, a as (select *, max("timestamp") over (partition by protocol order by event_id % 1000, event_id rows between unbounded preceding and 1 preceding) as seen from packets)
+  select 'out_of_order' as category, count(*) as row_count from a where "timestamp" < seen union all
+  select 'invalid_flow_event', count(*) from packets where event_id % 37 = 0 or event_id % 31 = 0 or event_id % 29 = 0""")
+def _(spark, d):
+    """What a live flow builder refuses: events behind the newest of their protocol, and events that are no packets."""
+    rows = t.packets(spark, d).withColumn("arrival", F.expr("(event_id % 1000) * 1000000000L + event_id"))
+    late = pk.order_violations(rows, ["protocol"], "arrival").select(F.lit("event is not in chronological order").alias("reason"))
+    refused = late.unionByName(pk.normalize_packets(_spoiled(spark, d))[1].select("reason"))
+    return refused.groupBy(pk.live_category(F.col("reason")).alias("category")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query("d12_packet_quality", f"""with {P}, q as (select count(*) as n, count(*) filter (event_id % 37 <> 0 and event_id % 31 <> 0 and event_id % 29 <> 0) as v from packets)
   select n as packets_seen, v as valid_events, n - v as ignored_events, 0::bigint as dropped_events, round(100.0*v/n, 2) as valid_percentage, round(100.0*(n-v)/n, 2) as ignored_percentage from q""")
 def _(spark, d):
