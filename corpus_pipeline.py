@@ -33,15 +33,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, similarity 0.8)."""
+    """The document with the smallest id of each group of near duplicates (five words, similarity 0.8).
+
+    Rows that repeat both id and text are one document.  Rows of one id with different texts all stay: a link names an id,
+    not one of its texts, and none of them may be lost for another's sake.
+    """
     groups = cut(ngram_jaccard_join(docs))
-    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     again = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
+    repeated = not again.isEmpty()
+    if repeated:
+        digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+        texts = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+        gone = gone.join(texts.where("a <> b"), "doc_id", "left_anti")
+    gone = cut(gone)
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    if not repeated:
         return kept
-    # Rows that repeat an id are one document.
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters and the like in lower case; a run without a letter (``½``, ``²``) is no word."""
+    return [w for w in _WORDS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:

@@ -44,6 +44,14 @@ def test_passages_on_few_sites_are_kept_once(spark):
     assert all(len(out[9000 + k].split("\n")) == 2 for k in range(7))
 
 
+def test_texts_of_one_id_are_not_lost_for_each_other(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(3)), (3, text(3)), (4, text(4)), (4, text(4)), (5, text(1)), (None, text(6)), (None, text(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()), key=repr)
+    assert out == sorted([(1, text(1)), (1, text(2)), (2, text(3)), (4, text(4)), (None, text(6)), (None, text(7))], key=repr)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Public
 
 from flowtide.llm.bpe import decode_documents, encode_documents, tokenizer, vocabulary
+from flowtide.llm.language_id import words_of
 from flowtide.llm.line_dedup import remove_widespread_lines
 from flowtide.llm.packing import cut_documents, pack, plan_sequences, sequences
 from flowtide.llm.quality_rules import fit_rules, keep_good, quality_rules
@@ -189,3 +190,7 @@ def test_widespread_lines(spark):
     assert remove_widespread_lines(frame(spark, rows).limit(0)).count() == 0
     assert sum(r["n_removed"] for r in remove_widespread_lines(frame(spark, rows), min_sites=7).collect()) > sum(r["n_removed"] for r in out)
     assert frame(spark, rows).select(F.max("doc_id")).first()[0] == 201
+
+
+def test_words_hold_a_letter():
+    assert words_of("½ ② ³ Ⅳ 12 _ x½ Été ǅ 漢") == ["x½", "été", "ǆ", "漢"]
