@@ -117,7 +117,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that really link."""
+    """The pairs ``(a, b)`` that really link.  Sets in no pair are left behind before anything is shuffled, if pairs are few."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (sets.select(F.col("id").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint")
+    if pairs.count() <= BROADCAST_IDS:
+        left, pairs = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"), F.broadcast(pairs)
+    return right.join(pairs, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint")
 
 
 def _sizes_allow(percent: int) -> str:
@@ -150,45 +152,58 @@ def _positions_allow(percent: int) -> str:
     return f"(100 + {percent}) * (1 + least(n_a - pos_a, n_b - pos_b)) >= {percent} * (n_a + n_b)"
 
 
-_COLUMNS = ("id", "n", "own", "pos", "comp")
+#: Of a part of a group: the group, the part, its size of set, shingles of its own, position, smallest id, whether it has several members.
+_COLUMNS = ("g", "part", "n", "own", "pos", "rep", "many")
 
 
-def _pairs(rows: DataFrame, percent: int, leader: str) -> DataFrame:
-    """Candidate pairs between different components that share a list.
+def _leader_pairs(rows: DataFrame, members: DataFrame, percent: int, last: bool) -> DataFrame:
+    """Candidate pairs of documents out of the pairs of each list's parts with one leader of the list.
 
-    ``first`` and ``last`` compare every member of a list with one leader, so they stay linear: of the members with the
-    fewest shingles of their own, which lie in the middle of a group of near copies, the one with the largest or smallest id.
-    ``rest`` compares all members outside the list's largest component with every other component: exact, and empty for a
-    list whose members are linked.
+    The leader is, of the parts with the fewest shingles of their own, which lie in the middle of a group of near copies,
+    the one with the largest or smallest id.  Pairs of parts are filtered first; the smallest member of the leader then
+    meets every member of the other part, so that both steps stay linear.  A leader meets itself if it has several members.
     """
-    if leader in ("first", "last"):
-        sign = F.col("id") if leader == "last" else -F.col("id")
-        lead = rows.groupBy("h").agg(F.max_by(F.struct(*_COLUMNS), F.struct(-F.col("own"), sign)).alias("l")).select("h", *[F.col(f"l.{c}").alias(f"{c}_a") for c in _COLUMNS])
-        side = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in _COLUMNS])
-        pairs = side.join(lead, "h").where("comp_a <> comp_b").where(_sizes_allow(percent)).where(_positions_allow(percent))
-        return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    sizes = rows.groupBy("h", "comp").count()
-    lists = sizes.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("members")).where("parts > 1")
-    rows = rows.join(lists.select("h", F.col("m.comp").alias("major"), (F.col("members") > LONG_LIST).alias("long")), "h")
-    # Two members of one long list mostly share many; each member brings its long lists along, and a pair comes out of the
-    # first of them with their number.
+    order = F.struct(-F.col("own"), F.col("rep") if last else -F.col("rep"))
+    lead = rows.groupBy("h").agg(F.max_by(F.struct(*_COLUMNS), order).alias("l")).select("h", *[F.col(f"l.{c}").alias(f"{c}_a") for c in _COLUMNS])
+    side = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in _COLUMNS])
+    met = side.join(lead, "h").where("part_a <> part_b or many_b and g_a = g_b")
+    met = met.where(_sizes_allow(percent)).where(_positions_allow(percent)).select("rep_a", F.col("g_b").alias("g"), F.col("part_b").alias("part")).distinct()
+    pairs = met.join(members, ["g", "part"]).where("rep_a <> id")
+    return pairs.select(F.least("rep_a", "id").alias("a"), F.greatest("rep_a", "id").alias("b")).distinct()
+
+
+def _remaining_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of documents of different components: exact, and empty for a list whose members are linked.
+
+    Parts (the members of a group in one component) outside a list's largest component meet the parts of all other
+    components; pairs of parts are filtered by sizes, positions and number of shared shingles, then expanded to members.
+    """
+    sizes = rows.groupBy("h", "part").count()
+    lists = sizes.groupBy("h").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("members")).where("parts > 1")
+    rows = rows.join(lists.select("h", F.col("m.part").alias("major"), (F.col("members") > LONG_LIST).alias("long")), "h")
+    # Two parts of one long list mostly share many; each brings the long lists of its group along, and a pair comes out of
+    # the first of them with their number.
     long = rows.where("long")
-    own_lists = long.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h")))["h"].alias("lists"))
+    own_lists = long.groupBy("g").agg(F.sort_array(F.collect_set(F.struct("pos", "h")))["h"].alias("lists"))
     common = F.array_intersect("lists_a", "lists_b")
     met = _across(rows.where("not long"), _COLUMNS, percent).select("*", F.lit(1).alias("shared")).unionByName(
-        _across(long.join(own_lists, ["id", "n"]), (*_COLUMNS, "lists"), percent).where(F.get(common, F.lit(0)) == F.col("h")).withColumn("shared", F.size(common)).drop("lists_a", "lists_b")
+        _across(long.join(own_lists, "g"), (*_COLUMNS, "lists"), percent).where(F.get(common, F.lit(0)) == F.col("h")).withColumn("shared", F.size(common)).drop("lists_a", "lists_b")
     )
-    pairs = met.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("n_a", "n_b").alias("n")).agg(
-        F.sum("shared").alias("shared"), F.bool_or(F.expr(_positions_allow(percent))).alias("may")
-    )
-    return pairs.where(f"may and shared >= {_least_sql('n', percent)}").select("a", "b").distinct()
+    keys = ("g_a", "part_a", "g_b", "part_b")
+    turned = F.col("part_a") > F.col("part_b")
+    met = met.withColumns({k: F.when(turned, F.col(other)).otherwise(F.col(k)) for k, other in zip(keys, keys[2:] + keys[:2], strict=True)})
+    pairs = met.groupBy(*keys, F.least("n_a", "n_b").alias("n")).agg(F.sum("shared").alias("shared"), F.bool_or(F.expr(_positions_allow(percent))).alias("may"))
+    pairs = pairs.where(f"may and shared >= {_least_sql('n', percent)}").select(*keys)
+    for k in ("a", "b"):
+        pairs = pairs.join(members.select(*[F.col(c).alias(f"{c}_{k}") for c in ("g", "part", "id")]), [f"g_{k}", f"part_{k}"])
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, columns: tuple[str, ...], percent: int) -> DataFrame:
-    """Members outside a list's largest component beside the members of every other component, sizes permitting."""
-    minor = rows.where("comp <> major").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
+    """Parts outside a list's largest component beside the parts of every other component, sizes permitting."""
+    minor = rows.where("part <> major").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
     others = rows.select("h", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
-    return minor.join(others, "h").where("comp_a <> comp_b and (comp_b = major or id_a < id_b)").where(_sizes_allow(percent))
+    return minor.join(others, "h").where("part_a <> part_b and (part_b = major or part_a < part_b)").where(_sizes_allow(percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -199,9 +214,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle.  Runs jobs (checkpoints in ``spark.checkpoint.dir``).
 
     Plan: count shingles into a fixed number of counters, which orders them rare first; documents with equal sets become
-    one class, classes with equal prefix and size one group; groups sharing a prefix shingle are filtered by sizes and
-    positions, expanded to their classes and verified on whole sets; a class whose prefix meets too few others links with
-    none and is left out before that.  Pairs already connected are never compared: each list
+    one class, classes with equal prefix and size one group; a group whose prefix meets too few others links with none and is
+    left out, unless it has several classes; pairs of groups sharing a prefix shingle are filtered by sizes and positions, then
+    expanded to their classes and verified on whole sets.  Pairs already connected are never compared: each list
     is first compared with a leader, then only across the components that remain.
 
     Null or empty text: 0 shingles, own component.  Null id: 0 or more shingles, null component, no links.  Rows with the
@@ -213,42 +228,49 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     usable = signed.where("id is not null and n > 0")
     classes = cut(usable.groupBy("n", "k1", "k2", "p1", "p2").agg(F.min("id").alias("id")))
 
-    # Groups: classes with identical prefix and size.  One row of each brings its prefix; rows that merely repeat an id and
-    # its text would bring it again.
-    groups = usable.groupBy("n", "p1", "p2").agg(F.min(F.struct("id", "k1")).alias("g"), (F.min("k1") < F.max("k1")).alias("several"))
-    leaders = cut(groups.select("g.id", "g.k1", "several"))
+    # Groups: classes with identical prefix and size, named by their hash.  One row of each brings its prefix; rows that
+    # merely repeat an id and its text would bring it again.
+    group = F.xxhash64("n", "p1", "p2").alias("g")
+    groups = usable.groupBy("n", "p1", "p2").agg(F.min(F.struct("id", "k1")).alias("l"), (F.min("k1") < F.max("k1")).alias("several"))
+    leaders = cut(groups.select("l.id", "l.k1", "several"))
     prefixes = usable.join(F.broadcast(leaders) if leaders.count() <= BROADCAST_IDS else leaders, ["id", "k1"])
-    if not usable.groupBy("id", "k1").count().where("count > 1").isEmpty():
+    repeated = not usable.groupBy("id", "k1").count().where("count > 1").isEmpty()
+    if repeated:
         prefixes = prefixes.dropDuplicates(["id", "k1"])
-    # Lists of the groups by shingle; a group is named by the hash of its prefix.
-    postings = prefixes.select("p1", "several", F.posexplode("prefix").alias("pos", "h"))
+    # Lists of the groups by shingle.
+    postings = prefixes.select(group, "n", "several", F.posexplode("prefix").alias("pos", "h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("k"), F.bool_or("several").alias("several")).where("k > 1 or several").select("h")
-    lists = postings.select("h", "p1", "pos").join(shared, "h")
-    members = classes.select("p1", "n", "id")
+    met = postings.select("h", "g", "n", "pos").join(shared, "h").groupBy("g", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("met"))
     # A link of a document of size n is with one of size percent * n / 100 at least.
     smaller = f"(({percent} * n + 99) div 100)"
-    # Groups of one prefix and several sizes bring it once each.
-    met = lists.join(members, "p1").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("met"))
-    met = met.where(f"size(met) >= {_least_sql(smaller, percent)}")
-    met = cut(met.select("id", "n", "met"))
-    rows = met.select("id", "n", F.posexplode("met").alias("i", "m")).select("id", "n", (F.col("m.pos") - F.col("i")).alias("own"), "m.pos", "m.h")
-
-    active = cut(met.select("id").distinct())
-    few = active.count() <= BROADCAST_IDS
-    sets = cut(_sets(texts.join(F.broadcast(active) if few else active, "id", "left_semi"), width).distinct())
-
-    tried = links = None
-    labels = active.select("id", F.col("id").alias("comp"))
-    for leader in ("first", "last", "rest"):
-        pairs = _pairs(rows.join(labels, "id"), percent, leader)
+    met = cut(met.where(f"size(met) >= {_least_sql(smaller, percent)}"))
+    rows = met.select("g", "n", F.posexplode("met").alias("i", "m")).select("g", "n", (F.col("m.pos") - F.col("i")).alias("own"), "m.pos", "m.h")
+
+    members = cut(classes.select(group, "id").join(met.select("g"), "g").distinct())
+    active = members.select("id").distinct()
+    few = members.count() <= BROADCAST_IDS
+    sets = _sets(texts.join(F.broadcast(active) if few else active, "id", "left_semi"), width)
+    sets = cut(sets.distinct() if repeated else sets)
+
+    # At first a group is one part; then a part is what a group has in one component.
+    parted, labels, tried = members.withColumn("part", F.col("g")), active.select("id", F.col("id").alias("comp")), None
+    for step in ("first", "last", "rest"):
+        parts = parted.groupBy("g", "part").agg(F.min("id").alias("rep"), (F.lit(step == "first") & (F.count("*") > 1)).alias("many"))
+        placed = rows.join(parts, "g")
+        pairs = _remaining_pairs(placed, parted, percent) if step == "rest" else _leader_pairs(placed, parted, percent, step == "last")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        found = cut(_verified(pairs, sets, percent))
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels = cut(active.join(linked, active["id"] == linked["node"], "left").select("id", F.coalesce("component", "id").alias("comp")))
+        found = cut(_verified(pairs, sets, percent))
+        if not found.isEmpty():
+            # Links join components: the smallest id of what they connect names all of it.
+            ends = [labels.select(F.col("id").alias(k), F.col("comp").alias(c)) for k, c in (("a", "u"), ("b", "v"))]
+            linked = components(found.join(ends[0], "a").join(ends[1], "b").select("u", "v"))
+            joined = labels.join(linked, labels["comp"] == linked["node"], "left")
+            labels = cut(joined.select("id", F.coalesce("component", "comp").alias("comp")))
+        if step != "rest":
+            parted = members.join(labels.withColumnRenamed("comp", "part"), "id")
 
     named = classes.select("n", "k1", "k2", F.col("id").alias("class")).join(labels.withColumnRenamed("id", "class"), "class", "left")
     named = named.select("n", "k1", "k2", F.coalesce("comp", "class").alias("comp"))
