@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.durable import cut
+from flowtide.llm.columns import aside
 
 #: A line is boilerplate from so many distinct sites on, if it has so many characters without outer blanks.
 MIN_SITES = 8
@@ -73,14 +74,16 @@ def remove_widespread_lines(
     drops = cut(repeated.groupBy("id", "t").agg(F.collect_set("pos").alias("_drop")))
     few = drops.count() <= BROADCAST_ROWS
     keyed = drops.withColumnsRenamed({"id": "_id", "t": "_th"})
-    joined = docs.withColumn("_t", F.xxhash64(text_col)).join(
-        F.broadcast(keyed) if few else keyed, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left"
+    rows, own = aside(docs, id=id_col, text=text_col)
+    joined = rows.withColumn("_t", F.xxhash64("text")).join(
+        F.broadcast(keyed) if few else keyed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left"
     )
-    return joined.select(*[_cleaned(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "n_removed"], F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint").alias("n_removed"))
+    own[text_col] = _cleaned("text").alias(text_col)
+    return joined.select(*[c for name, c in own.items() if name != "n_removed"], F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def _cleaned(text_col: str) -> Column:
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     kept = F.element_at(F.transform(F.array(lines), lambda ls: F.transform(left, lambda i: F.get(ls, i))), 1)
-    return F.when(F.col("_drop").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept, "\n")).alias(text_col)
+    return F.when(F.col("_drop").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept, "\n"))

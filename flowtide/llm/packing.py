@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.durable import cut
 from flowtide.llm.bpe import Tokenizer, _slices
+from flowtide.llm.columns import aside
 
 CAPACITY = 4096
 #: Piece lengths are planned in steps of so many tokens, which bounds the histogram at CAPACITY / GRID classes.
@@ -171,10 +172,10 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, gr
     separate pieces; an empty table gives an empty result.
     """
     room = capacity // grid
-    extra = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces, own = aside(pieces.drop("sequence_id", "offset"), id=id_col, start="start", length="length")
     length = F.col("length")
     checked = F.when((length >= 1) & (length <= capacity), F.ceil(length / grid).cast("int")).otherwise(F.raise_error(F.lit("piece length out of range")).cast("int"))
-    rows = cut(pieces.select(*extra, checked.alias("_class")))
+    rows = cut(pieces.withColumn("_class", checked))
     counts = {r["_class"]: r["n"] for r in rows.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     spark = rows.sparkSession
 
@@ -192,19 +193,19 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, gr
     ranged = spark.createDataFrame(ranges, "_class int, _from bigint, _to bigint, _each bigint, _base bigint")
 
     parts = max(1, -(-sum(counts.values()) // RANKED))
-    salted = rows.withColumn("_part", F.pmod(F.xxhash64(id_col, "start", "length"), F.lit(parts)).cast("int"))
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64("id", "start", "length"), F.lit(parts)).cast("int"))
     sums = salted.groupBy("_class", "_part").agg(F.count("*").alias("_n"))
     before = sums.select("_class", "_part", (F.sum("_n").over(Window.partitionBy("_class").orderBy("_part")) - F.col("_n")).alias("_before"))
     ranked = (
-        salted.withColumn("_own", F.row_number().over(Window.partitionBy("_class", "_part").orderBy(id_col, "start")))
+        salted.withColumn("_own", F.row_number().over(Window.partitionBy("_class", "_part").orderBy("id", "start")))
         .join(F.broadcast(before) if parts <= 64 else before, ["_class", "_part"])
         .withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     )
     # At most one range for each size of each pattern: bounded by the plan, not by the data.
     placed = ranked.join(F.broadcast(ranged), "_class").where("_rank >= _from and _rank < _to")
     placed = placed.withColumn("sequence_id", F.expr("_base + (_rank - _from) div _each"))
-    own = Window.partitionBy("sequence_id").orderBy(F.desc("length"), id_col, "start", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(own), F.lit(0))).select(*extra, "sequence_id", "offset")
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*own.values(), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

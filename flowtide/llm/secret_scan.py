@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.durable import cut
+from flowtide.llm.columns import aside
 
 #: Kinds of base secrets in their order, their patterns, and the shortest secret of each.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -168,7 +169,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", placeholder: str = P
 
     Texts without secrets, nulls included, come back as they are.  Runs jobs.
     """
-    found = cut(_found(docs, text_col))
+    rows, own = aside(docs, text=text_col)
+    found = cut(_found(rows, "text"))
     scored = _scored(found, _ordinary(docs, text_col)).withColumn("_spans", _listed(KINDS))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("parts"))
 
@@ -177,11 +179,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", placeholder: str = P
         plain = F.struct(acc["end"].alias("start"), s["start"].alias("end"))
         return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when((s["start"] > acc["end"]) | (F.size(acc["parts"]) == 0), F.concat(acc["parts"], F.array(plain))).otherwise(acc["parts"]).alias("parts"))
 
-    text = F.col(text_col).cast("string")
+    text = F.col("text").cast("string")
 
     def rebuilt(acc: Column) -> Column:
         kept = F.concat(acc["parts"], F.array(F.struct(acc["end"].alias("start"), F.length(text).alias("end"))))
         return F.array_join(F.transform(kept, lambda p: F.substring(text, p["start"] + 1, p["end"] - p["start"])), placeholder)
 
     new = F.when(F.size("_spans") > 0, _let(F.aggregate("_spans", start, add), rebuilt)).otherwise(text)
-    return scored.withColumn(text_col, new).select(*docs.columns)
+    return scored.withColumn("text", new).select(*own.values())

@@ -194,3 +194,24 @@ def test_widespread_lines(spark):
 
 def test_words_hold_a_letter():
     assert words_of("½ ② ³ Ⅳ 12 _ x½ Été ǅ 漢") == ["x½", "été", "ǆ", "漢"]
+
+
+#: Names that helper columns have or had.
+HELPERS = ["_t", "_th", "_id", "_drop", "_all", "_free", "_assign", "_access", "_hex", "_markov", "_spans", "_class", "_part", "_own", "_n", "_rank", "_from", "_to", "_each", "_base", "id", "pos", "h1", "line", "site", "t", "column_0", "a.b"]
+
+
+def test_columns_named_like_helpers_stay(spark):
+    notice = "All rights reserved by the owner of this page."
+    rows = [(i, f"Own line of document {i}.\n{notice}\npassword = hunter2hunter{i}", f"site{i}") for i in range(12)] + [(None, None, None), (3, "", "site3")]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in HELPERS]) for r in rows], ["doc_id", "text", "source", *HELPERS])
+    kept = lambda df: sorted(tuple(str(r[c]) for c in ["doc_id", *HELPERS]) for r in df.collect())
+    lines = remove_widespread_lines(docs)
+    assert lines.columns == [*docs.columns, "n_removed"] and kept(lines) == kept(docs)
+    assert {r["doc_id"]: r["n_removed"] for r in lines.collect() if r["text"]} == {i: int(i > 0) for i in range(12)}
+    clean = redact_secrets(docs)
+    assert clean.columns == docs.columns and kept(clean) == kept(docs)
+    assert all(r["text"].endswith("page.\n[secret]") for r in clean.collect() if r["text"])
+    pieces = docs.withColumns({"start": F.lit(0).cast("bigint"), "length": F.lit(1500).cast("bigint"), "offset": F.lit("old")})
+    packed = pack(pieces)
+    assert packed.columns == [*docs.columns, "start", "length", "sequence_id", "offset"] and kept(packed) == kept(docs)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
