@@ -218,13 +218,11 @@ def _(spark, d):
 
 @query("i4_multi_horizon")
 def _(spark, d):
-    features = ["flow_count", "rst_flow_ratio", "unique_destination_port_count"]
     rows = _split_states(spark, d, durable=True)
-    scaler = md.fit_scaler(rows.filter("split = 'train'"), features)
-    scaled = md.apply_scaler(rows.withColumns({f: F.col(f).cast("double") for f in features}), scaler, features)
-    made = wd.build_multistep(scaled, 10, 2, features=features)
-    models = md.fit_multi_horizon(made.filter("split = 'train'"), 2, iterations=15)
-    scored = md.forecast_rows(md.forecast_multi_horizon(made, models), 0.5, 2)
+    scaler = md.fit_scaler(rows.filter("split = 'train'"))
+    made = wd.build_multistep(md.apply_scaler(rows.withColumns({f: F.col(f).cast("double") for f in STATE_FEATURES}), scaler))
+    models = md.fit_multi_horizon(made.filter("split = 'train'"))
+    scored = md.forecast_rows(md.forecast_multi_horizon(made, models), 0.5)
     return pick(ev.binary_metrics(scored, 0.5, ["split", "step"]), ["split"], ["step", *_M_BIG], _M_NUM)
 
 
@@ -277,11 +275,25 @@ def _(spark, d):
     return pick(rows, ["origin"], ["position_index"], ["signed_contribution", "sensitivity"])
 
 
-@query("i17_context_length_comparison", f"""with {_SCORED.replace('n >= 10 and', '')}, l as (select unnest([5, 10, 20]) as context_length), w as (select context_length, split, y1 as label, 1/(1+exp(-(z - 2.0))) as score from zz join l on n >= context_length), {metrics_sql('w', 'context_length', '0.3')}
-  select cast(context_length as bigint) as context_length, {rows_sql(_M_BIG, ['recall', 'f1'])} from met""")
+_FIXED = [0.0001 * (i + 1) for i in range(len(STATE_FEATURES))]
+_HEADS = [md.Head(tuple((at + 1) / 10 * w for at in range(10) for w in _FIXED), -1.0 - 0.2 * step) for step in range(1, 6)]
+
+
+@query("i4_forecast_multi_horizon", f"""with {S}, v as (select split, capture_day, "timestamp" as origin, {" + ".join(f"{w!r} * {f}" for w, f in zip(_FIXED, STATE_FEATURES, strict=True))} as v, row_number() over w as n, {_LEADS} from states window w as (partition by capture_day order by "timestamp")),
+  q as (select *, v + {" + ".join(f"{(10 - i) / 10} * lag(v, {i}) over w" for i in range(1, 10))} as z from v window w as (partition by capture_day order by origin)), st as (select unnest([1,2,3,4,5]) as step),
+  f as (select split, origin, step, 1/(1+exp(-(z - 1.0 - 0.2*step))) as score, case step when 1 then y1 when 2 then y2 when 3 then y3 when 4 then y4 else y5 end as label from q cross join st where n >= 10 and y5 is not null)
+  select split, cast(origin as varchar) as origin, cast(step as bigint) as step, cast(label as bigint) as label, round(score, 6) as score from f""")
+def _(spark, d):
+    scored = md.forecast_multi_horizon(wd.build_multistep(_split_states(spark, d)), _HEADS)
+    return pick(md.forecast_rows(scored, 0.5), ["split", "origin"], ["step", "label"], ["score"])
+
+
+@query("i17_context_length_comparison", f"""with {_SCORED.replace('n >= 10 and', '')}, l as (select unnest([5, 10, 20]) as context_length), st as (select unnest([1,2,3,4,5]) as step),
+  w as (select context_length, step, split, case step when 1 then y1 when 2 then y2 when 3 then y3 when 4 then y4 else y5 end as label, 1/(1+exp(-(z - 1.8 - 0.2*step))) as score from zz join l on n >= context_length cross join st), {metrics_sql('w', 'context_length, step', '0.3')}
+  select cast(context_length as bigint) as context_length, cast(step as bigint) as step, {rows_sql(_M_BIG, ['recall', 'f1'])} from met""")
 def _(spark, d):
     made = md.context_length_comparison(_split_states(spark, d, durable=True), {n: linear_scorer(n) for n in (5, 10, 20)}, threshold=0.3)
-    return pick(made.filter("step = 1"), [], ["context_length", *_M_BIG], ["recall", "f1"])
+    return pick(made, [], ["context_length", "step", *_M_BIG], ["recall", "f1"])
 
 
 @query("k15_forecast", f"with {_SCORED}, st as (select unnest([1,2,3,4,5]) as step) select cast(step as bigint) as step, count(*) as forecasts, count(*) filter (1/(1+exp(-(z - 1.8 - 0.2*step))) >= 0.19) as warnings, round(avg(1/(1+exp(-(z - 1.8 - 0.2*step)))), 6) as mean_score from zz cross join st group by 1")

@@ -238,3 +238,26 @@ def test_states_of_all_lengths_equal_one_run_each(spark):
         state = own.filter((F.col("sensor") == "s0") & (F.col("timestamp") == at)).first()
         assert (state["flow_count"], state["median_duration"]) == (len(durations), np.median(durations))
     assert states.granularity_states(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("balanced", [True, False])
+def test_all_horizons_in_one_pass_equal_fits_per_step(spark, balanced):
+    from pyspark.ml.functions import array_to_vector
+
+    from flowtide.operators.models import _fit, fit_multi_horizon, forecast_multi_horizon
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4, 3))
+    score = x[:, -1] @ [2.0, -1.0, 0.5] + x[:, 0, 0]
+    y = [[int(score[i] + rng.normal() > 0.4 * k) for k in range(2)] + [0] for i in range(600)]
+    rows = spark.createDataFrame([(i, x[i].tolist(), y[i]) for i in range(600)], "i int, features array<array<double>>, targets array<int>").repartition(5)
+    models = fit_multi_horizon(rows, 3, balanced)
+    assert models[2] == 0.0
+    flat = rows.select(array_to_vector(F.flatten("features")).alias("_vector"), "targets")
+    for k in range(2):
+        alone = _fit(flat.withColumn("_y", F.col("targets")[k]), "_y", balanced, 1.0, 500)
+        assert np.abs(np.array(models[k].coefficients) - alone.coefficients.toArray()).max() < 1e-4
+        assert abs(models[k].intercept - alone.intercept) < 1e-4
+    assert len(forecast_multi_horizon(rows, models).first()["scores"]) == 3
+    with pytest.raises(ValueError, match="no windows"):
+        fit_multi_horizon(rows.limit(0), 3)
