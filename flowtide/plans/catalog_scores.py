@@ -288,6 +288,18 @@ def _(spark, d):
     return pick(md.forecast_rows(scored, 0.5), ["split", "origin"], ["step", "label"], ["score"])
 
 
+@query("e9_window_cases", f"""with {S}, q as (select split, "timestamp" as origin, concat_ws('|', cast(lag(flow_count, 2) over w as bigint), cast(lag(flow_count, 1) over w as bigint), cast(flow_count as bigint)) as recent,
+    1/(1+exp(-(0.02*flow_count + 1.5*rst_flow_ratio + 0.1*unique_destination_port_count - 2.0))) as score, row_number() over w as n, {_LEADS} from states window w as (partition by capture_day order by "timestamp")),
+  c as (select *, case when y1 = 1 and score >= 0.19 then 'true_positive' when y1 = 0 and score >= 0.19 then 'false_positive' when y1 = 1 then 'false_negative' else 'true_negative' end as category from q where n >= 10 and y5 is not null),
+  r as (select *, row_number() over (partition by category order by case when category = 'true_negative' then score else -score end, origin) as rank from c)
+  select category, split, cast(origin as varchar) as origin, recent, cast(y1 as bigint) as label, round(score, 6) as score from r where rank = 1""")
+def _(spark, d):
+    scored = _scored(spark, d).select("split", "origin", "features", F.col("targets")[0].alias("label"), F.col("scores")[0].alias("score"))
+    at = STATE_FEATURES.index("flow_count")
+    recent = F.concat_ws("|", F.transform("recent", lambda s: s[at].cast("bigint").cast("string")))
+    return pick(ev.error_cases(scored, 0.19).withColumn("recent", recent), ["category", "split", "origin", "recent"], ["label"], ["score"])
+
+
 @query("i17_context_length_comparison", f"""with {_SCORED.replace('n >= 10 and', '')}, l as (select unnest([5, 10, 20]) as context_length), st as (select unnest([1,2,3,4,5]) as step),
   w as (select context_length, step, split, case step when 1 then y1 when 2 then y2 when 3 then y3 when 4 then y4 else y5 end as label, 1/(1+exp(-(z - 1.8 - 0.2*step))) as score from zz join l on n >= context_length cross join st), {metrics_sql('w', 'context_length, step', '0.3')}
   select cast(context_length as bigint) as context_length, cast(step as bigint) as step, {rows_sql(_M_BIG, ['recall', 'f1'])} from met""")
