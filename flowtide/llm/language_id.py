@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,10 +13,14 @@ from pyspark.sql import functions as F
 
 from flowtide.llm.bpe import _slices
 
-#: Bounds of the training sample: languages (the most frequent ones), distinct lines of each, and words of a line.
-LANGUAGES, LINES, LINE_WORDS = 32, 800, 60
-#: Hashed features; the model is at most FEATURES * LANGUAGES numbers, which are broadcast.
-FEATURES = 1 << 17
+#: Bounds of the training sample: distinct stretches of lines of each language, fewer where together they pass the second
+#: number, and characters of a stretch.
+LINES, ALL_LINES, STRETCH = 800, 25_600, 400
+#: Shorter stretches train only languages that lack longer ones.
+SHORT = 20
+#: Hashed features; the model is FEATURES numbers a language, which are broadcast.
+BITS = 17
+FEATURES = 1 << BITS
 LEXICON = 500
 ROUNDS, RATE, SHRINK = 30, 0.1, 1e-4
 #: Words of a training sequence that come from one line before the language may change, and how often it does.
@@ -34,16 +37,39 @@ def words_of(text: str) -> list[str]:
     return [w for w in _WORDS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed affixes, character n-grams and lexicon entries of one lower-case word."""
-    marked = f"<{word}>"
-    n = len(marked)
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [marked[i : i + k] for k in (1, 2, 3, 4) for i in range(min(n - k + 1, 64))] if n <= 67 else [marked[i : i + 3] for i in range(n - 2)]
-    names += [f"L{k}" for k in lexicon.get(word, ())]
-    names.append("b")
-    crc = zlib.crc32
-    return [crc(x.encode("utf-8", "replace")) % FEATURES for x in names]
+def word_features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of lower-case words, one word's after another's, and how many each word has.
+
+    They are the word's first and last one to three characters, its n-grams of one to four characters between marks, its
+    lexicon entries and a constant.  All words are hashed at once: a gram's hash follows from the one that is a character
+    shorter.
+    """
+    marked = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    starts, own = ends - lengths, np.repeat(np.arange(len(words)), lengths)
+    left = ends[own] - np.arange(len(marked))  # characters from here to the word's end, the mark included
+    gram = np.zeros(len(marked), np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(owners: np.ndarray, hashes: np.ndarray, salt: int) -> None:
+        mixed = (hashes ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((owners, ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64)))
+
+    for k in (1, 2, 3, 4):
+        here = np.flatnonzero(left >= k)
+        gram[here] = gram[here] * np.uint64(0x100000001B3) + marked[here + k - 1] + np.uint64(1)
+        add(own[here], gram[here], k)
+        if k < 4:  # an affix is a gram that starts behind the first mark or ends before the last one
+            long = np.flatnonzero(lengths - 2 >= k)
+            add(long, gram[starts[long] + 1], 16 + k)
+            add(long, gram[ends[long] - 1 - k], 32 + k)
+    listed = [(i, k) for i, w in enumerate(words) for k in lexicon.get(w, ())]
+    add(np.array([i for i, _ in listed], np.int64), np.array([k for _, k in listed], np.uint64), 48)
+    add(np.arange(len(words)), np.zeros(len(words), np.uint64), 64)
+    owners, features = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(owners, kind="stable")
+    return features[order], np.bincount(owners, minlength=len(words))
 
 
 class Chains:
@@ -72,9 +98,10 @@ class Chains:
         at = lambda t: np.minimum(self.begin + t, self.total - 1)
         live = lambda t: t < self.size
         longest = int(self.size.max(initial=0))
-        matrix = np.broadcast_to(np.eye(labels), (n, labels, labels)).copy()
+        most = int(self.counts.max(initial=0))
         seg = self.first[self.counts > 0]  # the segments that begin a sequence: nothing comes before, the start weight does
-        for t in range(longest):
+        matrix = np.broadcast_to(np.eye(labels), (n if most > 1 else 0, labels, labels)).copy()
+        for t in range(longest if most > 1 else 0):
             grown = (matrix @ step) * weight[at(t)][:, None, :]
             if t == 0:
                 grown[seg] = (begin * weight[self.begin[seg]])[:, None, :]
@@ -82,7 +109,6 @@ class Chains:
             matrix = np.where(live(t)[:, None, None], grown, matrix)
         enter, leave = np.zeros((n, labels)), np.ones((n, labels))
         enter[seg, 0] = 1.0
-        most = int(self.counts.max(initial=0))
         for k in range(1, most):
             cur = (self.first + k)[self.counts > k]
             v = np.einsum("ij,ijk->ik", enter[cur - 1], matrix[cur - 1])
@@ -117,17 +143,22 @@ class Chains:
             inner = np.ones(self.total, bool)
             inner[self.begin[seg]] = False
             j = np.flatnonzero(inner)
-            joint = forward[j - 1][:, :, None] * step[None] * (weight[j] * backward[j])[:, None, :]
-            expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            before, after = forward[j - 1], weight[j] * backward[j]
+            expected = step * ((before / ((before @ step) * after).sum(axis=1, keepdims=True)).T @ after)
         return out, expected, norm
 
 
+def _segment(labels: int) -> int:
+    """Segment length: a segment's matrix costs as much as ``labels`` passes, so with many labels texts are chained whole."""
+    return SEGMENT if labels <= 16 else 1 << 40
+
+
 def train(lines: list[tuple[str, str]]) -> dict:
     """Model from ``(language, line)`` pairs, a bounded sample: deterministic, full-batch, adaptive gradient steps."""
     languages = sorted({lang for lang, _ in lines})
     index = {lang: k for k, lang in enumerate(languages)}
     counts: dict[str, Counter] = {}
-    split = [(index[lang], words_of(line)[:LINE_WORDS]) for lang, line in lines]
+    split = [(index[lang], words_of(line)) for lang, line in lines]
     split = [(k, ws) for k, ws in split if ws]
     for k, ws in split:
         for w in ws:
@@ -155,11 +186,10 @@ def train(lines: list[tuple[str, str]]) -> dict:
     gold = np.array([k for s in sequences for k, _ in s])
     vocabulary = {w: i for i, w in enumerate(sorted(counts))}
     word = np.array([vocabulary[w] for s in sequences for _, w in s])
-    features = [word_features(w, lexicon) for w in vocabulary]
-    sizes = np.array([len(f) for f in features])
-    flat, at = np.concatenate([np.array(f) for f in features]), np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    row = np.repeat(np.arange(len(features)), sizes)
-    chains = Chains(lengths)
+    flat, sizes = word_features(list(vocabulary), lexicon)
+    at = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    chains = Chains(lengths, _segment(labels))
     firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     inner = np.ones(len(gold), bool)
     inner[firsts] = False
@@ -174,7 +204,7 @@ def train(lines: list[tuple[str, str]]) -> dict:
         scores = np.add.reduceat(weights[flat], at, axis=0)[word]
         p, expected, _ = chains.posteriors(scores, start, transition, pairs=True)
         miss = one - p
-        by_word = np.stack([np.bincount(word, miss[:, k], len(features)) for k in range(labels)], axis=1)
+        by_word = np.stack([np.bincount(word, miss[:, k], len(sizes)) for k in range(labels)], axis=1)
         gradients = (
             np.stack([np.bincount(flat, by_word[row, k], FEATURES) for k in range(labels)], axis=1) / n - SHRINK * weights,
             miss[firsts].sum(axis=0) / n - SHRINK * start,
@@ -200,9 +230,8 @@ class Labeller:
         if len(self.rows) + len(new) > REMEMBERED:
             self.rows, self.scores, new = {}, self.scores[:0], list(words)
         if new:
-            features = [word_features(w, self.model["lexicon"]) for w in new]
-            at = np.concatenate(([0], np.cumsum([len(f) for f in features])))[:-1]
-            own = np.add.reduceat(self.model["weights"][np.concatenate([np.array(f) for f in features])], at, axis=0)
+            flat, sizes = word_features(new, self.model["lexicon"])
+            own = np.add.reduceat(self.model["weights"][flat], np.cumsum(sizes) - sizes, axis=0)
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, own])
 
@@ -217,7 +246,7 @@ class Labeller:
         get = self.rows.__getitem__
         ids = np.fromiter((get(w) for s in split for w in s), np.int64, int(lengths.sum()))
         some = np.flatnonzero(lengths)
-        p, _, _ = Chains(lengths[some]).posteriors(self.scores[ids], self.model["start"], self.model["transition"])
+        p, _, _ = Chains(lengths[some], _segment(len(languages))).posteriors(self.scores[ids], self.model["start"], self.model["transition"])
         means = np.add.reduceat(p, np.concatenate(([0], np.cumsum(lengths[some])))[:-1], axis=0) / lengths[some][:, None]
         out = [("und", 0.0)] * len(texts)
         for i, m in zip(some, means, strict=True):
@@ -227,21 +256,27 @@ class Labeller:
 
 
 def training_lines(labelled: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A bounded sample: of each of the ``LANGUAGES`` most frequent languages, the ``LINES`` distinct lines of smallest hash.
+    """A bounded sample: of each language the ``LINES`` distinct stretches of smallest hash, short ones after all others.
+
+    With more than 32 languages it is an equal part of ``ALL_LINES``, one at least.
 
-    Lines of every labelled text take part.  Only hashes below a bound are ranked; it goes by the number of distinct lines,
-    so that some four times ``LINES`` of them lie below, however often each repeats.
+    A stretch is a line, or a part of at most ``STRETCH`` characters, ended at white space where there is any; those of every
+    labelled text take part, wherever they stand.  Only hashes below a bound are ranked; it goes by the number of distinct
+    stretches, so that some four times as many as are wanted lie below, however often each repeats.  The driver gets one row a
+    language, and the sample.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line"))
-    rows = rows.where("lang is not null").where(F.length("line") >= 20)
-    order = F.xxhash64("line")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(order).alias("distinct")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    cut_up = F.expr(rf"regexp_extract_all(text, '(?:[^\n]{{1,{STRETCH}}}(?=\\s|$)|[^\n]{{1,{STRETCH}}})', 0)")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
+    rows = rows.select("lang", F.explode(cut_up).alias("line")).where(F.col("line").rlike(r"\p{L}"))
+    rows = rows.select("lang", "line", (F.length("line") < SHORT).alias("short"), F.xxhash64("line").alias("o"))
+    sizes = rows.groupBy("lang", "short").agg(F.approx_count_distinct("o").alias("distinct")).collect()
     if not sizes:
         return []
-    bound = lambda n: min(2**63 - 1, 2**64 * 4 * LINES // max(n, 1) - 2**63)
-    limits = labelled.sparkSession.createDataFrame([(r["lang"], bound(r["distinct"])) for r in sizes], "lang string, bound bigint")
-    few = rows.withColumn("o", order).join(F.broadcast(limits), "lang").where("o <= bound").select("lang", F.substring("line", 1, 2000).alias("line"), "o").distinct()
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "line"))).where(F.col("r") <= LINES)
+    most = max(1, min(LINES, ALL_LINES // len({r["lang"] for r in sizes})))
+    bound = lambda n: min(2**63 - 1, 2**64 * 4 * max(most, 100) // max(n, 1) - 2**63)
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], r["short"], bound(r["distinct"])) for r in sizes], "lang string, short boolean, bound bigint")
+    few = rows.join(F.broadcast(limits), ["lang", "short"]).where("o <= bound").select("lang", "line", "short", "o").distinct()
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("short", "o", "line"))).where(F.col("r") <= most)
     return [(r["lang"], r["line"]) for r in ranked.orderBy("lang", "r").collect()]
 
 

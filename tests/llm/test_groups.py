@@ -10,7 +10,7 @@ from flowtide.llm.components import components
 from flowtide.llm.embedding_dedup import embedding_near_duplicates, tile_links
 from flowtide.llm.hashing import shingle_set, word_hashes
 from flowtide.llm.kneser_ney import BITS, CLASSES, ORDER, _scorer, classes_of, count_grams, grams_of, joined_perplexities, kneser_ney, perplexities, quality_classifier
-from flowtide.llm.language_id import LINES, Chains, language_id, training_lines
+from flowtide.llm.language_id import LINES, STRETCH, Chains, language_id, training_lines, word_features
 from flowtide.llm.ngram_join import ngram_jaccard_join
 from flowtide.llm.quotation import link_quotations
 
@@ -194,6 +194,28 @@ def test_training_lines_do_not_depend_on_copies(spark):
     assert [line for lang, line in got if lang == "bb"] == smallest
 
 
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words, lexicon = ["a", "haus", "x" * 90, "straße", "дом", "𝒳y"], {"haus": (1, 3)}
+    flat, sizes = word_features(words, lexicon)
+    assert flat.tolist() == [f for w in words for f in word_features([w], lexicon)[0].tolist()] and sizes.sum() == len(flat)
+    grams = lambda w: sum(max(len(w) + 3 - k, 0) for k in (1, 2, 3, 4)) + 2 * min(len(w), 3)
+    assert sizes.tolist() == [grams(w) + len(lexicon.get(w, ())) + 1 for w in words]
+
+
+def test_many_languages_short_lines_and_long_lines_all_train(spark):
+    rng = random.Random(1)
+    words = [["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(20)] for _ in range(40)]
+    rows = [(f"l{k:02d}", "\n".join(" ".join(rng.choices(words[k], k=2 if k == 7 else 8)) for _ in range(4))) for k in range(40) for _ in range(12)]
+    frame = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id(frame).collect()}
+    assert sum(got[i] == lang for i, (lang, _) in enumerate(rows)) >= 0.95 * len(rows)
+    assert all(len(line) < 20 for _, t in rows if _ == "l07" for line in t.split("\n"))
+    line = " ".join(f"w{chr(97 + i % 26)}{'q' * (i // 26)}" for i in range(300))
+    parts = [p for _, p in training_lines(spark.createDataFrame([(line + "\n" + "z" * 900, "a")], "text string, lang string"), "text", "lang")]
+    assert all(0 < len(p) <= STRETCH for p in parts) and sum(map(len, parts)) == len(line) + 500  # two of its three parts are equal
+    assert {w for p in parts for w in p.split() if "z" * 50 not in w} == set(line.split())
+
+
 def test_kneser_ney_sums_to_one_and_matches_a_plain_model(spark):
     texts = ["the cat sat on the mat.", "a cat and a hat", "that is the thing"] * 3 + ["cats", None, ""]
     counted = count_grams(spark.createDataFrame([(t,) for t in texts], "text string"))
