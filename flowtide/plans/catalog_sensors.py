@@ -19,6 +19,7 @@ from flowtide.plans.catalog_flows import A, P, RAW, S, _KEY, _clean, _split_stat
 from flowtide.plans.flagship import linear_scorer, replay
 from flowtide.sources import readers, writers
 from flowtide.streaming import late as stream_late
+from flowtide.streaming import serving
 from flowtide.streaming import stateful
 from flowtide.streaming import windows as stream_windows
 
@@ -347,6 +348,18 @@ def _(spark, d):
         F.count(F.lit(1)).alias("row_count"), F.sum(col("Tot Fwd Pkts")).alias("packets"), num(F.sum(col("Flow Duration")), 3).alias("duration"))
 
 
+@query("a11_append_days", f"with {RAW} select capture_date, count(*) as row_count, cast(sum(\"Tot Fwd Pkts\") as double) as packets, round(sum(\"Flow Duration\"), 3) as duration from clean group by 1")
+def _(spark, d):
+    """Half of every day's rows are loaded first; then whole days replace them, the odd ones twice."""
+    path, rows = scratch_path(spark, "days"), _clean(spark, d)
+    odd = F.expr("coalesce(day(try_cast(capture_date as date)) % 2 = 1, false)")
+    for part in (rows.where("`Tot Fwd Pkts` % 2 = 0"), rows.where(odd), rows.where(~odd), rows.where(odd)):
+        writers.append_days(part, path)
+    stored = spark.read.option("basePath", path).schema("`Tot Fwd Pkts` double, `Flow Duration` double, capture_date string").parquet(path)
+    return stored.groupBy("capture_date").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(col("Tot Fwd Pkts")).alias("packets"), num(F.sum(col("Flow Duration")), 3).alias("duration"))
+
+
 @query("a12_write_states", f"with {S} select capture_day, 'network-state-v1' as schema_version, count(*) as states, cast(sum(flow_count) as bigint) as flows from states group by 1")
 def _(spark, d):
     path = scratch_path(spark, "states")
@@ -487,3 +500,10 @@ def _(spark, d):
     """The late packets of the same arrivals: accepted and late ones together are all packets."""
     _, late = _stream_flows(spark, d)
     return late.select("event_id", "sensor_id", big("epoch").alias("epoch"), "reason")
+
+
+@query("k13_serving_table", f"""with {REQ} select sensor_id, kind, cast(arg_max(arrival, (received_at, arrival)) as bigint) as arrival, cast(max(received_at) as varchar) as received_at, cast(arg_max(k, (received_at, arrival)) as bigint) as k from req group by 1, 2""")
+def _(spark, d):
+    """The newest request of each sensor and kind; requests arrive in four rounds against the order of time, with restarts."""
+    rows = requests(spark, d).select("sensor_id", "kind", "received_at", "arrival", "k", F.expr("cast(3 - (arrival div 100) % 4 as int)").alias("round"))
+    return pick(serving.serve_arrivals(rows, "round", ["sensor_id", "kind"], ["received_at", "arrival"], 4), ["sensor_id", "kind", "received_at"], ["arrival", "k"])

@@ -33,15 +33,36 @@ def write_model_features(
     _tagged(features.withColumns(checked), provenance).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Numbers as doubles, rebalanced by day: few files for a small day, several tasks for a large one."""
+    doubles = {n: col(n).cast("double") for n, t in rows.dtypes if t in ("int", "bigint", "float", "smallint", "tinyint") and n != "source_row_number"}
+    return rows.withColumns(doubles).hint("rebalance", "capture_date")
+
+
 def write_multiday(days: Sequence[DataFrame], path: str, mode: str = "errorifexists") -> None:
     """Days of one header, numbers as doubles, one directory per capture date.
 
     Rows are spread over several files per day, so a large day is not one task.
     """
-    merged = union_days(days)
-    doubles = {n: col(n).cast("double") for n, t in merged.dtypes if t in ("int", "bigint", "float", "smallint", "tinyint") and n != "source_row_number"}
-    # Rebalanced by day: few files for a small day, several tasks for a large one.
-    merged.withColumns(doubles).hint("rebalance", "capture_date").write.mode(mode).partitionBy("capture_date").parquet(path)
+    _by_day(union_days(days)).write.mode(mode).partitionBy("capture_date").parquet(path)
+
+
+def append_days(days: DataFrame, path: str) -> None:
+    """Add the capture days of ``days`` to the table at ``path``; a day that is there already is replaced as a whole.
+
+    Loading a day twice therefore changes nothing, and other days' files are not touched.  A header or type other than the
+    stored one is refused before any job runs.  Without a table yet, this writes the first one; ``days`` without rows changes
+    nothing.  Days are replaced when the job commits, one directory after another.
+    """
+    spark, rows = days.sparkSession, _by_day(days)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        kinds = lambda df: [(n, t) for n, t in df.dtypes if n != "capture_date"]
+        stored = spark.read.parquet(path)
+        if kinds(stored) != kinds(rows):
+            odd = sorted({n for n, _ in set(kinds(stored)) ^ set(kinds(rows))})
+            raise ValueError(f"days differ from the stored table in {', '.join(odd) or 'the order of columns'}")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("capture_date").parquet(path)
 
 
 def write_states(states: DataFrame, path: str, schema_version: str = "network-state-v1", mode: str = "errorifexists") -> None:

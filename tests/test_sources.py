@@ -1,11 +1,13 @@
 """Headers of exports and logs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowtide.operators.cleaning import join_features_sidecar
 from flowtide.operators.evaluation import binary_metrics, class_report
 from flowtide.sources.readers import read_flow_csv, read_zeek_tsv
-from flowtide.sources.writers import write_clean_flow, write_model_features
+from flowtide.sources.writers import append_days, write_clean_flow, write_model_features
+from flowtide.streaming.serving import serve_latest, served
 
 
 def test_every_file_needs_the_same_header(spark, tmp_path):
@@ -49,3 +51,38 @@ def test_model_table_is_finite_and_carries_its_origin(spark, tmp_path):
     bad = spark.createDataFrame([(float("inf"), 2.0)], rows.schema)
     with pytest.raises(Exception, match="non-finite"):
         write_model_features(bad, str(tmp_path / "bad"))
+
+
+def test_a_day_loaded_again_replaces_itself_and_another_header_is_refused(spark, tmp_path):
+    path = str(tmp_path / "days")
+    day = lambda date, *packets: spark.createDataFrame([(p, "Benign", date) for p in packets], "packets int, Label string, capture_date string")
+    stored = lambda: sorted((str(r["capture_date"]), r["packets"]) for r in spark.read.parquet(path).collect())
+    append_days(day("2018-02-14", 1, 2), path)
+    append_days(day("2018-02-15", 3), path)
+    both = [("2018-02-14", 1.0), ("2018-02-14", 2.0), ("2018-02-15", 3.0)]
+    assert stored() == both
+    append_days(day("2018-02-15", 3), path)
+    append_days(day("2018-02-16").limit(0), path)
+    assert stored() == both
+    append_days(day("2018-02-14", 7).union(day("2018-02-16", 8)), path)
+    changed = [("2018-02-14", 7.0), ("2018-02-15", 3.0), ("2018-02-16", 8.0)]
+    assert stored() == changed
+    for other in (day("2018-02-17", 1).withColumn("more", F.lit(1)), day("2018-02-17", 1).drop("Label"), day("2018-02-17", 1).select("Label", "packets", "capture_date"), day("2018-02-17", 1).withColumn("packets", F.lit("x"))):
+        with pytest.raises(ValueError, match="stored table"):
+            append_days(other, path)
+    assert stored() == changed
+
+
+def test_served_rows_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    batches = [[("a", 5, 1.0), ("b", 1, 2.0), (None, 2, 0.0)], [("a", 3, 9.0), ("b", 4, 3.0)], [("a", 5, 2.0), ("c", None, 1.0)], [("b", 4, 3.0), (None, None, 5.0)]]
+    schema, want = "sensor string, at int, score double", {("a", 5, 2.0), ("b", 4, 3.0), ("c", None, 1.0), (None, 2, 0.0)}
+    for name, order in (("up", (0, 1, 2, 3)), ("down", (3, 2, 1, 0)), ("again", (1, 0, 1, 3, 2, 0))):
+        source, folder, marks = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "offsets"))
+        assert served(spark, folder, schema).count() == 0
+        for k in order:
+            spark.createDataFrame(batches[k], schema).write.mode("append").parquet(source)
+            serve_latest(spark.readStream.schema(schema).parquet(source), ["sensor"], ["at"], folder, marks).awaitTermination()
+        assert {tuple(r) for r in served(spark, folder, schema).collect()} == want and served(spark, folder, schema).count() == 4
+    # Without its offsets the stream reads everything again under epochs that are there already.
+    serve_latest(spark.readStream.schema(schema).parquet(source), ["sensor"], ["at"], folder, str(tmp_path / "new-offsets")).awaitTermination()
+    assert {tuple(r) for r in served(spark, folder, schema).collect()} == want
