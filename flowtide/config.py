@@ -69,6 +69,8 @@ PACKET_COLUMNS = [
     "timestamp", "source_ip", "destination_ip", "source_port", "destination_port",
     "protocol", "packet_length", "tcp_flags",
 ]
+# Fixed value: the mark of demo events.
+DEMO_STATUS = "DEMO / TEST DATA - NOT RESEARCH DATA"
 PACKET_OPTIONAL = ["ttl", "ip_fragment", "tcp_window", "payload_length"]
 ACTIVITY_KEYS = ["source_ip", "capture_day", "interval_start", "interval_end"]
 ACTIVITY_MEASURES = [

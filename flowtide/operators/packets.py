@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.config import MICROS, PACKET_COLUMNS
+from flowtide.config import DEMO_STATUS, FLOW_NUMERIC, MICROS, PACKET_COLUMNS
 from flowtide.functions.expressions import (
     canonical_key, col, day_text, flag_tokens, is_finite, micros, observed_key, source_is_forward,
 )
-from flowtide.functions.ordered import prefix
+from flowtide.functions.ordered import position, prefix
 from flowtide.operators.cleaning import require_columns, split_valid
 
 # Error wording to reject category, tested in this order.
@@ -138,6 +138,32 @@ def validate_demo_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return packets, rejected.select(*columns).unionByName(bad_packets.select(*columns))
 
 
+def ordered_demo_events(events: DataFrame, arrival: str) -> tuple[DataFrame, DataFrame]:
+    """(events in one stable order, rejected rows with a reason) of a table whose rows are both a flow and a packet.
+
+    Every row carries the columns of a flow and of a packet, and ``demo_status``; a missing column is an error.  A row must
+    be marked as demo data, have a valid time and lie on its ``capture_date``.  ``event_position`` counts valid events from 0
+    by time, those of one time by ``arrival``, a unique number.  All columns stay.  Positions come from counts per minute,
+    time and stretch of arrivals, so neither a table nor a moment with very many events is ordered in one task.
+    """
+    require_columns(events, ["capture_date", "Label", "Dst Port", *FLOW_NUMERIC, *PACKET_COLUMNS, "demo_status"])
+    ts, day = F.expr("try_cast(`timestamp` as timestamp_ntz)"), col("capture_date").cast("string")
+    valid, rejected = split_valid(
+        events,
+        [
+            ("not marked as demo data", ~col("demo_status").eqNullSafe(F.lit(DEMO_STATUS))),
+            ("no capture timestamp", ts.isNull()),
+            ("missing capture_date", day.isNull()),
+            ("outside capture_date", day_text(ts) != day),
+        ],
+    )
+    timed = valid.withColumn("timestamp", ts).withColumn("_us", micros(col("timestamp"))).withColumns(
+        {"_minute": F.floor(F.col("_us") / (60 * MICROS)).cast("bigint"), "_stretch": F.floor(col(arrival) / 10_000).cast("bigint")}
+    )
+    placed = position(timed, [], ["_minute", "_us", "_stretch"], [col(arrival)], "event_position")
+    return placed.drop("_us", "_minute", "_stretch"), rejected
+
+
 def order_violations(
     events: DataFrame, keys: Sequence[str], arrival: str, ts: str = "timestamp", interval_seconds: int | None = None
 ) -> DataFrame:

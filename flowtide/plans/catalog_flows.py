@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtide.config import DAY_ROLES, STATE_FEATURES, FlowPolicy
+from flowtide.config import DAY_ROLES, DEMO_STATUS, FLOW_NUMERIC, STATE_FEATURES, FlowPolicy
 from flowtide.functions.durable import cut
 from flowtide.functions.expressions import col, day_text, slot
 from flowtide.operators import activity as act
@@ -524,6 +524,24 @@ def _(spark, d):
     return valid.select(F.lit("ok").alias("reason")).unionByName(rejected.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+_DEMO_BAD = "event_id % 41 = 0 or event_id % 23 = 0"
+
+
+@query("b19_ordered_demo_events", f"""with {P}, e as (select *, date_trunc('second', "timestamp") as sec from packets) select event_id, cast(row_number() over (order by sec, event_id) - 1 as bigint) as event_position, cast(cast(sec as date) as varchar) as capture_date, cast(k + 1 as double) as forward_packets, cast(packet_length as double) as packet_length from e where not ({_DEMO_BAD})
+  union all select -1, cast(-count(*) as bigint), case when event_id % 41 = 0 then 'not marked as demo data' else 'outside capture_date' end, null, null from packets where {_DEMO_BAD} group by 3""")
+def _(spark, d):
+    """Rows that are a flow and a packet at once, whole seconds with ties; rejected ones as one row a reason, counted below zero."""
+    rows = t.raw_packets(spark, d).withColumn("timestamp", F.date_trunc("second", col("timestamp").cast("timestamp")).cast("timestamp_ntz"))
+    rows = rows.withColumns({c: F.col("k").cast("double") for c in ["Dst Port", *FLOW_NUMERIC]}).withColumns({
+        "Tot Fwd Pkts": (F.col("k") + 1).cast("double"), "Label": F.lit("Benign"),
+        "demo_status": F.when(F.expr("event_id % 41 <> 0"), F.lit(DEMO_STATUS)), "capture_date": F.when(F.expr("event_id % 23 = 0"), F.lit("1999-01-01")).otherwise(day_text(col("timestamp")))})
+    placed, rejected = pk.ordered_demo_events(rows, "event_id")
+    good = placed.select("event_id", "event_position", "capture_date", col("Tot Fwd Pkts").alias("forward_packets"), col("packet_length").cast("double").alias("packet_length"))
+    counts = rejected.groupBy("reason").agg((-F.count(F.lit(1))).alias("event_position"))
+    empty = lambda kind: F.lit(None).cast(kind)
+    return good.union(counts.select(F.lit(-1).cast("bigint"), "event_position", "reason", empty("double"), empty("double")))
+
+
 @query("b26_classify_packet_rejects", f"""with {P} select category, count(*) as row_count from (select case when event_id % 37 = 0 then 'malformed_metadata' when event_id % 31 = 0 then 'missing_ports' when event_id % 29 = 0 then 'parser_error' end as category from packets) where category is not null group by 1""")
 def _(spark, d):
     return pk.classify_packet_rejects(pk.normalize_packets(_spoiled(spark, d))[1])

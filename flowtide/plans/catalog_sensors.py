@@ -507,3 +507,15 @@ def _(spark, d):
     """The newest request of each sensor and kind; requests arrive in four rounds against the order of time, with restarts."""
     rows = requests(spark, d).select("sensor_id", "kind", "received_at", "arrival", "k", F.expr("cast(3 - (arrival div 100) % 4 as int)").alias("round"))
     return pick(serving.serve_arrivals(rows, "round", ["sensor_id", "kind"], ["received_at", "arrival"], 4), ["sensor_id", "kind", "received_at"], ["arrival", "k"])
+
+
+@query("k11_status_transitions", f"""with {REQ}, ev as (select sensor_id, epoch_us(received_at) as us, kind = 'heartbeat' as beat from req where kind <> 'heartbeat' or sensor_id not like '%4'),
+  points as (select sensor_id, us, case when beat then us end as h, case when not beat then us end as t from ev union all select sensor_id, us + case when beat then 90000001 else 30000001 end, null, null from ev),
+  latest as (select distinct sensor_id, us, max(h) over w as h, max(t) over w as t from points window w as (partition by sensor_id order by us range between unbounded preceding and current row)),
+  found as (select sensor_id, us, case when h is null or us - h > 90000000 then 'OFFLINE' when us - t <= 30000000 then 'ONLINE' else 'DEGRADED' end as status from latest),
+  changes as (select *, coalesce(lag(status) over (partition by sensor_id order by us), 'REGISTERED') as previous from found)
+  select sensor_id, cast(us as bigint) as changed_us, previous, status from changes where status <> previous""")
+def _(spark, d):
+    """Every change of status of every sensor, from a stream: silence shows by timers."""
+    rows = requests(spark, d).where("kind <> 'heartbeat' or sensor_id not like '%4'").select("sensor_id", "kind", "received_at")
+    return _streamed(spark, rows, "received_at", stateful.status_transitions)
