@@ -39,7 +39,7 @@ def cut_documents(
         for batch in batches:
             for part in _slices(batch, "text"):
                 rows: list[tuple] = []
-                for k, raw in enumerate(t.encode([x or "" for x in part.column("text").to_pylist()])):
+                for k, raw in enumerate(t.encode([x or "" for x in part.column("text").to_pylist()], rounds=True)):
                     raw = np.frombuffer(raw, np.uint32).astype("<u4").tobytes() + tail
                     total = len(raw) // 4
                     for start in range(0, total, capacity):

@@ -47,6 +47,16 @@ def test_encoding_is_the_public_one(spark, name):
     assert encode_documents(docs.limit(0), vocabulary(name)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_merged_side_by_side_are_the_public_ones(name, monkeypatch):
+    public, own = Public.from_file(public_tokenizers.path(name)), vocabulary(name)()
+    monkeypatch.setattr(own, "_known", {})
+    monkeypatch.setattr(own.trie, "encode", None)  # no word walks the trie
+    rows = texts()
+    assert [np.frombuffer(ids, np.uint32).tolist() for ids in own.encode(rows, rounds=True)] == [public.encode(t, add_special_tokens=False).ids for t in rows]
+    assert list(own.encode([], rounds=True)) == [] and list(own.encode(["", " "], rounds=True))[0] == b""
+
+
 def test_prefix_states_agree_with_merging():
     t = tokenizer(public_tokenizers.path("byte_bpe_50k.json")).trie
     words = {"".join(random.choices("abcdehilnorst", k=random.randint(1, 14))) for _ in range(3000)} | {"a" * n for n in range(1, 40)}
