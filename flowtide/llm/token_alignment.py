@@ -9,17 +9,20 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.functions.durable import scratch_path
-from flowtide.llm.bpe import _LOOSE_SPACE, Tokenizer, _slices
+from flowtide.functions.durable import rows_a_batch, scratch_path
+from flowtide.llm.bpe import _LOOSE_SPACE, Tokenizer
 from flowtide.llm.piece_bpe import SPACE, Merges, PieceModel
 
 #: Bytes of text whose links are counted together before they are shuffled; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Rows that tasks get at a time; blocks are gathered from them.
+BATCH_ROWS = 256
 #: Distinct stretches that are encoded and aligned together.
 GROUP_UNITS = 20_000
 
@@ -137,6 +140,23 @@ def _pack(columns: list[pa.Array]) -> bytes:
     return out.getvalue().to_pybytes()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of all batches in blocks whose texts hold about ``most`` bytes together; a larger text comes alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        sizes = pc.coalesce(pc.binary_length(batch.column("text")), 0).to_pylist()
+        at = 0
+        for i, n in enumerate(sizes):
+            if total and total + n > most:
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, total, at = [], 0, i
+            total += n
+        held.append(batch.slice(at))
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def _block(aligner: Aligner, texts: list[str | None], digest: bool) -> list:
     """One block's documents, each as the indexes of its units; each unit's links as indexes of the block's distinct pairs."""
     index: dict[str, int] = {}
@@ -213,15 +233,15 @@ def align_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(load_a(), load_b(), links)
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in _slices(batch, "text", block_bytes):
-                columns = [pa.array(c, pa.string()) if isinstance(c, list) else pa.array(c) for c in _block(aligner, part.column("text").to_pylist(), digest)]
-                ids, pairs, pair_n = _one_row([part.column("id"), *columns[-2:]])
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([_pack(columns[:-2])], pa.binary()), pairs, pair_n], names=["block", "ids", "payload", "pairs", "pair_n"])
-                number += 1
+        for part in _gathered(batches, block_bytes):
+            columns = [pa.array(c, pa.string()) if isinstance(c, list) else pa.array(c) for c in _block(aligner, part.column("text").to_pylist(), digest)]
+            ids, pairs, pair_n = _one_row([part.column("id").combine_chunks(), *columns[-2:]])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([_pack(columns[:-2])], pa.binary()), pairs, pair_n], names=["block", "ids", "payload", "pairs", "pair_n"])
+            number += 1
 
     path = scratch_path(spark, "aligned")
-    rows.mapInArrow(run, f"block bigint, ids array<{kind}>, payload binary, pairs array<bigint>, pair_n array<bigint>").write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+    with rows_a_batch(spark, BATCH_ROWS):
+        rows.mapInArrow(run, f"block bigint, ids array<{kind}>, payload binary, pairs array<bigint>, pair_n array<bigint>").write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     blocks = spark.read.parquet(path)
     counts = blocks.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_n").alias("n"))
     of_b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")

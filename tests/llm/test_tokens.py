@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -13,7 +14,8 @@ from tokenizers import Tokenizer
 from flowtide.llm import queries
 from flowtide.llm.bpe import _byte_alphabet, vocabulary
 from flowtide.llm.piece_bpe import decode_pieces, encode_pieces, piece_model
-from flowtide.llm.token_alignment import align_tokens
+from flowtide.functions.durable import rows_a_batch
+from flowtide.llm.token_alignment import _gathered, align_tokens
 
 POOL = "aAbBzZ'sdtm  \t\n\r\x0b\x1c\x85\xa0　İΣσßÉé漢字🎉👩‍👧0123½²|<>endoftext​한가!?.,;:#$%&*\x00▁ "
 SCHEMA = "doc_id bigint, text string, lang string, source string, id string, ids string"
@@ -128,6 +130,28 @@ def test_alignment_is_the_plain_one(spark, links):
     assert align_tokens(docs.limit(0), vocabulary("byte_bpe_50k.json"), piece_model(NAME)).count() == 0
 
 
+def test_blocks_are_gathered_from_small_batches(spark):
+    lists = [["aaa", None, "é"], [], ["x" * 20, "yy", "zz"], ["q"] * 9, [None, None]]
+    batches, at = [], 0
+    for t in lists:
+        batches.append(pa.RecordBatch.from_arrays([pa.array(range(at, at + len(t)), pa.int64()), pa.array(t, pa.string())], names=["id", "text"]))
+        at += len(t)
+    for most in (1, 4, 5, 10, 100):
+        blocks = [b.to_pydict() for b in _gathered(iter(batches), most)]
+        assert [t for b in blocks for t in b["text"]] == [t for x in lists for t in x] and [i for b in blocks for i in b["id"]] == list(range(at))
+        assert all(sum(len((t or "").encode()) for t in b["text"]) <= most or sum(bool(t) for t in b["text"]) == 1 for b in blocks)
+    assert [b.num_rows for b in _gathered(iter(batches), 100)] == [at] and list(_gathered(iter([]), 5)) == []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with rows_a_batch(spark, 16):
+        assert max(r["n"] for r in spark.range(0, 500, 1, 2).mapInArrow(sizes, "n bigint").collect()) == 16
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_alignment_query(spark, tmp_path):
     rows = [*enumerate(texts()[-80:]), (901, texts()[-1]), (901, texts()[-1])]
     frame(spark, [*rows, (7777, None)]).write.parquet(f"{tmp_path}/documents.parquet")
