@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Runs jobs: each round is checkpointed.  Nodes without an edge do not appear; self loops and repeated edges are
     harmless; edges with a null end are ignored; an empty edge list gives an empty result.  A hub of any degree costs one
-    partial minimum and one join, never a list of its neighbours.
+    partial minimum and one join, never a list of its neighbours.  Joins stay merges of what is shuffled anyway: turned into
+    broadcasts round after round, small tables would pile up in the driver.
     """
     edges = cut(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.col("u").isNotNull().alias("a"), F.col("v").isNotNull().alias("b"))
@@ -28,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(down.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = _state(edges)
         if after == state:

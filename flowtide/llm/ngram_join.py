@@ -116,8 +116,8 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(build, "id bigint, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that really link.  Sets in no pair are left behind before anything is shuffled, if pairs are few."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, few: bool) -> DataFrame:
+    """The pairs ``(a, b)`` that really link.  Sets in no pair are left behind before anything is shuffled, if pairs are ``few``."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +131,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (sets.select(F.col("id").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    if pairs.count() <= BROADCAST_IDS:
+    if few:
         left, pairs = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"), F.broadcast(pairs)
-    return right.join(pairs, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint")
+    return right.join(pairs, "b").join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint")
 
 
 def _sizes_allow(percent: int) -> str:
@@ -166,36 +166,39 @@ def _leader_pairs(rows: DataFrame, members: DataFrame, percent: int, last: bool)
     order = F.struct(-F.col("own"), F.col("rep") if last else -F.col("rep"))
     lead = rows.groupBy("h").agg(F.max_by(F.struct(*_COLUMNS), order).alias("l")).select("h", *[F.col(f"l.{c}").alias(f"{c}_a") for c in _COLUMNS])
     side = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in _COLUMNS])
-    met = side.join(lead, "h").where("part_a <> part_b or many_b and g_a = g_b")
-    met = met.where(_sizes_allow(percent)).where(_positions_allow(percent)).select("rep_a", F.col("g_b").alias("g"), F.col("part_b").alias("part")).distinct()
-    pairs = met.join(members, ["g", "part"]).where("rep_a <> id")
+    met = side.join(lead.hint("merge"), "h").where("part_a <> part_b or many_b and g_a = g_b")
+    met = cut(met.where(_sizes_allow(percent)).where(_positions_allow(percent)).select("rep_a", F.col("g_b").alias("g"), F.col("part_b").alias("part")).distinct())
+    pairs = met.join(members.hint("merge"), ["g", "part"]).where("rep_a <> id")
     return pairs.select(F.least("rep_a", "id").alias("a"), F.greatest("rep_a", "id").alias("b")).distinct()
 
 
-def _remaining_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of documents of different components: exact, and empty for a list whose members are linked.
+def _remaining_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
+    """Candidate pairs of documents of different components: exact, and none for a list whose members are linked.  None: no list is left.
 
     Parts (the members of a group in one component) outside a list's largest component meet the parts of all other
     components; pairs of parts are filtered by sizes, positions and number of shared shingles, then expanded to members.
     """
     sizes = rows.groupBy("h", "part").count()
     lists = sizes.groupBy("h").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("members")).where("parts > 1")
-    rows = rows.join(lists.select("h", F.col("m.part").alias("major"), (F.col("members") > LONG_LIST).alias("long")), "h")
+    rows = cut(rows.join(lists.select("h", F.col("m.part").alias("major"), (F.col("members") > LONG_LIST).alias("long")).hint("merge"), "h"))
+    if rows.isEmpty():
+        return None
     # Two parts of one long list mostly share many; each brings the long lists of its group along, and a pair comes out of
     # the first of them with their number.
     long = rows.where("long")
     own_lists = long.groupBy("g").agg(F.sort_array(F.collect_set(F.struct("pos", "h")))["h"].alias("lists"))
     common = F.array_intersect("lists_a", "lists_b")
     met = _across(rows.where("not long"), _COLUMNS, percent).select("*", F.lit(1).alias("shared")).unionByName(
-        _across(long.join(own_lists, "g"), (*_COLUMNS, "lists"), percent).where(F.get(common, F.lit(0)) == F.col("h")).withColumn("shared", F.size(common)).drop("lists_a", "lists_b")
+        _across(long.join(own_lists.hint("merge"), "g"), (*_COLUMNS, "lists"), percent).where(F.get(common, F.lit(0)) == F.col("h")).withColumn("shared", F.size(common)).drop("lists_a", "lists_b")
     )
     keys = ("g_a", "part_a", "g_b", "part_b")
     turned = F.col("part_a") > F.col("part_b")
     met = met.withColumns({k: F.when(turned, F.col(other)).otherwise(F.col(k)) for k, other in zip(keys, keys[2:] + keys[:2], strict=True)})
     pairs = met.groupBy(*keys, F.least("n_a", "n_b").alias("n")).agg(F.sum("shared").alias("shared"), F.bool_or(F.expr(_positions_allow(percent))).alias("may"))
-    pairs = pairs.where(f"may and shared >= {_least_sql('n', percent)}").select(*keys)
+    # Of all pairs of parts few stay; cut, the two steps are two small plans, not one that the driver plans again at each stage.
+    pairs = cut(pairs.where(f"may and shared >= {_least_sql('n', percent)}").select(*keys))
     for k in ("a", "b"):
-        pairs = pairs.join(members.select(*[F.col(c).alias(f"{c}_{k}") for c in ("g", "part", "id")]), [f"g_{k}", f"part_{k}"])
+        pairs = pairs.join(members.select(*[F.col(c).alias(f"{c}_{k}") for c in ("g", "part", "id")]).hint("merge"), [f"g_{k}", f"part_{k}"])
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -203,7 +206,7 @@ def _across(rows: DataFrame, columns: tuple[str, ...], percent: int) -> DataFram
     """Parts outside a list's largest component beside the parts of every other component, sizes permitting."""
     minor = rows.where("part <> major").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
     others = rows.select("h", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
-    return minor.join(others, "h").where("part_a <> part_b and (part_b = major or part_a < part_b)").where(_sizes_allow(percent))
+    return minor.join(others.hint("merge"), "h").where("part_a <> part_b and (part_b = major or part_a < part_b)").where(_sizes_allow(percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -217,7 +220,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one class, classes with equal prefix and size one group; a group whose prefix meets too few others links with none and is
     left out, unless it has several classes; pairs of groups sharing a prefix shingle are filtered by sizes and positions, then
     expanded to their classes and verified on whole sets.  Pairs already connected are never compared: each list
-    is first compared with a leader, then only across the components that remain.
+    is first compared with a leader, then only across the components that remain.  The driver plans small steps: their joins
+    are hinted as merges, so that it need not collect and keep a small table for each of them.
 
     Null or empty text: 0 shingles, own component.  Null id: 0 or more shingles, null component, no links.  Rows with the
     same id are one node, linked when any of their texts links.  Extra columns are ignored.  An empty table gives an empty result.
@@ -240,13 +244,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Lists of the groups by shingle.
     postings = prefixes.select(group, "n", "several", F.posexplode("prefix").alias("pos", "h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("k"), F.bool_or("several").alias("several")).where("k > 1 or several").select("h")
-    met = postings.select("h", "g", "n", "pos").join(shared, "h").groupBy("g", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("met"))
+    met = postings.select("h", "g", "n", "pos").join(shared.hint("merge"), "h").groupBy("g", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("met"))
     # A link of a document of size n is with one of size percent * n / 100 at least.
     smaller = f"(({percent} * n + 99) div 100)"
     met = cut(met.where(f"size(met) >= {_least_sql(smaller, percent)}"))
     rows = met.select("g", "n", F.posexplode("met").alias("i", "m")).select("g", "n", (F.col("m.pos") - F.col("i")).alias("own"), "m.pos", "m.h")
 
-    members = cut(classes.select(group, "id").join(met.select("g"), "g").distinct())
+    members = cut(classes.select(group, "id").join(met.select("g").hint("merge"), "g").distinct())
     active = members.select("id").distinct()
     few = members.count() <= BROADCAST_IDS
     sets = _sets(texts.join(F.broadcast(active) if few else active, "id", "left_semi"), width)
@@ -256,27 +260,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parted, labels, tried = members.withColumn("part", F.col("g")), active.select("id", F.col("id").alias("comp")), None
     for step in ("first", "last", "rest"):
         parts = parted.groupBy("g", "part").agg(F.min("id").alias("rep"), (F.lit(step == "first") & (F.count("*") > 1)).alias("many"))
-        placed = rows.join(parts, "g")
+        placed = rows.join(parts.hint("merge"), "g")
         pairs = _remaining_pairs(placed, parted, percent) if step == "rest" else _leader_pairs(placed, parted, percent, step == "last")
+        if pairs is None:
+            break
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = cut(_verified(pairs, sets, percent))
-        if not found.isEmpty():
+        n_pairs, linking = pairs.count(), False
+        if n_pairs:
+            tried = pairs if tried is None else tried.union(pairs)
+            found = cut(_verified(pairs, sets, percent, n_pairs <= BROADCAST_IDS))
+            linking = not found.isEmpty()
+        if linking:
             # Links join components: the smallest id of what they connect names all of it.
             ends = [labels.select(F.col("id").alias(k), F.col("comp").alias(c)) for k, c in (("a", "u"), ("b", "v"))]
-            linked = components(found.join(ends[0], "a").join(ends[1], "b").select("u", "v"))
-            joined = labels.join(linked, labels["comp"] == linked["node"], "left")
+            linked = components(found.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("u", "v"))
+            joined = labels.join(linked.hint("merge"), labels["comp"] == linked["node"], "left")
             labels = cut(joined.select("id", F.coalesce("component", "comp").alias("comp")))
-        if step != "rest":
-            parted = members.join(labels.withColumnRenamed("comp", "part"), "id")
+        if step == "first" or step == "last" and linking:
+            parted = cut(members.join(labels.withColumnRenamed("comp", "part").hint("merge"), "id"))
 
-    named = classes.select("n", "k1", "k2", F.col("id").alias("class")).join(labels.withColumnRenamed("id", "class"), "class", "left")
+    named = classes.select("n", "k1", "k2", F.col("id").alias("class")).join(labels.withColumnRenamed("id", "class").hint("merge"), "class", "left")
     named = named.select("n", "k1", "k2", F.coalesce("comp", "class").alias("comp"))
     alone = signed.where("id is null or n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return (
-        usable.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"])
+        usable.select("id", "n", "k1", "k2").join(named.hint("merge"), ["n", "k1", "k2"])
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
         .union(alone)
     )

@@ -1,11 +1,14 @@
 """Links, components, languages, perplexities and conversations against plain single-threaded versions."""
 
+import contextlib
+import io
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowtide.llm import ngram_join
 from flowtide.llm.components import components
 from flowtide.llm.embedding_dedup import embedding_near_duplicates, tile_links
 from flowtide.llm.hashing import shingle_set, word_hashes
@@ -103,6 +106,25 @@ def test_similarity_join_finds_insertions_and_containment(spark, width, percent,
         assert len(set(got)) == (1 if added <= most else 2)
 
 
+def test_similarity_join_plans_small_steps(spark, monkeypatch):
+    plans, cut = [], ngram_join.cut
+
+    def noted(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        plans.append(out.getvalue())
+        return cut(df)
+
+    monkeypatch.setattr(ngram_join, "cut", noted)
+    base = [f"w{i}" for i in range(60)]
+    near = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(40)]
+    docs = spark.createDataFrame([*near, (100, "alone in here"), (101, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(docs).collect()}
+    want = roots(dict(near), [(a, b) for a, x in near for b, y in near if a < b and (s := shingles(x, 5)) and 100 * len(s & (t := shingles(y, 5))) >= 80 * len(s | t)])
+    assert got == want | {100: 100, 101: 101}
+    assert max(p.count("Exchange") for p in plans) <= 16, sorted(p.count("Exchange") for p in plans)
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     import flowtide.llm.hashing as h
 
