@@ -15,13 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtide.functions.workers import handing_back
 from flowtide.llm.bpe import _id_lists, _slices
 
 #: Units that a worker remembers, and characters in them; beyond either only the units of the texts at hand stay.
 REMEMBERED_UNITS = 200_000
 REMEMBERED_CHARS = 4_000_000
 #: Characters whose units are merged together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 #: Rounds after which what still merges one pair at a time (long runs of tied pairs) is finished from a heap.
 ROUNDS = 256
 #: The visible space of piece models, and the types of pieces in their files.
@@ -77,8 +78,13 @@ class Merges:
     """Merges of pairs of symbol codes by rank; ``made`` lists (left << 21 | right, rank, merged code)."""
 
     def __init__(self, made: list[tuple[int, int, int]]) -> None:
-        self._pairs = PairTable(*(np.array(x, kind) for x, kind in zip(zip(*made, strict=True), (np.int64, np.int32, np.int32), strict=True)))
-        self._ranked = {key: (rank, merged) for key, rank, merged in made}
+        self._made = self.columns(made)
+        self._pairs = PairTable(*self._made)
+        self._ranked: dict[int, tuple[int, int]] = {}
+
+    @staticmethod
+    def columns(made: list[tuple[int, int, int]]) -> list[np.ndarray]:
+        return [np.array(x, kind) for x, kind in zip(zip(*made, strict=True), (np.int64, np.int32, np.int32), strict=True)]
 
     def run(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The merged codes of all units, given as consecutive stretches of symbols, and how many each has.
@@ -162,6 +168,8 @@ class Merges:
 
     def finish(self, codes: list[int]) -> list[int]:
         """Merge one pair after another: lowest rank first, leftmost on ties."""
+        if not self._ranked:  # few texts need it
+            self._ranked = {key: (rank, merged) for key, rank, merged in zip(*(c.tolist() for c in self._made), strict=True)}
         pair, n = self._ranked.get, len(codes)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         heap = [(p[0], i, codes[i], codes[i + 1]) for i in range(n - 1) if (p := pair(codes[i] << _CODE_BITS | codes[i + 1]))]
@@ -336,7 +344,7 @@ def piece_model(name: str = "piece_bpe_32k.model", path: str | None = None) -> C
     return load
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows whose binary or list column holds about ``most`` bytes together; a larger row comes alone."""
     values = batch.column(column)
     sizes = pc.binary_length(values) if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else pc.multiply(pc.list_value_length(values), 4)
@@ -368,7 +376,7 @@ def encode_pieces(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids {'binary' if packed else 'array<int>'}").select(F.col("id").alias(id_col), "ids")
+    return rows.mapInArrow(handing_back(run), f"id {kind}, ids {'binary' if packed else 'array<int>'}").select(F.col("id").alias(id_col), "ids")
 
 
 def decode_pieces(encoded: DataFrame, load: Callable[[], PieceModel], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -390,4 +398,4 @@ def decode_pieces(encoded: DataFrame, load: Callable[[], PieceModel], id_col: st
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("binary" if packed else "array<int>").alias("ids"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"id {kinds['id']}, ids {kinds['ids']}, text string").select(F.col("id").alias(id_col), "ids", "text")
+    return rows.mapInArrow(handing_back(run), f"id {kinds['id']}, ids {kinds['ids']}, text string").select(F.col("id").alias(id_col), "ids", "text")
