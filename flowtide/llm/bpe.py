@@ -8,6 +8,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtide.functions.workers import handing_back
+
+if TYPE_CHECKING:
+    from flowtide.llm.piece_bpe import Merges
+
 #: Words, and pairs of tokens, that a worker remembers; beyond it only the words of the texts at hand stay.
 REMEMBERED_WORDS = 300_000
 REMEMBERED_PAIRS = 300_000
 #: Characters of text whose words are encoded together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
+#: Symbols of words that walk the trie depth by depth; longer ones walk it one by one.
+WALKED_SYMBOLS = 48
+#: Pairs of tokens, a power of two, whose stability the walk by depth remembers.
+REMEMBERED_SLOTS = 1 << 19
 #: First stand-in for "byte at the end of a word", in a private-use area that byte alphabets do not reach.
 _FINAL = 0xE000
 _NEVER = 1 << 60
@@ -43,7 +53,8 @@ class Trie:
     The encoding of a prefix is the encoding of a shorter prefix and one last token, the only token there whose pair with
     the token before it is stable (merging the two anew gives the same two).  So one last token a trie node describes the
     encodings of all words.  ``encode`` walks the trie of the given words depth first, in sorted order, keeping the states
-    of the current path only: what two neighbours share is computed once, and the trie is never held whole.
+    of the current path only: what two neighbours share is computed once, and the trie is never held whole.  ``walk`` takes
+    sorted words of bounded length and walks all nodes of one depth together.
     """
 
     def __init__(self, ids: dict[str, int], merges: dict[tuple[str, str], int]) -> None:
@@ -60,6 +71,7 @@ class Trie:
         self._own: dict[str, bool] = {}
         self._spines: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self._stable: dict[tuple[str, str], bool] = {}
+        self._walker: _Walker | None = None
 
     def merged(self, word: str) -> list[str]:
         """The encoding by definition: the leftmost pair of lowest rank is merged until none is left."""
@@ -145,6 +157,172 @@ class Trie:
             previous = word
             yield word, done[-1]
 
+    def walk(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, given in an order that keeps equal prefixes together, and how many each has.
+
+        ``symbols``, the words one after another, are ids of tokens of one symbol; each word has one symbol at least.
+        """
+        return self.walker().walk(symbols, lengths)
+
+    def walker(self) -> _Walker:
+        if self._walker is None:
+            self._walker = _Walker(self)
+        return self._walker
+
+
+class _Walker:
+    """Walks the trie of many words depth by depth, in flat arrays.
+
+    A node keeps its last token, the node before that token and how many tokens lead to it.
+    """
+
+    def __init__(self, trie: Trie) -> None:
+        from flowtide.llm.piece_bpe import Merges, PairTable
+
+        self._whole, ids = trie._whole, {t: int.from_bytes(c, sys.byteorder) for t, c in trie.codes.items()}
+        count = max(ids.values()) + 1
+        self._token = {i: t for t, i in ids.items()}
+        self._own = np.full(count, -1, np.int8)  # whether a token is its own encoding, -1 unknown
+        # Prefixes of tokens: those of one symbol are numbered like their ids.
+        states: dict[str, int] = {}
+        steps: list[tuple[int, int]] = []
+        of_state: list[int] = []
+        for token, i in ids.items():
+            if len(token) == 1:
+                states[token] = i
+        free = count
+        for token, i in ids.items():
+            for end in range(2, len(token) + 1):
+                part = token[:end]
+                if part not in states:
+                    if part[:-1] not in states or part[-1] not in states or states[part[-1]] >= count:
+                        break
+                    steps.append((states[part[:-1]] << 21 | states[part[-1]], free))
+                    states[part] = free
+                    free += 1
+        self._of_state = np.full(free, -1, np.int32)
+        for token, i in ids.items():
+            if token in states:
+                self._of_state[states[token]] = i
+        keys, codes = (np.array(x, kind) for x, kind in zip(zip(*steps, strict=True), (np.int64, np.int32), strict=True)) if steps else (np.empty(0, np.int64), np.empty(0, np.int32))
+        self._steps = PairTable(keys, np.zeros(len(keys), np.int32), codes)
+        self._merges = PairTable(*Merges.columns([(ids[a] << 21 | ids[b], rank, ids[a + b]) for (a, b), rank in trie.merges.items()]))
+        # How each token is made: its halves and the rank that joins them, -1 for a single symbol.
+        self._half, self._rank = np.zeros((2, count), np.int32), np.full(count, -1, np.int32)
+        for (a, b), rank in sorted(trie.merges.items(), key=lambda m: -m[1]):
+            i = ids[a + b]
+            self._half[0, i], self._half[1, i], self._rank[i] = ids[a], ids[b], rank
+        made = np.flatnonzero(self._rank >= 0)
+        #: Whether every token is made after its halves, which walking back from it needs.
+        self.ordered = bool((self._rank[self._half[:, made]] < self._rank[made]).all())
+        self._slot_keys, self._slot_fits = np.full(REMEMBERED_SLOTS, -1, np.int64), np.zeros(REMEMBERED_SLOTS, bool)
+
+    def walk(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = len(lengths)
+        if not count:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        deepest, ends = int(lengths.max()), np.cumsum(lengths)
+        starts = ends - lengths
+        # Symbols in rows of words; how many of its first symbols a word shares with the word before it.
+        inside = np.arange(deepest) < lengths[:, None]
+        rows = np.full((count, deepest), -1, np.int32)
+        rows[inside] = symbols
+        shared = np.zeros(count, np.int64)
+        shared[1:] = np.minimum(np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1), np.minimum(lengths[1:], lengths[:-1]))
+        # Nodes: the root, then all of depth 1, all of depth 2 and so on.
+        fresh = inside & (np.arange(deepest) >= shared[:, None])
+        of_depth = fresh.sum(axis=0)
+        first = 1 + np.cumsum(of_depth) - of_depth
+        node = np.zeros((count, deepest + 1), np.int32)
+        node[:, 1:] = np.cumsum(fresh, axis=0) - 1 + first
+        # Tokens that end at a node: grow from every start, drop what is no prefix of a token.
+        word, at = np.nonzero(inside)
+        state, length = rows[inside].astype(np.int32), 1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            token = self._of_state[state]
+            good = np.flatnonzero((token >= 0) & (at + length > shared[word]))
+            found.append((node[word[good], at[good] + length], node[word[good], at[good]], token[good]))
+            goes = np.flatnonzero(at + length < lengths[word])
+            word, at, state = word[goes], at[goes], state[goes]
+            there, state = self._steps.get(state, rows[word, at + length])
+            goes = np.flatnonzero(there == 0)
+            word, at, state, length = word[goes], at[goes], state[goes], length + 1
+        # By node, the longest token first.
+        end, begin, token = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        end, begin, token = end[order], begin[order], token[order]
+        total = int(first[-1] + of_depth[-1])
+        from_ = np.searchsorted(end, np.arange(total + 1))
+        last, before, size = np.full(total, -1, np.int32), np.zeros(total, np.int32), np.zeros(total, np.int32)
+        for depth in range(deepest):
+            nodes = np.arange(first[depth], first[depth] + of_depth[depth])
+            tried = from_[nodes]
+            while len(nodes):
+                if (tried == from_[nodes + 1]).any():
+                    raise ValueError("no token ends a word's first symbols")
+                left = last[begin[tried]]
+                fits = self._fits(left, token[tried])
+                here, taken = nodes[fits], tried[fits]
+                last[here], before[here], size[here] = token[taken], begin[taken], size[begin[taken]] + 1
+                nodes, tried = nodes[~fits], tried[~fits] + 1
+        # Back from each word's end.
+        now = node[np.arange(count), lengths]
+        sizes = size[now].astype(np.int64)
+        put = np.cumsum(sizes) - 1
+        out = np.empty(int(sizes.sum()), np.int32)
+        while len(now):
+            out[put] = last[now]
+            now, put = before[now], put - 1
+            goes = now > 0
+            now, put = now[goes], put[goes]
+        return out, sizes
+
+    def _fits(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token, its own encoding, is stable behind the one on its left (-1: none)."""
+        own = self._own[token]
+        for i in np.unique(token[own < 0]).tolist():
+            self._own[i] = self._whole(self._token[i])
+        fits = self._own[token] == 1
+        asked = np.flatnonzero(fits & (left >= 0))
+        keys = left[asked].astype(np.int64) << 21 | token[asked]
+        slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (REMEMBERED_SLOTS - 1)
+        known = self._slot_keys[slots] == keys
+        fits[asked] = self._slot_fits[slots]
+        new = np.flatnonzero(~known)
+        if len(new):
+            apart = self._apart(left[asked[new]], token[asked[new]])
+            fits[asked[new]] = apart
+            # Of several pairs for one slot the last stays, key and answer alike.
+            self._slot_keys[slots[new]] = keys[new]
+            mine = self._slot_keys[slots[new]] == keys[new]
+            self._slot_fits[slots[new][mine]] = apart[mine]
+        return fits
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As ``Trie._apart``, from the other end: the last of all steps on either side is undone first.
+
+        The two sides are met in the states that they pass through while they are built up; the pair's rank in each must
+        not be lower than what either side does next.
+        """
+        apart = np.ones(len(left), bool)
+        never = np.int64(_NEVER)
+        at, x, y = np.arange(len(left)), left.copy(), right.copy()
+        next_x, next_y = np.full(len(left), never), np.full(len(left), never)
+        while len(at):
+            cross = self._merges.get(x, y)[0].astype(np.int64)
+            cross[cross == 0x7FFFFFFF] = never
+            crossed = (cross < next_x) & (cross <= next_y) & (cross < never)
+            apart[at[crossed]] = False
+            rank_x, rank_y = self._rank[x].astype(np.int64), self._rank[y].astype(np.int64)
+            goes = ~crossed & ((rank_x >= 0) | (rank_y >= 0))
+            at, x, y, next_x, next_y, rank_x, rank_y = (v[goes] for v in (at, x, y, next_x, next_y, rank_x, rank_y))
+            # Of two steps of one rank the left one comes first, so the right one is undone first.
+            undo = rank_x > rank_y
+            next_x, next_y = np.where(undo, rank_x, next_x), np.where(undo, next_y, rank_y)
+            x, y = np.where(undo, self._half[1][x], x), np.where(undo, y, self._half[0][y])
+        return apart
+
 
 class Tokenizer:
     """Encoder and decoder of one public vocabulary file in the tokenizers library's JSON format (model type BPE)."""
@@ -187,7 +365,8 @@ class Tokenizer:
         #: Whether the pattern drops white space, so that words never depend on what lies beyond it.
         self._dropped = split is not None and not regex.search(split, " ")
         self._known: dict[str, bytes] = {}
-        self._side_by_side: tuple | None = None
+        self._side_by_side: Merges | None = None
+        self._symbol_ids: tuple[np.ndarray, np.ndarray] | None = None
 
     def _units(self, text: str) -> list[str]:
         """Stretches of a text that are split into words by themselves: shorter than the text, longer than words.
@@ -234,15 +413,36 @@ class Tokenizer:
             from flowtide.llm.piece_bpe import Merges
 
             ids = {t: int.from_bytes(c, sys.byteorder) for t, c in self.trie.codes.items()}
-            inner, final = (np.array([ids[c] for c in row], np.int32) for row in (self.alphabet, self._final.values() if self.suffix else self.alphabet))
-            self._side_by_side = Merges([(ids[a] << 21 | ids[b], rank, ids[a + b]) for (a, b), rank in self.trie.merges.items()]), inner, final
-        merges, inner, final = self._side_by_side
+            self._side_by_side = Merges([(ids[a] << 21 | ids[b], rank, ids[a + b]) for (a, b), rank in self.trie.merges.items()])
+        return self._each(words, *self._side_by_side.run(*self._flat([w.encode("utf-8", "surrogatepass") for w in words])))
+
+    def _walked(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word with its ids: all words walk the trie together, long ones one by one."""
+        words = sorted(words)  # as by their bytes, so words that share their first symbols stand together
         spelled = [w.encode("utf-8", "surrogatepass") for w in words]
+        most = WALKED_SYMBOLS if self.trie.walker().ordered else 0
+        if max(map(len, spelled), default=0) > most:
+            back = {self._symbols(w): w for w, b in zip(words, spelled, strict=True) if len(b) > most}
+            for symbols, ids in self.trie.encode(back):
+                yield back[symbols], ids
+            words = [w for w, b in zip(words, spelled, strict=True) if len(b) <= most]
+            spelled = [b for b in spelled if len(b) <= most]
+        yield from self._each(words, *self.trie.walk(*self._flat(spelled)))
+
+    def _flat(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all symbols of the words, one word after another, and how many each has."""
+        if self._symbol_ids is None:
+            codes = self.trie.codes
+            self._symbol_ids = tuple(np.array([int.from_bytes(codes[c], sys.byteorder) for c in row], np.int32) for row in (self.alphabet, self._final.values() if self.suffix else self.alphabet))
+        inner, final = self._symbol_ids
         lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         data = np.frombuffer(b"".join(spelled), np.uint8)
         symbols, last = inner[data], np.cumsum(lengths) - 1
         symbols[last] = final[data[last]]
-        codes, sizes = merges.run(symbols, lengths)
+        return symbols, lengths
+
+    @staticmethod
+    def _each(words: list[str], codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[str, bytes]]:
         raw, ends = codes.astype(np.uint32).tobytes(), np.cumsum(4 * sizes).tolist()
         yield from zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True)
 
@@ -262,12 +462,7 @@ class Tokenizer:
             parts = [unit[:-1], unit[-1]] if bare[:-1].isalpha() and bare[-1] in ".,;:!?" else words(unit)
             compound.append((unit, parts))
             fresh.update([w for w in parts if w not in known])
-        if rounds:
-            known.update(self._merged(list(fresh)))
-        else:
-            back = {self._symbols(w): w for w in fresh}
-            for symbols, ids in self.trie.encode(back):
-                known[back[symbols]] = ids
+        known.update((self._merged if rounds else self._walked)(list(fresh)))
         for unit, parts in compound:
             if unit not in known:
                 known[unit] = b"".join([known[w] for w in parts])
@@ -329,7 +524,7 @@ def _id_lists(ids: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows whose column holds about ``most`` bytes together; a larger row comes alone."""
     sizes = np.array([0 if not v.is_valid else v.as_buffer().size if pa.types.is_large_string(v.type) or pa.types.is_string(v.type) else 4 * len(v) for v in batch.column(column)])
     at, total = 0, 0
@@ -358,7 +553,7 @@ def encode_documents(docs: DataFrame, load: Callable[[], Tokenizer], id_col: str
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    return rows.mapInArrow(handing_back(run), f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
 def decode_documents(encoded: DataFrame, load: Callable[[], Tokenizer], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -376,4 +571,4 @@ def decode_documents(encoded: DataFrame, load: Callable[[], Tokenizer], id_col:
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, text string").select(F.col("id").alias(id_col), "ids", "text")
+    return rows.mapInArrow(handing_back(run), f"id {kind}, ids array<int>, text string").select(F.col("id").alias(id_col), "ids", "text")

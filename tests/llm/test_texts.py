@@ -57,6 +57,26 @@ def test_words_merged_side_by_side_are_the_public_ones(name, monkeypatch):
     assert list(own.encode([], rounds=True)) == [] and list(own.encode(["", " "], rounds=True))[0] == b""
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_walk_the_trie_together(name, monkeypatch):
+    public, own, rng = Public.from_file(public_tokenizers.path(name)), vocabulary(name)(), random.Random(8)
+    walk, walked = own.trie.walk, []
+    monkeypatch.setattr(own, "_known", {})
+    monkeypatch.setattr(own.trie, "walk", lambda symbols, lengths: walked.append(lengths) or walk(symbols, lengths), raising=False)
+    rows = [*texts(), *(" ".join("".join(rng.choices("abcdehilnorst'éß", k=rng.randint(1, 60))) for _ in range(400)) for _ in range(5)), " ".join("a" * n for n in range(1, 99))]
+    assert [np.frombuffer(ids, np.uint32).tolist() for ids in own.encode(rows)] == [public.encode(t, add_special_tokens=False).ids for t in rows]
+    assert sum(map(len, walked)) > 1000 and max(n.max() for n in walked if len(n)) <= 48
+    assert list(own.encode([])) == [] and list(own.encode(["", " "]))[0] == b""
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_walked_words_agree_with_merging(name):
+    own, rng = vocabulary(name)(), random.Random(9)
+    words = list({"".join(rng.choices("abcdehilnorst", k=rng.randint(1, 14))) for _ in range(3000)} | {"a" * n for n in range(1, 48)})
+    for word, ids in own._walked(words):
+        assert ids == b"".join(own.trie.codes[x] for x in own.trie.merged(own._symbols(word)))
+
+
 def test_prefix_states_agree_with_merging():
     t = tokenizer(public_tokenizers.path("byte_bpe_50k.json")).trie
     words = {"".join(random.choices("abcdehilnorst", k=random.randint(1, 14))) for _ in range(3000)} | {"a" * n for n in range(1, 40)}
