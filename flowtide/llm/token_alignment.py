@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.durable import rows_a_batch, scratch_path
+from flowtide.functions.workers import handing_back
 from flowtide.llm.bpe import _LOOSE_SPACE, Tokenizer
 from flowtide.llm.piece_bpe import SPACE, Merges, PieceModel
 
@@ -24,7 +25,7 @@ BLOCK_BYTES = 2 << 20
 #: Rows that tasks get at a time; blocks are gathered from them.
 BATCH_ROWS = 256
 #: Distinct stretches that are encoded and aligned together.
-GROUP_UNITS = 20_000
+GROUP_UNITS = 8_000
 
 _UNIT_BORDER = regex.compile(r"(?V1)(?<! )(?= \S)")
 
@@ -241,7 +242,7 @@ def align_tokens(
 
     path = scratch_path(spark, "aligned")
     with rows_a_batch(spark, BATCH_ROWS):
-        rows.mapInArrow(run, f"block bigint, ids array<{kind}>, payload binary, pairs array<bigint>, pair_n array<bigint>").write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+        rows.mapInArrow(handing_back(run), f"block bigint, ids array<{kind}>, payload binary, pairs array<bigint>, pair_n array<bigint>").write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     blocks = spark.read.parquet(path)
     counts = blocks.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_n").alias("n"))
     of_b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")

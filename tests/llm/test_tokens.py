@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,12 +14,13 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from flowtide.llm import queries
+from flowtide.llm import bpe, packing, piece_bpe, queries, token_alignment
 from flowtide.llm.bpe import _byte_alphabet, vocabulary
 from flowtide.llm.piece_bpe import decode_pieces, encode_pieces, piece_model
 from flowtide.functions.durable import rows_a_batch
 from flowtide.llm.token_alignment import _gathered, align_tokens
 
+ROOT = Path(__file__).resolve().parents[2]
 POOL = "aAbBzZ'sdtm  \t\n\r\x0b\x1c\x85\xa0　İΣσßÉé漢字🎉👩‍👧0123½²|<>endoftext​한가!?.,;:#$%&*\x00▁ "
 SCHEMA = "doc_id bigint, text string, lang string, source string, id string, ids string"
 NAME = "piece_bpe_32k.model"
@@ -160,3 +164,55 @@ def test_alignment_query(spark, tmp_path):
     want = plain_alignment([(k, t) for k, (_, t) in enumerate(rows)])
     want = sorted((i, *want[k][:6], hashlib.sha256(want[k][6].encode()).hexdigest() if want[k][6] else "") for k, (i, _) in enumerate(rows))
     assert sorted(tuple(r) for r in out.collect()) == [*want, (7777, 0, 0, 0, 0, 0, 0, "")]
+
+
+MEMORY = """
+import random, re, threading, time, sys
+from flowtide.llm.bpe import vocabulary
+from flowtide.llm.piece_bpe import piece_model
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+model = piece_model("piece_bpe_32k.model")() if sys.argv[1] == "pieces" else vocabulary("byte_bpe_50k.json")()
+list(model.encode(["a few words, so that tables are made"]))
+rng = random.Random(1)
+texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(300)) for _ in range(1500)]
+start, most = held(), [0]
+def watch():
+    while True:
+        most[0] = max(most[0], held())
+        time.sleep(0.01)
+threading.Thread(target=watch, daemon=True).start()
+for ids in model.encode(texts):
+    pass
+print(round(most[0] - start))
+"""
+
+
+@pytest.mark.parametrize("kind, most", [("pieces", 70), ("bytes", 98)])
+def test_encoding_holds_a_small_group(kind, most):
+    ran = subprocess.run([sys.executable, "-c", MEMORY, kind], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert ran.returncode == 0, ran.stderr
+    assert int(ran.stdout) < most  # MB
+
+
+def test_workers_hand_memory_back(spark, monkeypatch):
+    from flowtide.functions import workers
+
+    calls = []
+    monkeypatch.setattr(workers, "hand_back", lambda: calls.append(1))
+    batches = [pa.record_batch({"x": [i]}) for i in range(3)]
+    assert list(workers.handing_back(lambda given: given)(iter(batches))) == batches and len(calls) == 1
+    started = workers.handing_back(lambda given: given)(iter(batches))
+    next(started)
+    started.close()
+    assert len(calls) == 2
+
+    wrapped = []
+    for module in (token_alignment, packing, piece_bpe, bpe):
+        monkeypatch.setattr(module, "handing_back", lambda run: wrapped.append(run.__module__) or run)
+    docs = frame(spark, [(1, "a few words"), (None, None)])
+    align_tokens(docs, vocabulary("byte_bpe_50k.json"), piece_model(NAME))
+    packing.cut_documents(docs, vocabulary("word_bpe_49k.json"))
+    decode_pieces(encode_pieces(docs, piece_model(NAME)), piece_model(NAME))
+    bpe.decode_documents(bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json")), vocabulary("byte_bpe_50k.json"))
+    assert wrapped == [m.__name__ for m in (token_alignment, packing, piece_bpe, piece_bpe, bpe, bpe)]
