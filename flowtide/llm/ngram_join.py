@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.functions.durable import cut
+from flowtide.functions.durable import cut, rows_a_batch
+from flowtide.functions.workers import handing_back
 from flowtide.llm.components import components
 from flowtide.llm.hashing import mix, shingle_set, text_bytes, word_hashes
 
@@ -18,6 +19,8 @@ COUNTERS = 1 << 20
 _BLOCK = 1 << 14
 #: Members from which a list counts as long.
 LONG_LIST = 32
+#: Rows that workers get at a time: a row is a text, or the sets of two.
+BATCH_ROWS = 512
 #: Ids of active documents that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -57,7 +60,7 @@ def _shingle_order(texts: DataFrame, width: int) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.int64)
     schema = "block int, counts binary"
-    for row in texts.select("text").mapInArrow(partial, schema).repartition("block").mapInArrow(total, schema).collect():
+    for row in texts.select("text").mapInArrow(handing_back(partial), schema).repartition("block").mapInArrow(total, schema).collect():
         out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], "<i8")
     return out
 
@@ -103,7 +106,7 @@ def _signatures(texts: DataFrame, width: int, percent: int, order: np.ndarray) -
                 names=["id", "n", "k1", "k2", "prefix"],
             )
 
-    signed = texts.mapInArrow(sign, "id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+    signed = texts.mapInArrow(handing_back(sign), "id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
     return signed.select("id", "n", "k1", "k2", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "prefix")
 
 
@@ -113,7 +116,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(word_hashes(d), width).astype("<u8").tobytes() if d is not None else b"" for d in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "items"])
 
-    return texts.mapInArrow(build, "id bigint, items binary")
+    return texts.mapInArrow(handing_back(build), "id bigint, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, few: bool) -> DataFrame:
@@ -133,7 +136,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, few: bool) -> Dat
     left, right = (sets.select(F.col("id").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     if few:
         left, pairs = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"), F.broadcast(pairs)
-    return right.join(pairs, "b").join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint")
+    return right.join(pairs, "b").join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(handing_back(intersect), "a bigint, b bigint")
 
 
 def _sizes_allow(percent: int) -> str:
@@ -226,7 +229,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null or empty text: 0 shingles, own component.  Null id: 0 or more shingles, null component, no links.  Rows with the
     same id are one node, linked when any of their texts links.  Extra columns are ignored.  An empty table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
+    with rows_a_batch(docs.sparkSession, BATCH_ROWS):
+        return _joined(docs, id_col, text_col, width, percent)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(_signatures(texts, width, percent, _shingle_order(texts, width)))
     usable = signed.where("id is not null and n > 0")

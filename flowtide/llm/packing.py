@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.durable import cut
+from flowtide.functions.workers import handing_back
 from flowtide.llm.bpe import Tokenizer, _slices
 from flowtide.llm.columns import aside
 
@@ -53,7 +54,7 @@ def cut_documents(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(handing_back(run), schema).withColumnRenamed("id", id_col)
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -330,3 +330,13 @@ def test_quotations(spark):
     assert got[1, 2]["text"] == "Under the mat." and got[1, 3]["text"] == "Thanks" and got[1, 5]["text"] == "Yes"
     assert got[2, 0]["parent_turn"] is None and not got[2, 0]["by_quote"] and {r["text"] for r in out if (r["conv_id"], r["turn"]) == (2, 1)} == {"", "again"}
     assert got[None, 0]["text"] == "alone" and got[3, None]["position"] == 0 and link_quotations(frame.limit(0)).count() == 0
+
+
+def test_join_hands_workers_few_rows(spark, monkeypatch):
+    name, seen, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: seen.append(int(spark.conf.get(name))) or cut(df))
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k}" for k in range(12))) for i in range(6)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(6)}
+    assert seen and max(seen) <= 512 and spark.conf.get(name) == before
