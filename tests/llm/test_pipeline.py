@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from flowtide.functions import durable, workers
 from flowtide.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,6 +53,19 @@ def test_texts_of_one_id_are_not_lost_for_each_other(spark):
     assert out == sorted([(1, text(1)), (1, text(2)), (2, text(3)), (4, text(4)), (None, text(6)), (None, text(7))], key=repr)
 
 
+def test_driver_hands_unused_memory_back_after_each_step(spark, monkeypatch):
+    monkeypatch.setattr(workers, "_driver_next", float("-inf"))
+    assert workers.driver_hands_back(spark) and not workers.driver_hands_back(spark)
+    monkeypatch.setattr(workers, "_driver_next", float("-inf"))
+    collected = []
+    monkeypatch.setattr(workers.gc, "collect", lambda: collected.append(1))
+    assert workers.driver_hands_back(spark) and collected
+    done, docs = [], spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k}" for k in range(40)), "en", "s", 0) for i in range(8)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    monkeypatch.setattr(durable, "driver_hands_back", lambda session: done.append(session))
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()} == {0, 2, 4, 6}
+    assert len(done) > 5
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
